@@ -153,11 +153,18 @@ class Words:
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every run of ``k`` words (a shorter text: its whole sequence), and each row's first index."""
+    """Hashes of every run of ``k`` words (a shorter text: its whole sequence), and each row's first index.
+
+    The top byte falls with the letters of the run, so that in the order of the hashes long runs, which are rare,
+    come before runs of short words, which many texts share.
+    """
     h, n_words = words.hash, np.diff(words.first)
     count = np.where(n_words >= k, n_words - k + 1, (n_words > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(first[-1], U64)
+    letters = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    begin = np.repeat(words.first[:-1] - first[:-1], count) + np.arange(first[-1])
+    size = letters[np.minimum(begin + k, np.repeat(words.first[1:], count))] - letters[begin]
     with np.errstate(over="ignore"):
         if len(h) >= k:
             run = sum((h[i : len(h) - k + 1 + i] * U64((0xD6E8FEB86659FD93 + 2 * i * 0x632BE59BD9B4E019) & (2**64 - 1) | 1) for i in range(k)), np.zeros(len(h) - k + 1, U64))
@@ -168,7 +175,7 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         for r in np.flatnonzero((n_words > 0) & (n_words < k)):
             ws = h[words.first[r] : words.first[r + 1]]
             out[first[r]] = _short(ws)
-    return mix(out, 3), first
+    return (U64(255) - np.minimum(size, 255).astype(U64)) << U64(56) | mix(out, 3) >> U64(8), first
 
 
 def _short(ws: np.ndarray) -> np.uint64:
