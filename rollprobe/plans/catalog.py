@@ -276,7 +276,9 @@ def _(s, d):
     return A.mask_sums(sr(s, d), {"backbone": b, "sidechain": ~b}).select("frame", rnd("backbone"), rnd("sidechain"))
 
 
-GA, GB = F.col("chain") == "A", F.col("chain") == "B"
+def sides() -> tuple:
+    return F.col("chain") == "A", F.col("chain") == "B"
+
 
 
 def ctx_sql(pairs: dict[str, str]) -> str:
@@ -288,19 +290,19 @@ AB = ctx_sql({"a": "chain = 'A'", "b": "chain = 'B'", "ab": "chain in ('A','B')"
 
 @query("interface", AB + ", t as (select frame, coalesce(sum(sasa) filter (context='a'),0) a_free, coalesce(sum(sasa) filter (context='b'),0) b_free, coalesce(sum(sasa) filter (context='ab' and chain='A'),0) a_bound, coalesce(sum(sasa) filter (context='ab' and chain='B'),0) b_bound, coalesce(sum(sasa) filter (context='ab'),0) complex from sr group by frame) select frame, round(a_free,5) a_free, round(b_free,5) b_free, round(a_bound,5) a_bound, round(b_bound,5) b_bound, round(complex,5) complex, round(a_free+b_free-complex,5) buried, round((a_free+b_free-complex)/2,5) interface, round((a_free-a_bound)/greatest(a_free,1e-12),6) a_buried_fraction, round((b_free-b_bound)/greatest(b_free,1e-12),6) b_buried_fraction from t")
 def _(s, d):
-    out = X.interface(heavy(part_atoms(s, d, 1)), GA, GB, PROBE, POINTS, EDGE)
+    out = X.interface(heavy(part_atoms(s, d, 1)), *sides(), PROBE, POINTS, EDGE)
     return out.select("frame", *(rnd(c) for c in ("a_free", "b_free", "a_bound", "b_bound", "complex", "buried", "interface")), rnd("a_buried_fraction", 6), rnd("b_buried_fraction", 6))
 
 
 @query("interface_residue", AB + ", t as (select frame, residue_id, coalesce(sum(sasa) filter (context<>'ab'),0) free, coalesce(sum(sasa) filter (context='ab'),0) bound from sr group by all) select frame, residue_id, round(free-bound,5)+0.0 as buried, case when free-bound > 1e-9 then round((free-bound)/greatest(free,1e-12),6) end as buried_fraction from t")
 def _(s, d):
-    out = X.interface_residues(heavy(part_atoms(s, d, 1)), GA, GB, PROBE, POINTS, EDGE)
+    out = X.interface_residues(heavy(part_atoms(s, d, 1)), *sides(), PROBE, POINTS, EDGE)
     return out.select("frame", "residue_id", (F.round("buried", 5) + F.lit(0.0)).alias("buried"), rnd("buried_fraction", 6))
 
 
 @query("interface_polar", AB + ", t as (select frame, coalesce(sum(case when context='ab' then -sasa else sasa end) filter (atom_class='polar'),0) p, coalesce(sum(case when context='ab' then -sasa else sasa end) filter (atom_class<>'polar'),0) q from sr group by frame) select frame, round(p,5) polar_buried, round(q,5) apolar_buried, round(round(q,5)/greatest(round(p,5)+round(q,5),1e-12),6) apolar_fraction from t")
 def _(s, d):
-    out = X.interface_polarity(heavy(part_atoms(s, d, 1)), GA, GB, F.col("atom_class") == "polar", PROBE, POINTS, EDGE)
+    out = X.interface_polarity(heavy(part_atoms(s, d, 1)), *sides(), F.col("atom_class") == "polar", PROBE, POINTS, EDGE)
     out = out.select("frame", rnd("polar_buried"), rnd("apolar_buried"))  # the share of rounded areas: of none it is 0
     return out.withColumn("apolar_fraction", F.expr("round(apolar_buried / greatest(polar_buried + apolar_buried, 1e-12D), 6)"))
 

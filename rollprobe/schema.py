@@ -1,7 +1,5 @@
-"""Fixed schemas of the data model; nothing is inferred from data."""
+"""Fixed schemas of the data model, as DDL; nothing is inferred from data."""
 
-from pyspark.sql.types import _parse_datatype_string as _parse
-
-ATOMS = _parse("structure string, atom int, record string, atom_name string, residue_name string, residue_number int, residue_label string, chain string, segment string, element string, is_het boolean, is_h boolean, residue_id int, x double, y double, z double, radius double, atom_class string")
-COORDS = _parse("structure string, frame int, atom int, x double, y double, z double")
-SERIES = _parse("feature string, idx int, frame int, value double")
+ATOMS = "structure string, atom int, record string, atom_name string, residue_name string, residue_number int, residue_label string, chain string, segment string, element string, is_het boolean, is_h boolean, residue_id int, x double, y double, z double, radius double, atom_class string"
+COORDS = "structure string, frame int, atom int, x double, y double, z double"
+SERIES = "feature string, idx int, frame int, value double"
