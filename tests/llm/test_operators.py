@@ -1,0 +1,240 @@
+"""Operators against brute force, exact round trips and odd rows (nulls, empty, repeated, clashing columns)."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rollprobe.llm import ann, html_extract, jaccard_join, media, mixing, packing, quality, token_counts, token_output, toxicity
+from rollprobe.llm.chunk_tokens import Encoder, SpacelessEncoder, tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
+ODD = ["a  b", "\n a", "foo <|endoftext|> bar", "don't  we'll\n\nx", "  lead", " trail ", "é́x Ω ΣΑΣ", "\x1cq w", "", " ", "\n", "a\tb c", "aaaaaaaaa aaaa"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(5)
+    words = ["w%d" % i for i in range(400)]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(6, 120))) for _ in range(40)]
+    texts = list(base)
+    for t in base[:15]:
+        for cut in (1, 3, 6):
+            w = t.split()
+            for _ in range(cut):
+                w[r.randrange(len(w))] = "x"
+            texts.append(" ".join(w))
+    texts += [base[0]] * 12 + [base[1].upper()] + ["one two", "one two", "", None, "three", *ODD] + ["shared line of eight words stands here now " + " ".join(r.choice(words) for _ in range(12)) for _ in range(20)]
+    rows = [(i, t, "en", None if i % 11 == 0 else f"s{i % 3}", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3]], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingle_sets(rows):
+    out = {}
+    for r in rows:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (r.text or "").encode()))
+        out[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("small,block", [(64, 512), (2, 3)])
+def test_jaccard_join_is_exact(spark, docs, monkeypatch, small, block):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    sets = shingle_sets(docs.collect())
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    got = jaccard_join.jaccard_join(docs.withColumn("node", F.lit("clash"))).collect()
+    assert len(got) == docs.count()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), root(i)) for i, s in sets.items()}
+    if small == 64:
+        kept = jaccard_join.deduplicate(docs)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in sets})
+        assert jaccard_join.jaccard_join(empty(spark)).count() == 0
+
+
+def test_tokens_equal_the_library(docs):
+    texts = [r.text or "" for r in docs.collect()]
+    for enc in (Encoder(BYTE), SpacelessEncoder(WORD)):
+        assert enc.encode(texts) == enc.raw(texts)
+
+
+def test_token_counts(spark, docs):
+    enc = Encoder(BYTE)
+    want = {(r.doc_id, len((r.text or "").encode()), len(enc.raw([r.text or ""])[0]) // 2) for r in docs.collect()}
+    assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, BYTE).collect()} == want
+    assert token_counts.token_counts(empty(spark), BYTE).count() == 0
+
+
+def test_token_files_round_trip(spark, docs):
+    rows = sorted({(r.doc_id, r.text or "") for r in docs.collect()})
+    enc, at, want = Encoder(BYTE), 0, []
+    for i, t in rows:
+        ids = np.append(np.frombuffer(enc.raw([t])[0], "<u2"), 2).astype("<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = token_output.token_output(docs.distinct(), BYTE, 2).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert token_output.token_output(empty(spark), BYTE, 2).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
+    index = token_output.Index.load(token_output.Index.build(keys, keys % 7, np.arange(len(keys)), keys % 9).dump())
+    assert sorted(index.hash.slots(keys)) == list(range(len(keys)))
+    found, slots = index.look(keys)
+    assert found.all() and (slots["first"] == np.arange(len(keys))).all() and not index.look(keys + 1)[0][~np.isin(keys + 1, keys)].any()
+
+
+def test_packing(spark, docs):
+    size, enc = 64, SpacelessEncoder(WORD)
+    got = packing.pack(docs, WORD, 0, size).collect()
+    total = sum(len(enc.raw([r.text or ""])[0]) // 2 + 1 for r in docs.collect())
+    assert sum(r.length for r in got) == total
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= size
+    # sequential best-fit decreasing opens as many
+    gaps = []
+    for n in sorted((r.length for r in got), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((size if fit is None else fit) - n)
+    assert len(by) == len(gaps)
+    assert packing.pack(empty(spark), WORD, 0, size).count() == 0
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix(docs.withColumn("slot", F.lit(1)), {"s0": 3, "s1": 1, None: 2}, block=2)
+    rows = sorted(got.collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(docs.count())) and "_slot" in got.columns
+    units = {"s0": 3, "s1": 1, "s2": 1, None: 2}
+    seen, slots = dict.fromkeys(units, 0), sorted({(r._slot, r.mix_source) for r in rows}, key=lambda x: x[0])
+    left = {s: -(-sum(r.mix_source == s for r in rows) // 2) for s in units}
+    for n, (_, s) in enumerate(slots, 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - n * u / 7) < 1 for k, u in units.items())
+        if seen[s] == left[s]:
+            break
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_pfair_deviates_less_than_one():
+    r = random.Random(2)
+    for _ in range(30):
+        units = [r.randint(1, 9) for _ in range(r.randint(1, 7))]
+        done = [0] * len(units)
+        for n, i in enumerate(mixing.pfair(units), 1):
+            done[i] += 1
+            assert all(abs(d - n * u / sum(units)) < 1 for d, u in zip(done, units))
+
+
+def test_media_round_trip(spark, docs):
+    files = media.to_media(docs)
+    for r, t in zip(media.digests(files).collect(), docs.collect(), strict=True):
+        raw = (t.text or "").encode()
+        full = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+    assert media.clip_rows(files).count() >= docs.count()
+    payload = os.urandom(6400) + b"\xff" * 640
+    back, avi, _ = media.read_avi(media.write_avi(payload))
+    info, scan = media._split(avi.frames[-1])
+    assert back == payload and (media._huffman(info, scan) == media.decode_frame(avi.frames[-1])[0]).all()
+    assert media.digests(media.to_media(empty(spark))).count() == 0
+
+
+def test_shots():
+    bins = np.repeat([[10, 0], [0, 10]], 15, axis=0)
+    assert media.shots(bins) == [0, 15] and media.shots(np.zeros((0, 2))) == []
+
+
+def test_nearest_neighbours(spark):
+    x = np.random.default_rng(1).standard_normal((600, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(600, None, 0), (601, [0.0] * 8, 0), (602, [None] * 8, 0), (603, [float("nan")] * 8, 0), (700, x[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = ann.search(df, F.col("vec_id") % 50 == 0).toPandas()
+    full = np.concatenate([x, x[:1]]).astype(float)
+    ids = np.append(np.arange(600), 700)
+    unit, hits, total = full / np.linalg.norm(full, axis=1, keepdims=True), 0, 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = unit @ unit[q]
+        s[q] = -9
+        best = ids[np.lexsort((ids, -s.round(12)))[:5]]
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert len(own) == 5 and list(own["rank"]) == [1, 2, 3, 4, 5]
+        hits += len(set(best) & set(own.vec_id))
+        total += 5
+    assert hits / total >= 0.9
+    assert ann.search(df.where("vec_id in (600, 601)"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_classifiers_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    for module, label, rest, threshold, least in ((quality, "quality", (5, 0), 0.3, 0.95), (toxicity, "toxic", (3, 1), 0.7, 0.93)):
+        model = module.fit(docs, labels.where(~quality.held_out(*rest)), label)
+        got = module.score(docs, model).toPandas().merge(labels.where(quality.held_out(*rest)).toPandas(), on="doc_id")
+        assert ((got.score >= threshold).astype(int) == got[label]).mean() >= least
+        odd = spark.createDataFrame([(1, None), (2, ""), (None, "x" * 200000)], "doc_id long, text string")
+        assert all(0 <= r.score <= 1 for r in module.score(odd, model).collect())
+        assert module.score(empty(spark), model).count() == 0
+
+
+def test_html(spark):
+    pages = [(0, "u", None), (1, "u", ""), (2, "u", "<html><body><nav><a href=x>Menu</a></nav><div class=ad>Buy now.</div><article><h1>Title &amp; more</h1><p><b>First   words.<br><p>Second one.</article><footer>&copy; me</footer>"), (2, "u", "plain words")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [r.text for r in html_extract.extract_pages(df).collect()]
+    assert got[:3] == ["", "", "Title & more First words. Second one."] and html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_trees_on_unseen_layouts():
+    model, r = html_extract.train(200), np.random.default_rng(99)
+    right = total = 0
+    for _ in range(60):
+        nodes = html_extract.parse(html_extract.layout(r))
+        own = html_extract.decode(nodes, model.predict(html_extract.features(nodes)))
+        right, total = right + (own == html_extract.truth(nodes)).sum(), total + len(nodes)
+    assert right / total > 0.93
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        assert (out.count() == docs.count()) == (name == "mixing") or name != "mixing"
+    assert [n for n, _ in P.STAGES] == ["toxicity", "quality", "near_duplicates", "mixing", "packing"]
