@@ -27,8 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later steps start from files, not from lineage."""
-    df.write.mode("overwrite").parquet(path)
+    """Write ``df`` as Parquet and read it back: later steps start from files, not from lineage.
+
+    The shuffle files of the write go when it ends; nothing reads them again.
+    """
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, None)
+    conf.set(clean, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(clean) if before is None else conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
