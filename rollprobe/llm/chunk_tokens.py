@@ -8,6 +8,7 @@ library's, id for id; ``tests/llm`` compares them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -16,6 +17,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 RUNS = re.compile(r"\s(?:\s|$)|^\s")
+TAIL = ",.;:!?"  # marks that may follow a word that needs no pre-tokenizer
+LATIN = "\u024f"  # last letter of the words that need none
 LIMIT = 500_000  # pieces held in each of two generations of the cache
 
 
@@ -35,6 +38,14 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        split = json.loads(self.lib.pre_tokenizer.__getstate__()) if self.lib.pre_tokenizer else {}
+        #: Whether a run of letters and the marks behind it are one piece each to the pre-tokenizer.
+        self.by_word = self.lib.normalizer is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.model = self.lib.model
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.space = chr(self.shown[32])
+        self.tails: dict[str, list[int]] = {"": []}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -43,6 +54,9 @@ class Encoder:
 
     def whole(self, text: str) -> bool:
         """Whether spaces of this text may not be cut points."""
+        plain = text.replace("\n", " ")
+        if plain.isprintable():  # then its only white space is the space
+            return "  " in plain or plain[:1] == " " or plain[-1:] == " "
         return RUNS.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -63,27 +77,54 @@ class Encoder:
         return out
 
     def cut(self, text: str) -> list[str]:
-        """Pieces: a space belongs to the piece that follows it."""
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        """Pieces between spaces. The first, which follows no space, is marked by a line feed: no other begins so."""
+        pieces = text.split(" ")
+        pieces[0] = "\n" + pieces[0]
+        return pieces
+
+    def spelled(self, piece: str) -> str:
+        """What the library gets to encode: a space belongs to the piece that follows it."""
+        return piece[1:] if piece[:1] == "\n" else " " + piece
 
     def look(self, pieces: list[str]) -> list[bytes]:
-        got = list(map(self.young.get, pieces))
-        if None in got:
-            missing = [p for p in dict.fromkeys(p for p, g in zip(pieces, got, strict=True) if g is None)]
-            new = []
-            for p in missing:
-                if (known := self.old.get(p)) is None:
-                    new.append(p)
-                else:
-                    self.young[p] = known
-            for at in range(0, len(new), 64):
-                self.young.update(zip(new[at : at + 64], self.apart(new[at : at + 64]), strict=True))
-            got = list(map(self.young.get, pieces))
-            if len(self.young) > LIMIT:
-                self.old, self.young = self.young, {}
+        new = []
+        for p in set(pieces).difference(self.young):
+            if (known := self.old.get(p)) is None:
+                new.append(p)
+            else:
+                self.young[p] = known
+        self.young.update(zip(new, self.words([self.spelled(p) for p in new]), strict=True))
+        got = list(map(self.young.__getitem__, pieces))
+        if len(self.young) > LIMIT:
+            self.old, self.young = self.young, {}
         return got
 
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces; a Latin word, with a space before it or marks behind it or neither, goes to the model at once."""
+        out: list[bytes | None] = [None] * len(pieces)
+        ids: list[int] = []
+        at, ends = [], []
+        for i, p in enumerate(pieces if self.by_word else []):
+            stem = p.rstrip(TAIL)
+            word = stem[1:] if stem[:1] == " " else stem
+            if word.isalpha() and ((plain := word.isascii()) or max(word) <= LATIN):
+                tail = p[len(stem) :]
+                if tail not in self.tails:
+                    self.tails[tail] = [t.id for t in self.model.tokenize(tail)]
+                shown = word if plain else word.encode().decode("latin-1").translate(self.shown)
+                ids += [t.id for t in self.model.tokenize(shown if word is stem else self.space + shown)]
+                ids += self.tails[tail]
+                at.append(i)
+                ends.append(len(ids))
+        data, start = np.array(ids, self.type).tobytes(), 0
+        for i, end in zip(at, (e * self.type.itemsize for e in ends), strict=True):
+            out[i], start = data[start:end], end
+        rest = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(rest), 64):
+            for i, x in zip(rest[k : k + 64], self.apart([pieces[i] for i in rest[k : k + 64]]), strict=True):
+                out[i] = x
+        return out
+
     def apart(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without special strings by one call: a special string between them splits the ids again."""
         if not self.special:
@@ -104,6 +145,9 @@ class SpacelessEncoder(Encoder):
     def cut(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
+    def spelled(self, piece: str) -> str:
+        return piece
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
