@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollprobe.llm import ann, html_extract, jaccard_join, media, mixing, packing, quality, token_counts, token_output, toxicity
+from rollprobe.llm import ann, common, html_extract, jaccard_join, media, mixing, packing, quality, token_counts, token_output, toxicity
 from rollprobe.llm.chunk_tokens import Encoder, SpacelessEncoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +75,38 @@ def test_jaccard_join_is_exact(spark, docs, monkeypatch, small, block):
         assert jaccard_join.jaccard_join(empty(spark)).count() == 0
 
 
+def test_jaccard_join_keeps_chained_members_of_a_large_region(spark):
+    """x and its 70 variants hang on the pivot p by a chain (z), were never measured against it, and alone link y."""
+
+    def hashes(words):
+        return np.unique(common.shingles(common.Words(pa.array([" ".join(words)])), 1)[0])
+
+    def node(words):
+        u = hashes(words)
+        return (common.mix(u, 11).sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(common.mix(u, 12))).view(np.int64)
+
+    often = sorted((f"c{i}" for i in range(99)), key=lambda w: hashes([w])[0])
+    core, e = often[:88], often[88:]  # e: in all but the pivot
+    x = {"b", *core, *e}
+    fillers = [(x - {"b", core[20 + i % 60]}) | {f"f{i}", "e_" + str(i)} for i in range(70)]
+    y = (x - {"b", *core[9:20]}) | {"y0", "y1"}
+    for t in range(10000):
+        own = [f"p{t}_{i}" for i in range(12)]
+        p, z = {*own, *core}, {*own[:5], "b", *core, *e[:6]}
+        if node(p) < min(map(node, [x, y, z, *fillers])) and node(z) > min(map(node, fillers)):
+            break
+    sets = dict(enumerate([p, z, x, y, *fillers]))
+    up = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n) and up[a] != up[b]:
+                low, high = sorted((up[a], up[b]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(df, k=1).collect()} == set(up.items())
+
+
 def test_tokens_equal_the_library(docs):
     texts = [r.text or "" for r in docs.collect()]
     for enc in (Encoder(BYTE), SpacelessEncoder(WORD)):
