@@ -3,7 +3,8 @@
 Fit, on a bounded sample (``sample_size`` vectors, smallest hash of the id): the exact neighbour graph of the sample is
 cut into ``parts`` balanced partitions by recursive spectral bisection with swaps, and a small classifier (one hidden
 layer) learns the partition of a vector from its coordinates, with the neighbours' partitions as soft labels. The number
-of partitions to probe is the smallest that reaches ``target`` recall on the sample.
+of partitions to probe is the smallest that reaches ``target`` recall on every fifth vector of the sample, as queries and
+as neighbours; these are held out from the graph and the training.
 
 Index and search cover all rows: every vector belongs to its most probable partition; a query goes to its most probable
 partitions, meets their vectors in blocks (vectors and queries of a partition are dealt into blocks of bounded size, so
@@ -89,11 +90,13 @@ def partition(near: np.ndarray, parts: int) -> np.ndarray:
     return label
 
 
-def train(x: np.ndarray, parts: int, top: int, target: float, hidden: int = 64, epochs: int = 40) -> Router:
-    """Partition the sample's graph, learn to route, choose how many partitions to probe."""
-    d = x.shape[1]
+def train(sample: np.ndarray, parts: int, top: int, target: float, hidden: int = 64, epochs: int = 40) -> Router:
+    """Partition the graph of four fifths of the sample, learn to route, choose on the rest how many partitions to probe."""
+    d = sample.shape[1]
+    held = np.arange(len(sample)) % 5 == 4
+    x, unseen = sample[~held], sample[held]
     k = min(10, len(x) - 1)
-    if k < 1 or len(x) < 8 * parts:
+    if k < 1 or len(sample) < 8 * parts:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1, 1.0)
     near = graph(x, k)
     label = partition(near, parts)
@@ -118,9 +121,11 @@ def train(x: np.ndarray, parts: int, top: int, target: float, hidden: int = 64,
                 v[i] = 0.99 * v[i] + 0.01 * g**2
                 p[i] = p[i] - 0.01 * (m[i] / (1 - 0.9**n)) / (np.sqrt(v[i] / (1 - 0.99**n)) + 1e-8)
     router = Router(*p, probe=parts, recall=1.0)
-    order = np.argsort(-router.scores(x), axis=1, kind="stable")
-    home, q = order[:, 0], np.arange(0, len(x), max(1, len(x) // 1024))
-    truth = graph(x, min(top, k))[q]
+    if len(unseen) < 2:
+        return router
+    order = np.argsort(-router.scores(unseen), axis=1, kind="stable")
+    home, q = order[:, 0], np.arange(0, len(unseen), max(1, len(unseen) // 1024))
+    truth = graph(unseen, min(top, len(unseen) - 1))[q]
     place = np.argsort(order[q], axis=1)  # rank of each partition for the query
     needed = np.take_along_axis(place, home[truth], axis=1)
     for probe in range(1, parts + 1):
@@ -188,13 +193,12 @@ def search(vectors: DataFrame, queries, top: int = 5, parts: int = 16, sample_si
                 s = (q[a : a + 256] @ v.T) / (qn[a : a + 256, None] * vn)
                 s[asked_ids[a : a + 256, None] == ids] = -np.inf
                 cut = -np.partition(-s, min(top, s.shape[1]) - 1, axis=1)[:, min(top, s.shape[1]) - 1]
-                i, j = np.nonzero(s >= np.maximum(cut[:, None], -2))
-                order = np.lexsort((ids[j], -s[i, j], i))  # ties at the cut: the smaller ids stay
-                i, j = i[order], j[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[nth < top], j[nth < top]
+                i, j = np.nonzero(s >= np.maximum(cut[:, None] - 1e-12, -2))  # last bits of s differ among equal vectors
                 exact = (q[a + i] * v[j]).sum(axis=1) / (qn[a + i] * vn[j])
-                out.append((asked_ids[a + i], ids[j], exact))
+                order = np.lexsort((ids[j], -exact, i))  # ties at the cut: the smaller ids stay
+                i, j, exact = i[order], j[order], exact[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < top
+                out.append((asked_ids[a + i[keep]], ids[j[keep]], exact[keep]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 

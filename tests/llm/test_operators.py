@@ -229,6 +229,27 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id in (600, 601)"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_probe_reaches_its_recall_on_unseen_vectors():
+    """Noise has no partitions to learn: a probe chosen on the training rows promises more than it holds."""
+    r = np.random.default_rng(4)
+    x, fresh = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.standard_normal((2, 600, 64)))
+    router = ann.train(x, 16, 5, 0.97)
+    order = np.argsort(-router.scores(fresh), axis=1, kind="stable")
+    reached = (order[:, None, : router.probe] == order[ann.graph(fresh, 5), :1]).any(axis=2).mean()
+    assert router.recall >= 0.97 and reached >= 0.97
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_equal_vectors_go_by_id(spark, step):
+    r = np.random.default_rng(77)
+    v = r.standard_normal(77)
+    x = [r.standard_normal(77) if i % 3 else v for i in range(123)]
+    rows = [(i, a.tolist()) for i, a in enumerate(x)][::step]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 3 == 0).toPandas()
+    for q, own in got.sort_values(["query_id", "rank"]).groupby("query_id"):
+        assert list(own.vec_id) == [i for i in range(0, 123, 3) if i != q][:5]
+
+
 DATA = "/root/testdata/sf0.01"
 
 
