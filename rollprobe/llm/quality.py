@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, map_arrow, slices
+from .common import U64, Words, give_back, map_arrow, slices
 
 PASSAGE = 512
 CLASSES = 16
@@ -182,5 +182,6 @@ def filter_rows(docs: DataFrame, model, keep) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 yield part if shared.value is None else part.filter(pa.array(np.asarray(keep(part.column("text"), shared.value))))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
