@@ -14,12 +14,19 @@ import re
 
 import numpy as np
 
+from .common import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 RUNS = re.compile(r"\s(?:\s|$)|^\s")
 TAIL = ",.;:!?"  # marks that may follow a word that needs no pre-tokenizer
-LATIN = "\u024f"  # last letter of the words that need none
-LIMIT = 500_000  # pieces held in each of two generations of the cache
+LATIN = "\u017f"  # last letter of the words that need none
+DOTTED = "\u0130"  # the one letter up to it whose lower case is more than a letter
+ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")  # pre-tokens of printable ASCII
+LOWER = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^\sa-z0-9]+")  # the same for the lower-case vocabulary
+LETTERS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # how the lower-case vocabulary's pre-tokenizer splits
+LIMIT = 200_000  # pieces held in each of two generations of the cache
+LONG = 64  # characters of the longest piece that is held; the cache stays bounded whatever the texts are
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,8 +46,14 @@ class Encoder:
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         split = json.loads(self.lib.pre_tokenizer.__getstate__()) if self.lib.pre_tokenizer else {}
-        #: Whether a run of letters and the marks behind it are one piece each to the pre-tokenizer.
-        self.by_word = self.lib.normalizer is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        fold = json.loads(self.lib.normalizer.__getstate__()) if self.lib.normalizer else {}
+        steps = [x.get("type") for x in split.get("pretokenizers", [])], [x.get("type") for x in fold.get("normalizers", [])]
+        #: Pre-tokens of printable ASCII; none where the vocabulary's pre-tokenizer is not known here.
+        self.ascii = None
+        if not fold and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
+            self.ascii, self.lower = ASCII, False
+        elif steps == (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"]) and LETTERS in split["pretokenizers"][0]["pattern"].get("Regex", ""):
+            self.ascii, self.lower = LOWER, True
         self.model = self.lib.model
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -95,27 +108,40 @@ class Encoder:
                 self.young[p] = known
         self.young.update(zip(new, self.words([self.spelled(p) for p in new]), strict=True))
         got = list(map(self.young.__getitem__, pieces))
+        for p in new:
+            if len(p) > LONG:
+                del self.young[p]
         if len(self.young) > LIMIT:
             self.old, self.young = self.young, {}
         return got
 
     def words(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces; a Latin word, with a space before it or marks behind it or neither, goes to the model at once."""
+        """Ids of pieces; those whose pre-tokens are plain to see go to the model at once, the rest to the library."""
         out: list[bytes | None] = [None] * len(pieces)
         ids: list[int] = []
-        at, ends = [], []
-        for i, p in enumerate(pieces if self.by_word else []):
+        at, ends, tails, tokenize, put = [], [], self.tails, self.model.tokenize, ids.append
+        for i, p in enumerate(pieces if self.ascii else []):
+            if self.lower:
+                p = p.lower()
             stem = p.rstrip(TAIL)
             word = stem[1:] if stem[:1] == " " else stem
-            if word.isalpha() and ((plain := word.isascii()) or max(word) <= LATIN):
-                tail = p[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = [t.id for t in self.model.tokenize(tail)]
+            if word.isalpha() and ((plain := word.isascii()) or max(word) <= LATIN and DOTTED not in pieces[i]):
                 shown = word if plain else word.encode().decode("latin-1").translate(self.shown)
-                ids += [t.id for t in self.model.tokenize(shown if word is stem else self.space + shown)]
-                ids += self.tails[tail]
-                at.append(i)
-                ends.append(len(ids))
+                for t in tokenize(shown if word is stem else self.space + shown):
+                    put(t.id)
+                tail = p[len(stem) :]
+                if tail:
+                    if tail not in tails:
+                        tails[tail] = [t.id for t in tokenize(tail)]
+                    ids += tails[tail]
+            elif p.isascii() and p.isprintable() and len(p) <= LONG:
+                for x in self.ascii.findall(p):
+                    for t in tokenize(self.space + x[1:] if x[:1] == " " else x):
+                        put(t.id)
+            else:
+                continue
+            at.append(i)
+            ends.append(len(ids))
         data, start = np.array(ids, self.type).tobytes(), 0
         for i, end in zip(at, (e * self.type.itemsize for e in ends), strict=True):
             out[i], start = data[start:end], end
@@ -150,10 +176,12 @@ class SpacelessEncoder(Encoder):
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder(path: str, spaceless: bool = False) -> Encoder:
     """One encoder a worker process; its cache serves all batches."""
     if (path, spaceless) not in _encoders:
+        _encoders.clear()
         _encoders[path, spaceless] = (SpacelessEncoder if spaceless else Encoder)(path)
     return _encoders[path, spaceless]

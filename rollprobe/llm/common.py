@@ -52,6 +52,17 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+CACHES: list[dict] = []  # what tasks of one kind leave in a worker for each other
+
+
+def empty_caches() -> None:
+    """Tasks of another kind begin: what earlier ones left in the worker goes."""
+    if any(CACHES):
+        for c in CACHES:
+            c.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed buffers to the system: a worker lives on between tasks and keeps what its allocators hold."""
     pa.default_memory_pool().release_unused()
@@ -61,6 +72,13 @@ def give_back() -> None:
         pass
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows hold whole texts: fewer of them in a batch between Spark and Python keep a task's memory small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, max_bytes: int = 1 << 20) -> DataFrame:
     """``mapInArrow`` over slices of at most ``max_bytes`` (one row at least); ``fn`` yields column dicts."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -72,6 +90,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(kind)
+        empty_caches()
         for batch in batches:
             for part in slices(batch, max_bytes):
                 for cols in fn(part):
