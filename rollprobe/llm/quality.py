@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, give_back, map_arrow, slices
+from .common import U64, Words, empty_caches, give_back, map_arrow, slices
 
 PASSAGE = 512
 CLASSES = 16
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: AttentionBag | None) -> DataFrame:
         f = shared.value.forward(x, first)
         yield {"doc_id": batch.column("doc_id"), "score": f["y"].astype(np.float64), "top_weight": np.maximum.reduceat(f["a"], first[:-1]).astype(np.float64)}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, score double, top_weight double", 1 << 20)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, score double, top_weight double", 1 << 18)
 
 
 def held_out(modulus: int, rest: int):
@@ -179,8 +179,9 @@ def filter_rows(docs: DataFrame, model, keep) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches()
         for batch in batches:
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 18):
                 yield part if shared.value is None else part.filter(pa.array(np.asarray(keep(part.column("text"), shared.value))))
         give_back()
 

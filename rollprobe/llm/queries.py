@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import ann, html_extract, jaccard_join, media, mixing, packing, quality, token_counts, token_output, toxicity
 from .chunk_tokens import tokenizer_path
+from .common import small_batches
 from .quality import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

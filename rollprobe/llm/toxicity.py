@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         yield {"doc_id": batch.column("doc_id"), "score": np.zeros(batch.num_rows) if m is None else predict(batch.column("text"), m)}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, score double", 1 << 20)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, score double", 1 << 18)
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
