@@ -8,8 +8,12 @@ the first id within the shard and the number of ids. A lookup touches a few word
 a key that was never stored fails the fingerprint but for 1 in 2**32.
 
 Files are written by tasks under the shared folder: into a temporary name, then renamed, so a repeated or
-speculative attempt leaves the same file. Repeated ``doc_id``s: every row is stored, in the order (doc_id, text); the
-index leads to the first, its slot counts the ids of all. Null texts are empty documents, null ids are not stored.
+speculative attempt leaves the same file. Texts are encoded where they lie; only ids are shuffled.
+
+Repeated ``doc_id``s: every row is stored, copies in the order of the hash of their ids, and has a key of its own (the
+``doc_id`` for the first, a hash of ``doc_id`` and number for the copies). Rows with a null ``doc_id`` are copies of one
+another and come first. Null texts are empty documents. Texts may be of any length; an empty table gives no shard; extra
+columns are ignored. A key that collides with another (copies only, 1 in 2**64) ends the build with an error.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunk_tokens import encoder
-from .common import U64, drop, map_arrow, mix, parallelism, shared_dir, slices, stored
+from .common import U64, drop, give_back, mix, parallelism, shared_dir, slices, small_batches, stored
 
 MAGIC = b"IDX1"
 GAMMA = 1.5  # bits of a level for each key still without a slot
+LEVELS = 100  # of distinct keys, so many are never needed
+PART_KEYS = 1 << 20  # keys of an index part, about
 
 
 # ---------------------------------------------------------------- files on any store
@@ -64,6 +70,8 @@ class PerfectHash:
     def build(cls, keys: np.ndarray) -> PerfectHash:
         levels, left = [], keys.astype(U64)
         while len(left):
+            if len(levels) == LEVELS:
+                raise ValueError("keys must be distinct")
             words = max(1, int(len(left) * GAMMA) // 64 + 1)
             at = (mix(left, len(levels) + 1) % U64(words * 64)).astype(np.int64)
             alone = np.bincount(at, minlength=words * 64)[at] == 1
@@ -137,82 +145,116 @@ class Index:
 
 
 # ---------------------------------------------------------------- the two directions
-def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, shards: int | None = None) -> DataFrame:
-    """Write shards and index below ``path``; returns the shards: shard, base (ids of all shards before), n_ids."""
-    spark = docs.sparkSession
-    n = shards or parallelism(spark)
+def encoded(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
+    """(doc_id, ids, width): each document's ids, end id included, as little-endian bytes of ``width`` a token."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(vocabulary), TaskContext.get()
+        enc = encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], enc.type).tobytes()
-        rows: list[tuple[int, int]] = []
-        shard = task.partitionId()
-
-        def payload() -> Iterator[bytes]:
-            for batch in batches:
-                for part in slices(batch, 2 << 20):
-                    ids = enc.encode(part.column("text").fill_null("").to_pylist())
-                    ids = [x + end for x in ids]
-                    rows.extend(zip(part.column("doc_id").to_pylist(), (len(x) // enc.type.itemsize for x in ids), strict=True))
-                    yield b"".join(ids)
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                ids = [x + end for x in enc.encode(part.column("text").fill_null("").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), enc.type.itemsize, np.int32))], names=["doc_id", "ids", "width"])
+        give_back()
 
-        put(f"{path}/ids/{shard:06d}.{enc.type.itemsize * 8}", payload(), str(task.taskAttemptId()))
-        if rows:
-            keys, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(rows), shard, np.int32)), pa.array(np.cumsum(counts) - counts), pa.array(counts), pa.array(np.full(len(rows), enc.type.itemsize, np.int32))], names=["doc_id", "shard", "first", "count", "width"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, width int")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    table = stored(dealt.mapInArrow(encode, "doc_id long, shard int, first long, count long, width int"), f"{path}/rows")
 
-    parts = max(1, n)
+def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, shards: int | None = None) -> DataFrame:
+    """Write shards and index below ``path``; returns the shards: shard, width, base (ids of all shards before), n_ids, parts."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    n = shards or parallelism(spark)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if whole is not None and whole.num_rows:
-            part = whole.column("part")[0].as_py()
-            c = {x: whole.column(x).to_numpy() for x in ("doc_id", "shard", "first", "count")}
-            put(f"{path}/index/{part:06d}", iter([Index.build(c["doc_id"], c["shard"], c["first"], c["count"]).dump()]), str(task.taskAttemptId()))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([whole.num_rows], pa.int64())], names=["part", "keys"])
-
-    first = table.groupBy("doc_id").agg(F.min(F.struct("shard", "first")).alias("at"), F.sum("count").alias("count"))
-    keyed = first.select("doc_id", "at.shard", "at.first", "count", part_of(parts).alias("part"))
-    keyed.groupBy("part").applyInArrow(lambda t: _one(t, index), "part int, keys long").write.mode("overwrite").parquet(f"{path}/parts")
-    sums = table.groupBy("shard", "width").agg(F.sum("count").alias("n_ids"))
+        shard, keys, sizes = task.partitionId(), [], []
+        first = next(batches, None)
+        if first is None:
+            return
+        width = first.column("width")[0].as_py() if first.num_rows else 2
+
+        def payload() -> Iterator[bytes]:
+            for batch in (x for y in ([first], batches) for x in y):
+                keys.append(batch.column("doc_id"))
+                sizes.append(np.diff(np.frombuffer(batch.column("ids").buffers()[1], np.int32, batch.num_rows + 1, batch.column("ids").offset * 4)).astype(np.int64) // width)
+                for x in batch.column("ids"):
+                    yield x.as_buffer()
+
+        put(f"{path}/ids/{shard:06d}.{width * 8}", payload(), str(task.taskAttemptId()))
+        at = 0
+        for key, count in zip(keys, sizes, strict=True):
+            begin = at + np.cumsum(count) - count
+            at += int(count.sum())
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(count), shard, np.int32)), pa.array(begin), pa.array(count), pa.array(np.full(len(count), width, np.int32))], names=["doc_id", "shard", "first", "count", "width"])
+
+    ids = stored(encoded(docs, vocabulary, end_id), f"{path}/encoded")
+    # the last two columns cut up ids that very many rows share
+    dealt = ids.withColumn("h", F.xxhash64("ids")).withColumn("salt", F.rand(7)).repartitionByRange(n, "doc_id", "h", "salt").sortWithinPartitions("doc_id", "h")
+    table = stored(dealt.select("doc_id", "ids", "width").mapInArrow(write, "doc_id long, shard int, first long, count long, width int"), f"{path}/rows")
+    drop(spark, f"{path}/encoded")
+
+    sums = table.groupBy("shard", "width").agg(F.sum("count").alias("n_ids"), F.count("*").alias("rows"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    return stored(sums.select("shard", "width", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), "n_ids", F.lit(parts).alias("parts")), f"{path}/shards")
+    sums = stored(sums.select("shard", "width", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), "n_ids", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row_base"), "rows"), f"{path}/sums")
+    parts = max(1, n, -(-(sums.agg(F.sum("rows")).first()[0] or 0) // PART_KEYS))
+
+    def index(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        c = {x: t.column(x).to_numpy() for x in ("key", "shard", "first", "count")}
+        put(f"{path}/index/{part:06d}", iter([Index.build(c["key"], c["shard"], c["first"], c["count"]).dump()]), str(TaskContext.get().taskAttemptId()))
+        return pa.table({"part": pa.array([part], pa.int32()), "keys": pa.array([t.num_rows], pa.int64())})
+
+    # the number of a copy is its place behind the first row of its doc_id, counted over all files
+    many = table.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    placed = table.select("doc_id", "shard", "first", "count").join(many.withColumnRenamed("doc_id", "again"), F.col("doc_id").eqNullSafe(F.col("again")), "left_outer")
+    plain = placed.where("doc_id is not null and again is null").withColumn("copy", F.lit(0).cast("long")).drop("again")
+    hot = placed.where("doc_id is null or again is not null").drop("again")
+    inside = Window.partitionBy("doc_id", "shard").orderBy("first", "count")
+    hot = hot.withColumn("nth", F.row_number().over(inside) - 1)
+    per = hot.groupBy("doc_id", "shard").agg(F.count("*").alias("c"))
+    per = per.select(F.col("doc_id").alias("d"), F.col("shard").alias("s"), F.coalesce(F.sum("c").over(Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row for an id and file
+    hot = hot.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("shard") == F.col("s"))).select("doc_id", "shard", "first", "count", (F.col("base") + F.col("nth")).cast("long").alias("copy"))
+    keyed = plain.select("doc_id", "shard", "first", "count", "copy").union(hot).withColumn("key", key_of()).select("key", "shard", "first", "count", part_of(parts).alias("part"))
+    keyed.groupBy("part").applyInArrow(index, "part int, keys long").write.mode("overwrite").parquet(f"{path}/parts")
+    out = stored(sums.select("shard", "width", "base", "n_ids", F.lit(parts).alias("parts")), f"{path}/shards")
+    drop(spark, f"{path}/rows")
+    return out
+
+
+def key_of():
+    """The key of copy ``copy`` of ``doc_id``."""
+    return F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), F.col("doc_id")).otherwise(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")))
 
 
 def part_of(parts: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-
-
-def _one(table: pa.Table, fn) -> pa.Table:
-    return pa.Table.from_batches(list(fn(iter(table.to_batches()))), schema=pa.schema([("part", pa.int32()), ("keys", pa.int64())]))
+    return F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
 
 
 def read_ids(keys: DataFrame, path: str) -> DataFrame:
-    """Look each doc_id up through the index and read its ids: doc_id, shard, start, n_tokens, ids_crc32, found.
+    """Look each key up through the index and read its ids: doc_id, copy, shard, start, n_tokens, ids_crc32, found.
 
-    ``keys`` needs a ``doc_id``; repeated keys are read once for all. Unknown keys come back with ``found`` false.
+    ``keys`` needs a ``doc_id`` and may have a ``copy`` (0, the first, where it is absent); repeated keys are read once
+    for all. Unknown keys come back with ``found`` false.
     """
     spark = keys.sparkSession
+    small_batches(spark)
     shards = spark.read.parquet(f"{path}/shards")
     parts, width = shards.select(F.coalesce(F.max("parts"), F.lit(1)), F.coalesce(F.max("width"), F.lit(2))).first()
 
     def look(t: pa.Table) -> pa.Table:
-        part, key = t.column("part")[0].as_py(), t.column("doc_id").to_numpy()
+        part, key = t.column("part")[0].as_py(), t.column("key").to_numpy()
         fs, p = _open(f"{path}/index/{part:06d}")
         if fs.get_file_info(p).type == pa.fs.FileType.File:
             with fs.open_input_stream(p) as f:
                 found, s = Index.load(f.read()).look(key)
         else:
             found, s = np.zeros(len(key), bool), np.zeros(len(key), SLOT)
-        return pa.table({"doc_id": key, "shard": s["shard"].astype(np.int32), "first": s["first"].astype(np.int64), "count": s["count"].astype(np.int64), "found": found})
+        return pa.table({"doc_id": t.column("doc_id"), "copy": t.column("copy"), "shard": s["shard"].astype(np.int32), "first": s["first"].astype(np.int64), "count": s["count"].astype(np.int64), "found": found})
 
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("part", part_of(parts))
-    at = wanted.groupBy("part").applyInArrow(look, "doc_id long, shard int, first long, count long, found boolean")
+    copy = F.col("copy").cast("long") if "copy" in keys.columns else F.lit(0).cast("long")
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy")).distinct().withColumn("key", key_of()).withColumn("part", part_of(parts))
+    at = wanted.groupBy("part").applyInArrow(look, "doc_id long, copy long, shard int, first long, count long, found boolean")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, now, f = np.dtype(f"<u{width}"), None, None
@@ -227,16 +269,17 @@ def read_ids(keys: DataFrame, path: str) -> DataFrame:
                     now, f = shard, fs.open_input_file(p)
                 f.seek(first * width)
                 crc.append(zlib.crc32(np.frombuffer(f.read(count * width), kind).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "shard", "first", "count", "found")), pa.array(crc, pa.int64())], names=["doc_id", "shard", "first", "count", "found", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "copy", "shard", "first", "count", "found")), pa.array(crc, pa.int64())], names=["doc_id", "copy", "shard", "first", "count", "found", "ids_crc32"])
 
     near = at.repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "first")
-    read = near.mapInArrow(ids, "doc_id long, shard int, first long, count long, found boolean, ids_crc32 long")
+    read = near.mapInArrow(ids, "doc_id long, copy long, shard int, first long, count long, found boolean, ids_crc32 long")
     base = shards.select("shard", "base")
-    return read.join(base, "shard", "left").select("doc_id", F.when(F.col("found"), F.col("base") + F.col("first")).alias("start"), F.when(F.col("found"), F.col("count")).alias("n_tokens"), F.when(F.col("found"), F.col("ids_crc32")).alias("ids_crc32"), "shard", "found")
+    return read.join(base, "shard", "left").select("doc_id", "copy", F.when(F.col("found"), F.col("base") + F.col("first")).alias("start"), F.when(F.col("found"), F.col("count")).alias("n_tokens"), F.when(F.col("found"), F.col("ids_crc32")).alias("ids_crc32"), "shard", "found")
 
 
 def token_output(docs: DataFrame, vocabulary: str, end_id: int | None, path: str | None = None) -> DataFrame:
-    """Write the ids of all documents, then read every document back by its key."""
+    """Write the ids of all documents, then read every document back by its key: one row for each row of ``docs``."""
     path = path or f"{shared_dir(docs.sparkSession)}/tokens"
     write_ids(docs, path, vocabulary, end_id)
-    return read_ids(docs.select("doc_id"), path)
+    counts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    return read_ids(counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")), path)

@@ -16,7 +16,7 @@ from rollprobe.llm.chunk_tokens import Encoder, SpacelessEncoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
-ODD = ["a  b", "\n a", "foo <|endoftext|> bar", "don't  we'll\n\nx", "  lead", " trail ", "é́x Ω ΣΑΣ", "\x1cq w", "", " ", "\n", "a\tb c", "aaaaaaaaa aaaa"]
+ODD = ["Naïve Café's ŸŽ ĲŁ", "İstanbul ıı ſs", "x'll 'Tis I'M a-b,c. (d) 12,5% e@f.gh", "ab" * 300 + " " + "7" * 200, "a  b", "\n a", "foo <|endoftext|> bar", "don't  we'll\n\nx", "  lead", " trail ", "é́x Ω ΣΑΣ", "\x1cq w", "", " ", "\n", "a\tb c", "aaaaaaaaa aaaa"]
 
 
 @pytest.fixture(scope="module")
@@ -121,14 +121,21 @@ def test_token_counts(spark, docs):
 
 
 def test_token_files_round_trip(spark, docs):
-    rows = sorted({(r.doc_id, r.text or "") for r in docs.collect()})
-    enc, at, want = Encoder(BYTE), 0, []
-    for i, t in rows:
-        ids = np.append(np.frombuffer(enc.raw([t])[0], "<u2"), 2).astype("<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    got = token_output.token_output(docs.distinct(), BYTE, 2).collect()
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+    """One row a document, repeated and null ids too; starts run over all documents in ascending doc_id order."""
+    odd = docs.union(spark.createDataFrame([(7, "another text", "en", "s", 1), (7, "", "en", "s", 1), (None, "no id", "en", "s", 1), (None, None, "en", "s", 1)], SCHEMA)).withColumn("ids", F.lit("clash"))
+    rows, enc = odd.collect(), Encoder(BYTE)
+    want = []
+    for r in rows:
+        ids = np.append(np.frombuffer(enc.raw([r.text or ""])[0], "<u2"), 2).astype("<u4")
+        want.append((r.doc_id is not None, r.doc_id or 0, len(ids), zlib.crc32(ids.tobytes())))
+    got = token_output.token_output(odd, BYTE, 2).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and r.found
+        at += r.n_tokens
+    ids = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids)
     assert token_output.token_output(empty(spark), BYTE, 2).count() == 0
 
 
