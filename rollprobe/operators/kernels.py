@@ -1,16 +1,23 @@
-"""Surface kernels: Shrake-Rupley by covered-point bit masks, Lee-Richards by slices and arc unions."""
+"""Surface kernels: Shrake-Rupley by tiles (or by covered-point bit masks of given pairs), Lee-Richards by slices and arc unions."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.points import sphere_points
-from .neighbors import KEYS, expanded, neighbor_pairs
+from .neighbors import expanded, keys_of, neighbor_pairs, tiled
 
 WORD = 60  # points a bit mask of one LONG holds
+CENTRES = 1024  # atoms whose neighbours are looked up at once
+TESTS = 1 << 20  # point tests done at once
 
 
 def point_rows(n: int):
@@ -22,7 +29,7 @@ def _points(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df.sparkSession.range(1).select(F.explode(point_rows(n)).alias("p")).select("p.*"))  # n rows
 
 
-def covered(pairs: DataFrame, n_points: int, keys: tuple[str, ...] = KEYS, single: bool = False) -> DataFrame:
+def covered(pairs: DataFrame, n_points: int, keys: tuple[str, ...], single: bool = False) -> DataFrame:
     """Bit masks of covered points: keys, atom, w, mask."""
     of = (lambda c: f"cast({c} as float)") if single else (lambda c: c)
     d = [f"({of(c)} + {of('er')} * {of('u' + c)} - {of('o' + c)})" for c in "xyz"]
@@ -30,35 +37,101 @@ def covered(pairs: DataFrame, n_points: int, keys: tuple[str, ...] = KEYS, singl
     return pairs.crossJoin(_points(pairs, n_points)).where(inside).groupBy(*keys, "atom", "w").agg(F.expr("bit_or(bit)").alias("mask"))
 
 
-def shrake_rupley(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, centers=None, keys: tuple[str, ...] = KEYS, single: bool = False, edge: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (centre, other) of rows whose expanded spheres meet, sorted by centre, in runs of whole centres."""
+    cell = np.floor((xyz - xyz.min(axis=0)) / edge).astype(np.int64) + 1
+    span = cell.max(axis=0) + 2
+    number = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
+    order = np.argsort(number, kind="stable")
+    held = number[order]
+    shifts = np.array([(i * span[1] + j) * span[2] - 1 for i in (-1, 0, 1) for j in (-1, 0, 1)])  # three cells in a row along z
+    for at in range(0, len(own), CENTRES):
+        mine = own[at : at + CENTRES]
+        want = number[mine][:, None] + shifts
+        lo, hi = np.searchsorted(held, want), np.searchsorted(held, want + 3)
+        many = (hi - lo).ravel()
+        a = np.repeat(np.repeat(mine, len(shifts)), many)
+        b = order[np.repeat(lo.ravel() - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        d2 = ((xyz[a] - xyz[b]) ** 2).sum(axis=1)
+        ok = (d2 < (er[a] + er[b]) ** 2) & (a != b)
+        yield a[ok], b[ok]
+
+
+def exposed_points(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, unit: np.ndarray, single: bool = False) -> np.ndarray:
+    """For each centre row in ``own`` and each test point whether no other expanded sphere covers it."""
+    free = np.ones((len(own), len(unit)), bool)
+    kind = np.float32 if single else np.float64
+    place = np.full(len(er), -1)
+    place[own] = np.arange(len(own))
+    c, r, u = xyz.astype(kind), er.astype(kind), unit.astype(kind)
+    for a, b in _near(xyz, er, edge, own):
+        step = max(1, TESTS // len(unit))
+        for k in range(0, len(a), step):
+            i, j = a[k : k + step], b[k : k + step]
+            total = 0
+            for axis in range(3):
+                d = (c[i, axis, None] + r[i, None] * u[:, axis]) - c[j, axis, None]
+                total = total + d * d
+            inside = total < (r[j] * r[j])[:, None]
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            free[place[i[first]]] &= ~np.logical_or.reduceat(inside, first, axis=0)
+    return free
+
+
+def _swept(atoms: DataFrame, n_points: int, centers, keys: tuple[str, ...], single: bool, edge: float | None, points: bool) -> DataFrame:
+    """Rows of the centre atoms with ``exposed``, a count or (``points``) the numbers of the free points; tile by tile."""
+    unit = np.array(sphere_points(n_points))
+    kind = StructType([*atoms.schema.fields, StructField("exposed", ArrayType(IntegerType()) if points else IntegerType())])
+    schema = to_arrow_schema(kind)
+
+    def tile(t: pa.Table) -> pa.Table:
+        own = np.flatnonzero(t.column("own").is_valid().to_numpy())
+        if not len(own):
+            return schema.empty_table()
+        xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1)
+        free = exposed_points(xyz, t.column("er").to_numpy(), t.column("edge")[0].as_py(), own, unit, single)
+        rows = t.column("own").combine_chunks().take(pa.array(own))
+        if points:
+            row, k = np.nonzero(free)
+            out = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32()), pa.array(k, pa.int32()))
+        else:
+            out = pa.array(free.sum(axis=1), pa.int32())
+        return pa.table([*(x.cast(f.type) for x, f in zip(rows.flatten(), schema, strict=False)), out], names=schema.names)
+
+    return tiled(atoms, centers, keys, edge).groupBy(*keys, "tx", "ty", "tz").applyInArrow(tile, kind)
+
+
+def shrake_rupley(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, centers=None, keys: tuple[str, ...] | None = None, single: bool = False, edge: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """All columns of the centre atoms, with er, exposed (points) and sasa = 4 pi er er exposed / n_points.
 
-    ``pairs`` supplies neighbour pairs instead of the search; ``single`` tests points in single precision.
+    Space is cut into tiles; a tile's atoms and those of a rim as wide as the largest reach meet in one task, which tests
+    all points of a centre against its neighbours at once. ``pairs`` supplies neighbour pairs instead of the search;
+    ``single`` tests points in single precision.
     """
-    atoms = expanded(atoms, probe)
-    pairs = neighbor_pairs(atoms, centers, keys, edge) if pairs is None else pairs
-    hidden = covered(pairs, n_points, keys, single).groupBy(*keys, "atom").agg(F.sum(F.bit_count("mask")).alias("hidden"))
-    mine = atoms if centers is None else atoms.where(centers)
-    out = mine.join(hidden, [*keys, "atom"], "left").withColumn("exposed", (F.lit(n_points) - F.coalesce("hidden", F.lit(0))).cast("int")).drop("hidden")
+    keys, atoms = keys or keys_of(atoms), expanded(atoms.drop("exposed", "sasa"), probe)
+    if pairs is None:
+        out = _swept(atoms, n_points, centers, keys, single, edge, False)
+    else:
+        hidden = covered(pairs, n_points, keys, single).groupBy(*keys, "atom").agg(F.sum(F.bit_count("mask")).alias("hidden"))
+        mine = atoms if centers is None else atoms.where(centers)
+        out = mine.join(hidden, [*keys, "atom"], "left").withColumn("exposed", (F.lit(n_points) - F.coalesce("hidden", F.lit(0))).cast("int")).drop("hidden")
     return out.withColumn("sasa", F.lit(4.0 * math.pi) * F.col("er") * F.col("er") * F.col("exposed") / F.lit(float(n_points)))
 
 
-def surface_points(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, keys: tuple[str, ...] = KEYS, edge: float | None = None) -> DataFrame:
+def surface_points(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, keys: tuple[str, ...] | None = None, edge: float | None = None) -> DataFrame:
     """The exposed points themselves: keys, atom, k, px, py, pz."""
-    atoms = expanded(atoms, probe)
-    masks = covered(neighbor_pairs(atoms, None, keys, edge), n_points, keys).select(*keys, "atom", "w", "mask")
-    points = F.broadcast(atoms.sparkSession.range(1).select(F.posexplode(point_rows(n_points)).alias("k", "p")).select("k", "p.*"))
-    every = atoms.select(*keys, "atom", "x", "y", "z", "er").crossJoin(points)
-    free = every.join(masks, [*keys, "atom", "w"], "left").where("mask is null or (mask & bit) = 0")
-    return free.select(*keys, "atom", "k", *(F.expr(f"{c} + er * u{c}").alias(f"p{c}") for c in "xyz"))
+    keys, atoms = keys or keys_of(atoms), expanded(atoms, probe)
+    free = _swept(atoms.select(*keys, "atom", "x", "y", "z", "er"), n_points, None, keys, False, edge, True).withColumn("k", F.explode("exposed"))
+    at = lambda i: F.element_at(F.array(*[F.lit(u[i]) for u in sphere_points(n_points)]), F.col("k") + 1)
+    return free.select(*keys, "atom", "k", *((F.col(c) + F.col("er") * at(i)).alias(f"p{c}") for i, c in enumerate("xyz")))
 
 
-def lee_richards(atoms: DataFrame, probe: float = 1.4, n_slices: int = 20, centers=None, keys: tuple[str, ...] = KEYS, edge: float | None = None) -> DataFrame:
+def lee_richards(atoms: DataFrame, probe: float = 1.4, n_slices: int = 20, centers=None, keys: tuple[str, ...] | None = None, edge: float | None = None) -> DataFrame:
     """All columns of the centre atoms, with er and sasa: exposed arc length of ``n_slices`` mid-plane circles.
 
     Arcs covered by neighbours are cut at 2 pi, sorted, and united with a running maximum (gaps and islands).
     """
-    atoms = expanded(atoms, probe)
+    keys, atoms = keys or keys_of(atoms), expanded(atoms, probe)
     two_pi = 2.0 * math.pi
     pairs = neighbor_pairs(atoms, centers, keys, edge)
     by = [*keys, "atom", "s"]

@@ -9,32 +9,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ("frame",)
+KEYS = ("structure", "frame")
+TILE = 4  # cells along the edge of a tile
+
+
+def keys_of(df: DataFrame, *more: str) -> tuple[str, ...]:
+    """What keeps atoms apart: structure and frame, as far as the table has them."""
+    return *(k for k in KEYS if k in df.columns), *more
 
 
 def expanded(atoms: DataFrame, probe: float) -> DataFrame:
     return atoms.withColumn("er", F.col("radius") + F.lit(float(probe)))
 
 
-def cell_edge(atoms: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def cell_edge(atoms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row a key: the edge of its cells."""
     return atoms.groupBy(*keys).agg((2.0 * F.max("er")).alias("edge"))
 
 
-def neighbor_pairs(atoms: DataFrame, centers=None, keys: tuple[str, ...] = KEYS, edge: float | None = None) -> DataFrame:
+def sized(atoms: DataFrame, keys: tuple[str, ...], edge: float | None) -> DataFrame:
+    """With the cell edge: as given, where a bound of the radii is known, else measured per key."""
+    return atoms.join(cell_edge(atoms, keys), list(keys)) if edge is None else atoms.withColumn("edge", F.lit(float(edge)))
+
+
+def tiled(atoms: DataFrame, centers, keys: tuple[str, ...], edge: float | None) -> DataFrame:
+    """Atoms of every tile and of the rim of one cell around it: keys, tx, ty, tz, er, x, y, z, edge, own.
+
+    ``own`` holds all columns of a centre atom in its own tile and is null in copies, so that a copy is a short row.
+    """
+    rows = sized(atoms.withColumn("own", F.when(F.lit(True) if centers is None else centers, F.struct(*[F.col(c) for c in atoms.columns]))), keys, edge)
+    out, at = rows.select(*keys, "x", "y", "z", "er", "edge", "own"), {}
+    for c in "xyz":
+        size = F.col("edge") * TILE
+        at[c] = F.floor(F.col(c) / size)
+        low, high = F.col(c) - at[c] * size < F.col("edge"), (at[c] + 1) * size - F.col(c) <= F.col("edge")
+        near = F.filter(F.array(at[c], F.when(low, at[c] - 1), F.when(high, at[c] + 1)), lambda t: t.isNotNull())
+        out = out.withColumn(f"t{c}", F.explode(near))
+    home = (F.col("tx") == at["x"]) & (F.col("ty") == at["y"]) & (F.col("tz") == at["z"])
+    return out.withColumn("own", F.when(home, F.col("own")))
+
+
+def neighbor_pairs(atoms: DataFrame, centers=None, keys: tuple[str, ...] | None = None, edge: float | None = None) -> DataFrame:
     """Ordered pairs with squared distance below (er + other's er) squared: keys, atom, x, y, z, er, ox, oy, oz, oer, d2.
 
     ``centers`` (a condition) restricts the atoms that pairs are looked up for; all atoms still serve as neighbours.
     ``edge`` gives the cell edge where a bound of the radii is known, else it is measured per key.
     """
-    if edge is None:
-        sized = atoms.join(cell_edge(atoms, keys), list(keys))
-    else:
-        sized = atoms.withColumn("edge", F.lit(float(edge)))
+    keys = keys or keys_of(atoms)
+    rows = sized(atoms, keys, edge)
     cell = [F.floor(F.col(c) / F.col("edge")).alias(f"c{c}") for c in "xyz"]
     cols = [*keys, "atom", "x", "y", "z", "er"]
-    near = sized.select(*keys, F.col("atom").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("er").alias("oer"), *cell)
-    mine = (sized if centers is None else sized.where(centers)).select(*cols, *cell)
+    near = rows.select(*keys, F.col("atom").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("er").alias("oer"), *cell)
+    mine = (rows if centers is None else rows.where(centers)).select(*cols, *cell)
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     mine = mine.withColumn("s", F.explode(shifts)).select(*cols, (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), (F.col("cz") + F.col("s.k")).alias("cz"))
     d2 = F.expr("(x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz)")
