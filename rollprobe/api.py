@@ -8,20 +8,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chemistry import RadiusConfig, canonical_atom_name, canonical_residue_name, element_from_mass
+from .functions.chemistry import RadiusConfig, backbone_column, canonical_atom_name, canonical_residue_name, element_from_mass
 from .functions.points import sphere_points as fibonacci_sphere_points
 from .operators import aggregate as A
 from .operators.embedding import SasaFingerprintEmbedder
-from .operators.features import interface, interface_residues, shielding
+from .operators.features import interface, interface_residues, relative, relative_summary, shielding
 from .operators.kernels import lee_richards as _lr
 from .operators.kernels import shrake_rupley as _sr
 from .operators.kernels import surface_points
+from .operators.neighbors import keys_of
 from .operators.timeseries import SUMMARY_STATISTIC_NAMES, flatten, kinetics, summarize, uncertainty
 from .plans.selection import select_all
 from .sources.structures import assign_radii, load_radius_config, read_topology
 
 __version__ = "0.1.0"
-__all__ = ["A", "RadiusConfig", "SUMMARY_STATISTIC_NAMES", "SasaEngine", "SasaFingerprintEmbedder", "SasaResult", "assign_radii", "canonical_atom_name", "canonical_residue_name", "element_from_mass", "extract_features", "fibonacci_sphere_points", "flatten", "from_arrays", "interface", "interface_residues", "kinetics", "lee_richards", "load_radius_config", "read_topology", "sasa", "shielding", "summarize", "surface_points", "uncertainty"]
+__all__ = ["A", "RadiusConfig", "SUMMARY_STATISTIC_NAMES", "SasaEngine", "SasaFingerprintEmbedder", "SasaResult", "assign_radii", "canonical_atom_name", "canonical_residue_name", "element_from_mass", "extract_features", "feature_metadata", "fibonacci_sphere_points", "flatten", "from_arrays", "interface", "interface_residues", "kinetics", "lee_richards", "load_radius_config", "read_topology", "sasa", "shielding", "summarize", "surface_points", "uncertainty"]
 
 
 def from_arrays(spark: SparkSession, positions: np.ndarray, radii: np.ndarray, residue_ids: np.ndarray | None = None) -> DataFrame:
@@ -43,15 +44,16 @@ def from_arrays(spark: SparkSession, positions: np.ndarray, radii: np.ndarray, r
 
 @dataclass
 class SasaResult:
-    """Lazy tables of one calculation."""
+    """Lazy tables of one calculation; ``frames`` are those asked for, with or without atoms."""
 
     atom: DataFrame
     names: tuple[str, ...] = ()
     masks: dict[str, Column] | None = None
+    frames: DataFrame | None = None
 
     @property
     def total(self) -> DataFrame:
-        return A.totals(self.atom)
+        return A.totals(self.atom, spine=self.frames)
 
     @property
     def residue(self) -> DataFrame:
@@ -59,7 +61,8 @@ class SasaResult:
 
     @property
     def selection(self) -> DataFrame:
-        return A.mask_sums(self.atom, self.masks or {})
+        sums = A.mask_sums(self.atom, self.masks or {})
+        return sums if self.frames is None else A.with_spine(sums, self.frames, keys_of(self.frames), tuple(self.masks or {}))
 
 
 class SasaEngine:
@@ -81,16 +84,25 @@ class SasaEngine:
     def close(self) -> None:
         """Nothing is held open."""
 
+    def check(self, atoms: DataFrame) -> None:
+        """Refuse coordinates that are null or not finite and radii that are below zero; one pass over the atoms."""
+        odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+        bad = odd("x") | odd("y") | odd("z") | odd("radius") | (F.col("radius") < 0)
+        n = atoms.where(bad).count()
+        if n:
+            raise ValueError(f"{n} atoms have coordinates that are not finite or radii below zero")
+
     def _masks(self, atoms: DataFrame, select: list[str] | None) -> dict[str, Column]:
         return {s.name: s.column for s in select_all(select or [], atoms)}
 
-    def sasa(self, atoms: DataFrame, select: list[str] | None = None, centers: Column | None = None) -> SasaResult:
+    def sasa(self, atoms: DataFrame, select: list[str] | None = None, centers: Column | None = None, frames: DataFrame | None = None) -> SasaResult:
+        """Shrake-Rupley areas; ``frames`` (the keys) gives frames a total of 0 where they have no atoms."""
         masks = self._masks(atoms, select)
-        return SasaResult(_sr(_framed(atoms), self.probe, self.n_points, centers, single=self.single), tuple(masks), masks)
+        return SasaResult(_sr(_framed(atoms), self.probe, self.n_points, centers, single=self.single), tuple(masks), masks, frames)
 
-    def lee_richards(self, atoms: DataFrame, select: list[str] | None = None, centers: Column | None = None) -> SasaResult:
+    def lee_richards(self, atoms: DataFrame, select: list[str] | None = None, centers: Column | None = None, frames: DataFrame | None = None) -> SasaResult:
         masks = self._masks(atoms, select)
-        return SasaResult(_lr(_framed(atoms), self.probe, self.n_slices, centers), tuple(masks), masks)
+        return SasaResult(_lr(_framed(atoms), self.probe, self.n_slices, centers), tuple(masks), masks, frames)
 
 
 def _framed(atoms: DataFrame) -> DataFrame:
@@ -105,12 +117,43 @@ def lee_richards(atoms: DataFrame, **kw) -> SasaResult:
     return SasaEngine(atoms.sparkSession, **kw).lee_richards(atoms)
 
 
-def extract_features(atoms: DataFrame, masks: dict[str, Column] | None = None, probe: float = 1.4, n_points: int = 100) -> DataFrame:
-    """Long rows (feature, idx, frame, value): totals, masked sums and residue areas of every frame."""
-    area = _sr(_framed(atoms), probe, n_points)
-    total = A.totals(area).select(F.lit("total_sasa").alias("feature"), F.lit(0).alias("idx"), "frame", F.col("total_sasa").alias("value"))
-    residue = A.residue_sums(area).select(F.lit("residue_sasa").alias("feature"), F.col("residue_id").alias("idx"), "frame", F.col("residue_sasa").alias("value"))
-    out = total.unionByName(residue)
-    for name, m in (masks or {}).items():
-        out = out.unionByName(A.mask_sums(area, {"v": m}).select(F.lit(name).alias("feature"), F.lit(0).alias("idx"), "frame", F.col("v").alias("value")))
+def extract_features(atoms: DataFrame, masks: dict[str, Column] | None = None, probe: float = 1.4, n_points: int = 100, interface_of: tuple[Column, Column] | None = None, shielded: tuple[Column, Column] | None = None, cutoff: float = 0.25) -> DataFrame:
+    """Long rows (structure, feature, idx, frame, value) of every frame.
+
+    Totals, residue areas, relative areas and their summary, backbone and side chains where the atoms have names, the
+    masks; with ``interface_of`` (two groups) and ``shielded`` (target, shield) those areas too.
+    """
+    atoms = _framed(atoms)
+    keys = keys_of(atoms)
+    area = _sr(atoms, probe, n_points)
+    own = [k for k in keys if k != "frame"]
+    row = lambda df, feature, value, idx=F.lit(0): df.select(*own, F.lit(feature).alias("feature"), idx.cast("int").alias("idx"), "frame", F.col(value).cast("double").alias("value"))
+    res = A.residue_sums(area)
+    parts = [row(A.totals(area), "total_sasa", "total_sasa"), row(res, "residue_sasa", "residue_sasa", F.col("residue_id"))]
+    if "residue_name" in atoms.columns:
+        rsa = relative(res, area.where("residue_id >= 0").groupBy(*own, "residue_id").agg(F.min("residue_name").alias("residue_name")))
+        parts.append(row(rsa.where("rsa is not null"), "rsa", "rsa", F.col("residue_id")))
+        short = relative_summary(rsa, cutoff)
+        parts += [row(short, c, c) for c in ("mean_rsa", "exposed_fraction", "buried_fraction")]
+    chosen = dict(masks or {})
+    if "atom_name" in atoms.columns:
+        bone = backbone_column(F.col("atom_name"))
+        chosen = {"backbone_sasa": bone, "sidechain_sasa": ~bone} | chosen
+    if chosen:
+        sums = A.mask_sums(area, chosen)
+        parts += [row(sums, n, n) for n in chosen]
+    if interface_of is not None:
+        both = interface(atoms, *interface_of, probe, n_points)
+        parts += [row(both, c, c) for c in both.columns if c not in keys]
+    if shielded is not None:
+        both = shielding(atoms, *shielded, probe, n_points)
+        parts += [row(both, f"glycan_{c}", c) for c in both.columns if c not in keys]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out
+
+
+def feature_metadata(probe: float = 1.4, n_points: int = 100, cutoff: float = 0.25, threshold: float = 0.0) -> dict[str, object]:
+    """What the numbers of :func:`extract_features` mean."""
+    return {"units": "square angstroms", "algorithm": "Shrake-Rupley", "probe_radius": probe, "n_points": n_points, "rsa_cutoff": cutoff, "exposure_threshold": threshold, "max_asa": "extended residues, ProtOr radii", "fractions": "areas are divided by at least 1e-12"}

@@ -13,12 +13,17 @@ ELEMENT_RADII = {"H": 1.10, "D": 1.10, "C": 1.70, "N": 1.55, "O": 1.52, "F": 1.4
 # Residue names that count as another.
 RESIDUE_NAME_ALIASES = {"HID": "HIS", "HIE": "HIS", "HIP": "HIS", "HSD": "HIS", "HSE": "HIS", "HSP": "HIS", "CYX": "CYS", "CYM": "CYS", "ASH": "ASP", "GLH": "GLU", "LYN": "LYS", "ARN": "ARG", "ADE": "A", "CYT": "C", "GUA": "G", "URA": "U", "THY": "DT"}
 # Standard residues, those the keyword ``protein`` takes besides, backbone atoms.
+RENAMED_IN = [*"SEC PYL".split()]  # residues besides the standard ones whose end atoms are renamed
 AMINO_ACIDS = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
 PROTEIN_NAMES = [*AMINO_ACIDS, *"SEC PYL ASX GLX HSD HSE HSP HID HIE HIP".split()]
 BACKBONE = ["N", "CA", "C", "O", "OXT", "P", "OP1", "OP2", "O5'", "C5'", "C4'", "O4'", "C3'", "O3'", "C2'", "C1'"]
+# Atoms of caps written inside an amino acid, of chain ends, of phosphates.
+CAP_ATOMS = {"CAY": ("ACE", "CH3"), "CAT": ("ACE", "CH3"), "CY": ("ACE", "C"), "OY": ("ACE", "O"), "NT": ("NH2", "N")}
+END_ATOMS = {"OT1": "O", "OC1": "O", "OT2": "OXT", "OC2": "OXT"}
+PHOSPHATE_ATOMS = {"O1P": "OP1", "O2P": "OP2"}
 # Tsai et al. 1999 united-atom types (radius, class).
 PROTOR_TYPES = {"C3H0": (1.61, "apolar"), "C3H1": (1.76, "apolar"), "C4H1": (1.88, "apolar"), "C4H2": (1.88, "apolar"), "C4H3": (1.88, "apolar"), "N3H0": (1.64, "polar"), "N3H1": (1.64, "polar"), "N3H2": (1.64, "polar"), "N4H3": (1.64, "polar"), "O1H0": (1.42, "polar"), "O2H1": (1.46, "polar"), "S2H0": (1.77, "polar"), "S2H1": (1.77, "polar")}
-# Side-chain atoms of each type, by residue, as the chemistry of the residue gives them.
+# Side-chain atoms of each type, by residue (Tsai et al. 1999).
 PROTOR_SIDE = {
     "ALA": "CB:C4H3", "ARG": "CB:C4H2 CG:C4H2 CD:C4H2 NE:N3H1 CZ:C3H0 NH1:N3H2 NH2:N3H2", "ASN": "CB:C4H2 CG:C3H0 OD1:O1H0 ND2:N3H2",
     "ASP": "CB:C4H2 CG:C3H0 OD1:O1H0 OD2:O2H1", "CYS": "CB:C4H2 SG:S2H1", "GLN": "CB:C4H2 CG:C4H2 CD:C3H0 OE1:O1H0 NE2:N3H2",
@@ -48,14 +53,11 @@ def canonical_atom_name(residue: str, atom: str) -> tuple[str, str]:
     base = RESIDUE_NAME_ALIASES.get(residue, residue)
     if base == "ILE" and atom == "CD":
         return base, "CD1"
-    if base in AMINO_ACIDS:
-        caps = {"CAY": ("ACE", "CH3"), "CAT": ("ACE", "CH3"), "CY": ("ACE", "C"), "OY": ("ACE", "O"), "NT": ("NH2", "N")}
-        if atom in caps:
-            return caps[atom]
-        return base, {"OT1": "O", "OC1": "O", "OT2": "OXT", "OC2": "OXT"}.get(atom, atom)
+    if base in AMINO_ACIDS or base in RENAMED_IN:
+        return CAP_ATOMS.get(atom) or (base, END_ATOMS.get(atom, atom))
     if base == "DT" and atom == "C5M":
         return base, "C7"
-    return base, {"O1P": "OP1", "O2P": "OP2"}.get(atom, atom)
+    return base, PHOSPHATE_ATOMS.get(atom, atom)
 
 
 @dataclass
@@ -82,9 +84,17 @@ class RadiusConfig:
         return default
 
 
-def parse_radius_config(text: str) -> RadiusConfig:
-    """Sections ``types:`` (TYPE radius [class]) and ``atoms:`` (RES ATOM TYPE); later lines win, # starts a comment."""
+def parse_radius_config(text: str, first_wins: bool = False) -> RadiusConfig:
+    """Sections ``types:`` (TYPE radius [class]) and ``atoms:`` (RES ATOM TYPE); # starts a comment.
+
+    Of repeated entries the last holds, as for structures, or with ``first_wins`` the first, as for trajectories.
+    """
     out, section = RadiusConfig("config"), None
+
+    def put(table: dict, key: str, value) -> None:
+        if not (first_wins and key in table):
+            table[key] = value
+
     for raw in text.splitlines():
         line = raw.split("#", 1)[0].strip()
         if not line:
@@ -97,9 +107,9 @@ def parse_radius_config(text: str) -> RadiusConfig:
             continue
         words = line.upper().split()
         if section == "types":
-            out.types[words[0]] = (float(words[1]), words[2].lower() if len(words) > 2 else "unknown")
+            put(out.types, words[0], (float(words[1]), words[2].lower() if len(words) > 2 else "unknown"))
         elif section == "atoms":
-            out.atoms[f"{words[0]}:{words[1]}"] = words[2]
+            put(out.atoms, f"{words[0]}:{words[1]}", words[2])
     return out
 
 
@@ -126,7 +136,28 @@ def element_from_mass(mass: float, name: str = "") -> str | None:
     return next(iter(agreeing + fits[0] + [e for found in fits[1:] for e in found]), None)
 
 
+def provenance(config: RadiusConfig | None, path: str | None = None) -> str:
+    """Where radii come from, as reports say it."""
+    return "element (Bondi)" if config is None else f"{config.name} ({path})" if path else f"{config.name} (built-in)"
+
+
 # ---------------------------------------------------------------- columns
+def mass_element_column(mass: Column, name: Column) -> Column:
+    """:func:`element_from_mass` as an expression over literal arrays of candidates."""
+    letters = F.upper(F.regexp_replace(name, r"[^A-Za-z]", ""))
+    two = F.substring(letters, 1, 2)
+    named = F.when(two.isin(TWO_LETTERS), two).otherwise(F.substring(letters, 1, 1))
+    table = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(w - 2.016 * k).alias("w")) for k in range(4) for e, w in MASSES.items()])
+    fits = F.filter(table, lambda t: F.abs(mass - t["w"]) < 0.1)
+    agreeing = F.filter(fits, lambda t: (t["e"] == named) | (t["e"] == F.substring(named, 1, 1)))
+    return F.when(mass < 0.9, F.lit(None).cast("string")).when(mass < 4.5, "H").otherwise(F.coalesce(F.get(agreeing, F.lit(0))["e"], F.get(fits, F.lit(0))["e"]))
+
+
+def canonical_residue_column(residue: Column) -> Column:
+    name = F.upper(F.trim(residue))
+    return F.coalesce(literal_map(RESIDUE_NAME_ALIASES)[name], name)
+
+
 def element_column(element: Column, atom_name: Column) -> Column:
     """The element column where filled, else by the name: known two-letter elements, else the first letter."""
     letters = F.upper(F.regexp_extract(atom_name, r"([A-Za-z]+)", 1))
@@ -145,7 +176,7 @@ def radius_column(config: RadiusConfig | None, residue: Column, atom: Column, el
         steps += [table[F.concat_ws(":", res, name)], table[F.concat_ws(":", base, name)]]
         if any_residue:
             steps.append(table[F.concat(F.lit("ANY:"), name)])
-        renamed = {f"{r}:{a}": ":".join(canonical_atom_name(r, a)) for r in [*AMINO_ACIDS, "A", "C", "G", "U", "DT"] for a in ("CD", "OT1", "OC1", "OT2", "OC2", "CAY", "CAT", "CY", "OY", "NT", "O1P", "O2P", "C5M") if canonical_atom_name(r, a) != (r, a)}
+        renamed = {f"{r}:{a}": ":".join(canonical_atom_name(r, a)) for r in [*AMINO_ACIDS, *RENAMED_IN, "A", "C", "G", "U", "DT"] for a in ("CD", "OT1", "OC1", "OT2", "OC2", "CAY", "CAT", "CY", "OY", "NT", "O1P", "O2P", "C5M") if canonical_atom_name(r, a) != (r, a)}
         steps.append(table[literal_map(renamed)[F.concat_ws(":", base, name)]])
     steps.append(literal_map(ELEMENT_RADII)[F.upper(F.trim(element))])
     if unknown is not None:

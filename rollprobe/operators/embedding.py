@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,20 @@ def column_stats(rows: DataFrame, width: int, col: str = "v") -> tuple[np.ndarra
 
 
 def gram(rows: DataFrame, width: int, col: str = "v", scale: np.ndarray | None = None, center: bool = True) -> DataFrame:
-    """(i, j, dot) for i <= j of the centred coordinates: partial sums per task, width * (width + 1) / 2 rows out."""
+    """(i, j, dot) for i <= j of the centred coordinates: one partial matrix a task, width * (width + 1) / 2 rows out."""
     mean = column_stats(rows, width, col)[0] if center else np.zeros(width)
     scale = np.ones(width) if scale is None else scale
-    c = F.transform(F.col(col), lambda x, i: (x - F.element_at(F.array(*map(F.lit, mean.tolist())), i + 1)) / F.element_at(F.array(*map(F.lit, scale.tolist())), i + 1))
-    both = rows.select(c.alias("c")).select("c", F.posexplode("c").alias("i", "a")).select("i", "a", F.posexplode(F.slice("c", F.col("i") + 1, F.lit(width))).alias("k", "b"))
-    return both.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    i, j = np.triu_indices(width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            x = (b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean) / scale
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "dot"])
+
+    vectors = rows.select(F.col(col).cast("array<double>").alias("v")).where(F.size("v") == width)
+    return vectors.mapInArrow(partial, "i int, j int, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +40,44 @@ def kinetics(series: DataFrame, threshold: float = 0.0, hysteresis: float = 0.0,
     return ends.join(dwell, list(by), "left").select(*by, F.col("last").alias("transitions"), rate.alias("rate"), (F.col("up") / F.col("frames")).alias("exposed_fraction"), "exposed_dwell", "buried_dwell")
 
 
-def block_error(series: DataFrame, block_size: int, by: tuple[str, ...] = BY) -> DataFrame:
-    """Standard error from means of whole consecutive blocks (two at least)."""
+def block_error(series: DataFrame, block_size: int | None = None, by: tuple[str, ...] = BY) -> DataFrame:
+    """Standard error from means of whole consecutive blocks (two at least); by default of about sqrt(n) frames (half to even)."""
     w = Window.partitionBy(*by).orderBy("frame")
-    blocks = series.withColumn("b", F.floor((F.row_number().over(w) - 1) / block_size)).groupBy(*by, "b").agg(F.avg("value").alias("m"), F.count("*").alias("n")).where(F.col("n") == block_size)
-    return blocks.groupBy(*by).agg(F.count("*").alias("blocks"), F.when(F.count("*") >= 2, F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("block_se"))
+    size = F.greatest(F.bround(F.sqrt(F.count("*")), 0).cast("int"), F.lit(1)) if block_size is None else F.lit(block_size)
+    sizes = series.groupBy(*by).agg(size.alias("block_size"))
+    pos = series.withColumn("i", F.row_number().over(w) - 1).join(sizes, list(by))
+    blocks = pos.groupBy(*by, "block_size", F.floor(F.col("i") / F.col("block_size")).alias("b")).agg(F.avg("value").alias("m"), F.count("*").alias("n")).where("n = block_size")
+    return blocks.groupBy(*by, "block_size").agg(F.count("*").alias("blocks"), F.when(F.count("*") >= 2, F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("block_se"))
+
+
+CHUNK = 1 << 16  # frames whose products are summed in one task
 
 
 def autocorrelation(series: DataFrame, max_lag: int, by: tuple[str, ...] = BY) -> DataFrame:
-    """rho(lag) of every series for lags 1..max_lag, by one self-join on shifted positions."""
+    """rho(lag) of every series for lags 1..max_lag.
+
+    A series is cut into chunks of consecutive frames; a chunk also gets the ``max_lag`` frames that follow it, sums its
+    products for every lag at once, and the sums of all chunks are added up.
+    """
     w = Window.partitionBy(*by).orderBy("frame")
-    pos = series.withColumn("i", F.row_number().over(w))
+    chunk = max(CHUNK, max_lag)
     stats = series.groupBy(*by).agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.count("*").alias("n"))
-    c = pos.join(stats, list(by)).select(*by, "i", "n", "var", (F.col("value") - F.col("mean")).alias("d"))
-    ahead = c.select(*by, F.col("d").alias("e"), "i", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")).withColumn("i", F.col("i") - F.col("lag")).where("i > 0")
-    return c.join(ahead, [*by, "i"]).groupBy(*by, "lag", "n", "var").agg(F.sum(F.col("d") * F.col("e")).alias("s")).select(*by, "lag", F.when(F.col("var") > 0, F.col("s") / (F.col("n") * F.col("var"))).alias("rho"))
+    pos = series.withColumn("i", F.row_number().over(w) - 1).join(stats, list(by)).withColumn("own", F.floor(F.col("i") / chunk))
+    also = F.when((F.col("own") > 0) & (F.col("i") % chunk < max_lag), F.array("own", F.col("own") - 1)).otherwise(F.array("own"))
+    rows = pos.select(*by, F.explode(also).alias("chunk"), F.col("i").cast("long").alias("i"), (F.col("value") - F.col("mean")).alias("d"))
+
+    def products(t: pa.Table) -> pa.Table:
+        i, d = t.column("i").to_numpy(), t.column("d").to_numpy()
+        order = np.argsort(i)
+        d, n = d[order], int((i < (t.column("chunk")[0].as_py() + 1) * chunk).sum())
+        lags = np.arange(1, min(max_lag, len(d) - 1) + 1)
+        s = np.array([d[: min(n, len(d) - k)] @ d[k : k + min(n, len(d) - k)] for k in lags])
+        return pa.table({**{c: pa.repeat(t.column(c)[0], len(lags)) for c in by}, "lag": lags.astype(np.int32), "s": s.astype(np.float64)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
+    sums = rows.groupBy(*by, "chunk").applyInArrow(products, ", ".join(f"{c} {kinds[c]}" for c in by) + ", lag int, s double")
+    sums = sums.groupBy(*by, "lag").agg(F.sum("s").alias("s"))
+    return sums.join(stats, list(by)).select(*by, "lag", F.when(F.col("var") > 0, F.col("s") / (F.col("n") * F.col("var"))).alias("rho"))
 
 
 def uncertainty(series: DataFrame, max_lag: int = 1000, by: tuple[str, ...] = BY) -> DataFrame:

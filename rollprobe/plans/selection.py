@@ -24,6 +24,7 @@ class Selection:
     name: str
     column: Column
     warnings: list[str] = field(default_factory=list)
+    items: list[tuple[str, Column]] = field(default_factory=list)  # single values, for warnings of those that match nothing
 
 
 def split_command(text: str) -> tuple[str, str]:
@@ -63,6 +64,7 @@ def tokenize(text: str) -> list[tuple[str, str]]:
 class _Parser:
     def __init__(self, tokens: list[tuple[str, str]], bounds: tuple[int, int] | None, warnings: list[str]) -> None:
         self.t, self.i, self.bounds, self.warnings = tokens, 0, bounds, warnings
+        self.single: list[tuple[str, Column]] = []
 
     def peek(self) -> tuple[str, str]:
         return self.t[self.i] if self.i < len(self.t) else ("", "")
@@ -149,7 +151,8 @@ class _Parser:
         col = {"name": "atom_name", "symbol": "element", "resn": "residue_name", "resi": "residue_label", "chain": "chain", "segid": "segment"}[what]
         same = F.upper(F.trim(F.col(col))) == u
         if what == "resi" and re.fullmatch(r"-?\d+", v):
-            return same | (F.col("residue_number") == int(v))
+            same = same | (F.col("residue_number") == int(v))
+        self.single.append((f"{what} {v}", same))
         return same
 
     def span(self, what: str, low: str | None, high: str | None) -> Column | None:
@@ -166,6 +169,8 @@ class _Parser:
         if any(x is not None and not re.fullmatch(r"-?\d+", x) for x in (low, high)):
             self.warn(f"resi {low}-{high}")
             return None
+        if self.bounds is None and (low is None or high is None):
+            raise ValueError("an open range needs the atoms or their bounds")
         first, last = self.bounds or (None, None)
         a, b = int(low) if low is not None else first, int(high) if high is not None else last
         n, out = F.col("residue_number"), F.lit(True)
@@ -201,7 +206,7 @@ def select(command: str, atoms: DataFrame | None = None, bounds: tuple[int, int]
     column = p.either()
     if p.i != len(tokens):
         raise ValueError(f"unexpected {tokens[p.i][1]!r}")
-    return Selection(name, F.coalesce(column, F.lit(False)), warnings)
+    return Selection(name, F.coalesce(column, F.lit(False)), warnings, p.single)
 
 
 def select_all(commands: list[str], atoms: DataFrame | None = None) -> list[Selection]:
@@ -211,6 +216,36 @@ def select_all(commands: list[str], atoms: DataFrame | None = None) -> list[Sele
     return [select(c, atoms, bounds) for c in commands]
 
 
+def unmatched_items(atoms: DataFrame, commands: list[str]) -> DataFrame:
+    """(selection, item) of every valid single value that matches no atom; one pass over the atoms."""
+    found = [(s.name, text, c) for s in select_all(commands, atoms) for text, c in s.items]
+    if not found:
+        return atoms.sparkSession.createDataFrame([], "selection string, item string")
+    hits = atoms.agg(*[F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(f"i{k}") for k, (_, _, c) in enumerate(found)])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("selection"), F.lit(text).alias("item"), F.col(f"i{k}").alias("hit")) for k, (name, text, _) in enumerate(found)]))
+    return hits.select(rows.alias("r")).select("r.*").where("hit = 0").select("selection", "item").distinct()
+
+
+def with_masks(metadata: DataFrame, commands: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """(metadata with a boolean column ``sel_<name>`` for each command, names, warnings).
+
+    Columns that the metadata lacks (labels, segments, elements, chains) count as empty.
+    """
+    for c in ("atom_name", "residue_name", "residue_label", "chain", "segment", "element"):
+        if c not in metadata.columns:
+            metadata = metadata.withColumn(c, F.col("residue_number").cast("string") if c == "residue_label" and "residue_number" in metadata.columns else F.lit(""))
+    found = select_all(commands, metadata)
+    return metadata.withColumns({f"sel_{s.name}": s.column for s in found}), [s.name for s in found], [w for s in found for w in s.warnings]
+
+
+def compacted(atoms: DataFrame, commands: list[str], universe: Column) -> DataFrame:
+    """(selection, atoms, kept): how many atoms of each selection, made on all atoms, are in the universe of a filter."""
+    found = select_all(commands, atoms)
+    one = atoms.agg(*[F.count(F.when(s.column, 1)).alias(f"a{i}") for i, s in enumerate(found)], *[F.count(F.when(s.column & universe, 1)).alias(f"k{i}") for i, s in enumerate(found)])
+    rows = F.explode(F.array(*[F.struct(F.lit(s.name).alias("selection"), F.col(f"a{i}").alias("atoms"), F.col(f"k{i}").alias("kept")) for i, s in enumerate(found)]))
+    return one.select(rows.alias("r")).select("r.*")
+
+
 def unmatched(atoms: DataFrame, commands: list[str]) -> list[str]:
     """Selections that match no atom (one pass over the atoms)."""
     found = select_all(commands, atoms)

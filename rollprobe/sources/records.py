@@ -22,12 +22,24 @@ def altloc_letter_filter(atoms: DataFrame, residue: list[str], atom: list[str],
     return kept.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
+RANGE = 4096  # atom numbers whose runs are counted together
+
+
 def residue_runs(atoms: DataFrame, keys: list[str], within: tuple[str, ...] = (), order: str = "atom") -> DataFrame:
-    """residue_id counts up where the key differs from the row before (runs, not distinct values)."""
-    w = Window.partitionBy(*within).orderBy(order)
-    key = F.struct(*keys)
-    new = F.coalesce((key != F.lag(key).over(w)).cast("int"), F.lit(1))
-    return atoms.withColumn("_new", new).withColumn("residue_id", (F.sum("_new").over(w) - 1).cast("int")).drop("_new")
+    """residue_id counts up where the key differs from the row before (runs, not distinct values).
+
+    Runs are counted inside ranges of ``order``, and from one range to the next on one row a range.
+    """
+    key, by = F.struct(*keys), [*within, "_range"]
+    w = Window.partitionBy(*by).orderBy(order)
+    new = F.when(F.row_number().over(w) == 1, 0).otherwise(F.coalesce((key != F.lag(key).over(w)).cast("int"), F.lit(1)))
+    rows = atoms.withColumn("_range", F.floor(F.col(order) / RANGE)).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    ends = rows.groupBy(*by).agg(F.min_by(key, order).alias("_first"), F.max_by(key, order).alias("_last"), F.sum("_new").alias("_inner"))
+    on = Window.partitionBy(*within).orderBy("_range")
+    ends = ends.withColumn("_start", F.coalesce((F.col("_first") != F.lag("_last").over(on)).cast("int"), F.lit(1)))
+    before = F.coalesce(F.sum("_inner").over(on.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(*by, (F.sum("_start").over(on) + before - 1).alias("_base"))
+    return rows.join(ends, by).withColumn("residue_id", (F.col("_base") + F.col("_run")).cast("int")).drop("_range", "_new", "_run", "_base")
 
 
 def frame_numbers(spec: str, n: int | None) -> tuple[int, int | None, int]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.chemistry import RadiusConfig, class_column, element_column, element_from_mass, parse_radius_config, protor, radius_column
+from ..functions.chemistry import RadiusConfig, class_column, element_column, mass_element_column, parse_radius_config, protor, radius_column
 from .records import altloc_filter, altloc_letter_filter, residue_runs
 
 
@@ -25,9 +30,16 @@ def _number(c) -> F.Column:
 
 
 def read_pdb(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False, align: bool = False) -> DataFrame:
-    """Atoms of PDB files. ``align`` keeps every record (no model, location, hetero or hydrogen rule), so that rows match a
-    trajectory's atoms; short lines and non-numeric coordinates raise on use."""
-    rows = _lines(spark, path)
+    """Atoms of PDB files, see :func:`pdb_atoms`."""
+    return pdb_atoms(_lines(spark, path), hetatm, hydrogen, join_models, align)
+
+
+def pdb_atoms(rows: DataFrame, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False, align: bool = False) -> DataFrame:
+    """Atoms of the lines (structure, line, value) of PDB files, with the ``line`` they came from.
+
+    ``align`` keeps every record (no model, location, hetero or hydrogen rule), so that rows match a trajectory's atoms;
+    short lines and non-numeric coordinates raise on use.
+    """
     w_model = F.sum((F.substring("value", 1, 5) == "MODEL").cast("int")).over(_by("structure", "line"))
     rows = rows.withColumn("model", w_model).where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
     if not join_models and not align:
@@ -38,7 +50,7 @@ def read_pdb(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: boo
         "structure", "line", "model", piece(1, 6).alias("record"), piece(13, 4).alias("atom_name"), F.substring("value", 17, 1).alias("altloc"), piece(18, 3).alias("residue_name"), piece(22, 1).alias("chain"),
         (piece(23, 4) if align else piece(23, 5)).alias("residue_label"), piece(73, 4).alias("segment"), piece(77, 2).alias("el"), *xyz,
     )
-    atoms = atoms.withColumn("element", element_column(F.col("el"), F.col("atom_name"))).withColumn("is_het", F.col("record") == "HETATM").withColumn("is_h", F.col("element").isin("H", "D")).withColumn("residue_number", F.regexp_extract("residue_label", r"(-?\d+)", 1).cast("int"))
+    atoms = atoms.withColumn("element", element_column(F.col("el"), F.col("atom_name"))).withColumn("is_het", F.col("record") == "HETATM").withColumn("is_h", F.col("element").isin("H", "D")).withColumn("residue_number", _residue_number())
     if not align:
         if not hetatm:
             atoms = atoms.where(~F.col("is_het"))
@@ -48,6 +60,12 @@ def read_pdb(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: boo
     return _numbered(atoms, ["model", "chain", "residue_label", "residue_name"])
 
 
+def _residue_number():
+    """The number in a residue label; null where it has none."""
+    digits = F.regexp_extract("residue_label", r"(-?\d+)", 1)
+    return F.when(digits != "", digits).cast("int")
+
+
 def _by(part: str, order: str):
     from pyspark.sql import Window
 
@@ -56,37 +74,84 @@ def _by(part: str, order: str):
 
 def _numbered(atoms: DataFrame, key: list[str]) -> DataFrame:
     atoms = atoms.withColumn("atom", (F.row_number().over(_by("structure", "line")) - 1).cast("int"))
-    return residue_runs(atoms, key, within=("structure",)).drop("el", "altloc", "line")
+    return residue_runs(atoms, key, within=("structure",)).drop("el", "altloc")
+
+
+CIF_TOKEN = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(\#.*)|(\S+)""")
+
+
+def cif_tokens(text: str) -> Iterator[tuple[bool, str]]:
+    """(quoted, text) of every token; text blocks between lines that begin with ; are quoted tokens."""
+    block: list[str] | None = None
+    for line in text.splitlines():
+        if line.startswith(";"):
+            if block is None:
+                block = [line[1:]]
+            else:
+                yield True, "\n".join(block)
+                block = None
+                line = line[1:]
+            if block is not None:
+                continue
+        elif block is not None:
+            block.append(line)
+            continue
+        for m in CIF_TOKEN.finditer(line):
+            if m[3] is None:
+                quoted = m[4] is None
+                yield quoted, (m[1] if m[1] is not None else m[2]) if quoted else m[4]
+    if block is not None:
+        raise ValueError("a text block does not end")
+
+
+def atom_site(text: str) -> pd.DataFrame:
+    """The ``_atom_site`` loop: rows may span lines, and one that is cut short is an error."""
+    heads: list[str] = []
+    values: list[str] = []
+    state = ""
+    for quoted, t in cif_tokens(text):
+        word = "" if quoted else t.lower()
+        if word == "loop_":
+            if heads:
+                break
+            state = "tags"
+        elif state == "tags" and word.startswith("_atom_site."):
+            heads.append(t[11:])
+        elif state == "tags" and heads and not word.startswith("_"):
+            state = "rows"
+            values.append(t)
+        elif state == "rows" and (word.startswith(("_", "data_", "save_")) or word == "stop_"):
+            break
+        elif state == "rows":
+            values.append(t)
+        elif state == "tags" and not heads:
+            state = ""
+    if heads and len(values) % len(heads):
+        raise ValueError(f"_atom_site: {len(values)} values for {len(heads)} columns")
+    n = len(heads)
+    return pd.DataFrame({h: values[i::n] for i, h in enumerate(heads)}, dtype=str)
 
 
 def read_mmcif(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False) -> DataFrame:
     """Atoms of the ``_atom_site`` loop of mmCIF files, by author names."""
+    text = spark.read.text(path, wholetext=True).withColumn("structure", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).select("structure", "value")
+    return mmcif_atoms(text, hetatm, hydrogen, join_models)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import shlex
 
+def mmcif_atoms(text: DataFrame, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False) -> DataFrame:
+    """Atoms of whole mmCIF texts (structure, value)."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for name, text in zip(pdf["structure"], pdf["value"], strict=True):
-                heads, rows, on = [], [], False
-                for line in text.splitlines():
-                    if line.startswith("_atom_site."):
-                        heads.append(line.split()[0][11:])
-                        on = True
-                    elif on and (not line.strip() or line[0] in "#_" or line.startswith(("loop_", "data_"))):
-                        if rows:
-                            break
-                    elif on and heads:
-                        words = line.split() if "'" not in line and '"' not in line else shlex.split(line, posix=True) if line.count('"') % 2 == 0 and line.count("'") % 2 == 0 else line.split()
-                        words = [w.strip('"') for w in words]
-                        if len(words) == len(heads):
-                            rows.append(words)
-                t = pd.DataFrame(rows, columns=heads)
+                t = atom_site(text)
+                if not len(t):
+                    continue
                 col = lambda c, alt="": (t[c] if c in t else t[alt] if alt in t else pd.Series([""] * len(t))).replace({"?": "", ".": ""})  # noqa: E731, B023
                 yield pd.DataFrame({"structure": name, "line": range(len(t)), "model": pd.to_numeric(col("pdbx_PDB_model_num").replace("", "1")).astype("int32"), "record": col("group_PDB"), "atom_name": col("auth_atom_id", "label_atom_id"), "altloc": col("label_alt_id").replace("", " "), "residue_name": col("auth_comp_id", "label_comp_id"), "chain": col("auth_asym_id", "label_asym_id"), "residue_label": col("auth_seq_id", "label_seq_id") + col("pdbx_PDB_ins_code"), "segment": "", "el": col("type_symbol"), "x": pd.to_numeric(t["Cartn_x"]), "y": pd.to_numeric(t["Cartn_y"]), "z": pd.to_numeric(t["Cartn_z"])})
 
-    text = spark.read.text(path, wholetext=True).withColumn("structure", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).select("structure", "value")
     atoms = text.mapInPandas(parse, "structure string, line int, model int, record string, atom_name string, altloc string, residue_name string, chain string, residue_label string, segment string, el string, x double, y double, z double")
-    atoms = atoms.withColumn("element", element_column(F.col("el"), F.col("atom_name"))).withColumn("is_het", F.col("record") == "HETATM").withColumn("is_h", F.col("element").isin("H", "D")).withColumn("residue_number", F.regexp_extract("residue_label", r"(-?\d+)", 1).cast("int"))
+    atoms = atoms.withColumn("element", element_column(F.col("el"), F.col("atom_name"))).withColumn("is_het", F.col("record") == "HETATM").withColumn("is_h", F.col("element").isin("H", "D")).withColumn("residue_number", _residue_number())
     if not join_models:
         first = atoms.groupBy("structure").agg(F.min_by("model", "line").alias("first"))
         atoms = atoms.join(first, "structure").where("model = first").drop("first")
@@ -99,15 +164,17 @@ def read_mmcif(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: b
 
 
 def read_psf(spark: SparkSession, path: str) -> DataFrame:
-    """Topology rows of PSF files (no coordinates); the element comes from the mass."""
-    rows = _lines(spark, path)
+    """Topology rows of PSF files, see :func:`psf_atoms`."""
+    return psf_atoms(_lines(spark, path))
+
+
+def psf_atoms(rows: DataFrame) -> DataFrame:
+    """Topology rows of the lines (structure, line, value) of PSF files (no coordinates); the element comes from the mass."""
     start = rows.where(F.col("value").contains("!NATOM")).select("structure", F.col("line").alias("head"), F.regexp_extract("value", r"(\d+)", 1).cast("int").alias("n"))
     body = rows.join(F.broadcast(start), "structure").where("line > head and line <= head + n").withColumn("f", F.split(F.trim("value"), r"\s+"))  # one row a file
-    element = F.udf(element_from_mass, "string")
     atoms = body.select("structure", "line", F.get("f", F.lit(1)).alias("segment"), F.get("f", F.lit(2)).alias("residue_label"), F.get("f", F.lit(3)).alias("residue_name"), F.get("f", F.lit(4)).alias("atom_name"), F.get("f", F.lit(7)).cast("double").alias("mass"), F.lit("").alias("chain"), F.lit("").alias("el"), F.lit(" ").alias("altloc"))
-    kinds = atoms.select("mass", "atom_name").distinct().withColumn("by_mass", element(F.col("mass"), F.col("atom_name")))
-    atoms = atoms.join(kinds, ["mass", "atom_name"], "left").withColumn("element", F.coalesce("by_mass", element_column(F.lit(""), F.col("atom_name")))).drop("by_mass")
-    atoms = atoms.withColumn("residue_number", F.regexp_extract("residue_label", r"(-?\d+)", 1).cast("int")).withColumn("is_h", F.col("element").isin("H", "D")).withColumn("is_het", F.lit(False))
+    atoms = atoms.withColumn("element", F.coalesce(mass_element_column(F.col("mass"), F.col("atom_name")), element_column(F.lit(""), F.col("atom_name"))))
+    atoms = atoms.withColumn("residue_number", _residue_number()).withColumn("is_h", F.col("element").isin("H", "D")).withColumn("is_het", F.lit(False))
     return _numbered(atoms, ["segment", "residue_label", "residue_name"])
 
 
@@ -123,9 +190,9 @@ def assign_radii(atoms: DataFrame, config: RadiusConfig | None = None, any_resid
     return out.withColumn("radius", F.coalesce("radius", F.lit(float(fallback))))
 
 
-def load_radius_config(path: str) -> RadiusConfig:
+def load_radius_config(path: str, first_wins: bool = False) -> RadiusConfig:
     with open(path, encoding="utf-8") as f:
-        return parse_radius_config(f.read())
+        return parse_radius_config(f.read(), first_wins)
 
 
 # ---------------------------------------------------------------- DCD
@@ -141,21 +208,67 @@ def _dcd_layout(data: bytes) -> tuple[str, int, int, int, bool]:
     return order, frames, n_atoms, at + 12, cell
 
 
-def read_dcd(spark: SparkSession, path: str) -> DataFrame:
-    """structure, frame, atom, x, y, z; files are read by Spark's binary reader, frames unpacked in its tasks."""
+class _Frames(InputPartition):
+    def __init__(self, path: str, first: int, stop: int) -> None:
+        self.path, self.first, self.stop = path, first, stop
+
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf["structure"], pdf["content"], strict=True):
-                order, n_frames, n, at, cell = _dcd_layout(data)
-                size = 3 * (4 * n + 8) + (56 if cell else 0)
-                for k in range(min(n_frames, (len(data) - at) // size)):
-                    own = at + k * size + (56 if cell else 0)
-                    xyz = [np.frombuffer(data, order + "f4", n, own + i * (4 * n + 8) + 4).astype(np.float64) for i in range(3)]
-                    yield pd.DataFrame({"structure": name, "frame": k, "atom": range(n), "x": xyz[0], "y": xyz[1], "z": xyz[2]})
+class _DcdReader(DataSourceReader):
+    """Ranges of frames of about ``range_bytes`` are read by offset, each in a task of its own."""
 
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("structure"), "content")
-    return files.mapInPandas(frames, "structure string, frame int, atom int, x double, y double, z double")
+    def __init__(self, options: dict) -> None:
+        self.path, self.bytes = options["path"], int(options.get("range_bytes", 64 << 20))
+
+    def layout(self, path: str) -> tuple[str, int, int, int, bool, int]:
+        fs, p = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        with fs.open_input_file(p) as f:
+            size = f.size()
+            order, n_frames, n, at, cell = _dcd_layout(f.read(min(size, 1 << 16)))
+        step = 3 * (4 * n + 8) + (56 if cell else 0)
+        return order, min(n_frames, (size - at) // step), n, at, cell, step
+
+    def partitions(self) -> list[InputPartition]:
+        fs, p = pa.fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pa.fs.LocalFileSystem(), self.path)
+        info = fs.get_file_info(p)
+        found = [x.path for x in fs.get_file_info(pa.fs.FileSelector(p)) if x.path.lower().endswith(".dcd")] if info.type == pa.fs.FileType.Directory else [p]
+        head = self.path[: len(self.path) - len(p)] if self.path.endswith(p) else ""
+        out: list[InputPartition] = []
+        for x in sorted(found):
+            _, frames, _, _, _, step = self.layout(head + x)
+            each = max(1, self.bytes // max(step, 1))
+            out += [_Frames(head + x, k, min(frames, k + each)) for k in range(0, frames, each)]
+        return out
+
+    def read(self, partition: _Frames) -> Iterator[pa.RecordBatch]:
+        order, _, n, at, cell, step = self.layout(partition.path)
+        name = re.sub(r"\.[^./]*$", "", partition.path.rsplit("/", 1)[-1])
+        fs, p = pa.fs.FileSystem.from_uri(partition.path) if "://" in partition.path or partition.path.startswith("file:") else (pa.fs.LocalFileSystem(), partition.path)
+        with fs.open_input_file(p) as f:
+            for k in range(partition.first, partition.stop):
+                f.seek(at + k * step + (56 if cell else 0))
+                data = f.read(3 * (4 * n + 8))
+                xyz = [np.frombuffer(data, order + "f4", n, i * (4 * n + 8) + 4).astype(np.float64) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, k, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, xyz)], names=["structure", "frame", "atom", "x", "y", "z"])
+
+
+class DcdSource(DataSource):
+    """``spark.read.format("dcd")``: a file or a folder of DCD trajectories."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "dcd"
+
+    def schema(self) -> str:
+        return "structure string, frame int, atom int, x double, y double, z double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DcdReader(self.options)
+
+
+def read_dcd(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """structure, frame, atom, x, y, z of DCD files, read by ranges of frames; a cut last frame is left out."""
+    spark.dataSource.register(DcdSource)
+    return spark.read.format("dcd").option("range_bytes", range_bytes).load(path)
 
 
 def dcd_bytes(xyz: np.ndarray) -> bytes:
@@ -177,6 +290,23 @@ def read_topology(spark: SparkSession, path: str, **options) -> DataFrame:
     return READERS.get(path.rsplit(".", 1)[-1].lower(), read_pdb)(spark, path, **options)
 
 
-def with_coordinates(atoms: DataFrame, coords: DataFrame) -> DataFrame:
-    """Topology rows at every frame, joined by atom number."""
-    return coords.select("frame", "atom", "x", "y", "z").join(atoms.drop("x", "y", "z"), "atom")
+def with_coordinates(atoms: DataFrame, coords: DataFrame, check: bool = False) -> DataFrame:
+    """Topology rows at every frame, joined by structure (where both have it) and atom number.
+
+    ``check`` refuses, in one pass over each table, frames with another number of atoms than the topology.
+    """
+    by = [c for c in ("structure", "atom") if c in atoms.columns and c in coords.columns]
+    if check:
+        own = [c for c in by if c != "atom"]
+        frames = coords.groupBy(*own, "frame").agg(F.count("*").alias("n"))
+        there = atoms.groupBy(*own).agg(F.count("*").alias("m"))
+        bad = (frames.join(there, own, "left") if own else frames.crossJoin(there)).where("n <> coalesce(m, 0)").first()
+        if bad is not None:
+            raise ValueError(f"frame {bad.frame} has {bad.n} atoms, the topology {bad.m}")
+    return coords.select(*by, "frame", "x", "y", "z").join(atoms.drop("x", "y", "z", "frame"), by)
+
+
+def radius_config(path: str | None = None, first_wins: bool = False) -> RadiusConfig:
+    """The table given, else the one named by ROLLPROBE_RADII, else the built-in one."""
+    path = path or os.environ.get("ROLLPROBE_RADII")
+    return load_radius_config(path, first_wins) if path else protor()

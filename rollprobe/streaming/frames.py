@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.aggregate import totals
 from ..operators.kernels import shrake_rupley
 from ..schema import COORDS
+from ..sources.structures import with_coordinates
 
 
 def coordinate_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -22,8 +24,8 @@ def totals_per_batch(coords: DataFrame, atoms: DataFrame, path: str, checkpoint:
     """Per-frame totals of each micro-batch, written once per batch id (a repeated batch overwrites its own folder)."""
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = batch.select("frame", "atom", "x", "y", "z").join(atoms.select("atom", "radius"), "atom")
-        shrake_rupley(rows, probe, n_points).groupBy("frame").agg(F.sum("sasa").alias("total_sasa")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = with_coordinates(atoms.select(*(c for c in ("structure", "atom", "radius") if c in atoms.columns)), batch)
+        totals(shrake_rupley(rows, probe, n_points)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return coords.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -33,10 +35,18 @@ def streaming_kinetics(series: DataFrame, threshold: float, hysteresis: float =
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         on, turns, frames = state.get if state.exists else (-1, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("frame")
-        for v in rows["value"]:
-            new = int(v > threshold) if on < 0 else 1 if v > threshold + hysteresis else 0 if v <= threshold - hysteresis else on
-            turns, on, frames = turns + (on >= 0 and new != on), new, frames + 1
+        for rows in batches:
+            v = rows.sort_values("frame")["value"].to_numpy()
+            if not len(v):
+                continue
+            event = np.where(v > threshold + hysteresis, 1, np.where(v <= threshold - hysteresis, 0, -1))
+            if on < 0:
+                event[0] = v[0] > threshold
+            # the last event at or before each frame, else the state that was there
+            last = np.maximum.accumulate(np.where(event >= 0, np.arange(len(v)), -1))
+            now = np.where(last >= 0, event[np.maximum(last, 0)], on)
+            before = np.concatenate([[now[0] if on < 0 else on], now[:-1]])
+            turns, on, frames = turns + int((now != before).sum()), int(now[-1]), frames + len(v)
         state.update((on, turns, frames))
         yield pd.DataFrame({"feature": [key[0]], "frames": [frames], "state": [on], "transitions": [turns]})
 
