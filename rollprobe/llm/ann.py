@@ -1,22 +1,27 @@
 """Approximate nearest neighbours over learned partitions.
 
-Fit, on a bounded sample (``sample_size`` vectors, smallest hash of the id): the exact neighbour graph of the sample is
-cut into ``parts`` balanced partitions by recursive spectral bisection with swaps, and a small classifier (one hidden
-layer) learns the partition of a vector from its coordinates, with the neighbours' partitions as soft labels. The number
-of partitions to probe is the smallest that reaches ``target`` recall on every fifth vector of the sample, as queries and
-as neighbours; these are held out from the graph and the training.
+Fit: on a bounded sample (``sample_size`` vectors, smallest hash of the id) a task cuts the exact neighbour graph of the
+sample into ``parts`` balanced partitions by recursive spectral bisection with swaps, and trains a small classifier (one
+hidden layer) that learns the partition of a vector from its coordinates, with the neighbours' partitions as soft
+labels. The number of partitions to probe is the smallest that reaches ``target`` recall on every fifth vector of the
+sample, as queries and as neighbours; these are held out from the graph and the training. Partitions of more than
+``LEAF`` vectors are cut again in the same way, each from a sample of its own, so partitions stay about as large at any
+number of rows; the classifiers are broadcast, and cutting ends before they take more than ``ROUTERS_BYTES``.
 
 Index and search cover all rows: every vector belongs to its most probable partition; a query goes to its most probable
-partitions, meets their vectors in blocks (vectors and queries of a partition are dealt into blocks of bounded size, so
-no partition has to fit a task), and the best of all blocks are merged. Scores are exact cosines in double precision.
+partitions (at every level the number found for that classifier), meets their vectors in blocks (vectors and queries of
+a partition are dealt into blocks of bounded size, so no partition has to fit a task), and the best of all blocks are
+merged. A query that finds fewer than ``top`` goes to all partitions. Scores are exact cosines in double precision of
+vectors scaled by powers of two, so that very large and very small components neither overflow nor vanish.
 
 Vectors that are null, zero or hold null or non-finite components take no part. Ties go to the smaller vec_id; repeated
 rows are candidates of their own, and a row is left out of its own query by its id. Vectors must have one length; others
-than the most common length take no part.
+than the most common length take no part. Extra columns are ignored, an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +33,8 @@ from .common import shared_dir, stored
 
 BLOCK = 2048  # vectors of a block
 QUERIES = 2048  # queries of a block
+LEAF = 65536  # vectors of a partition that is not cut again
+ROUTERS_BYTES = 64 << 20
 
 
 @dataclass
@@ -96,7 +103,7 @@ def train(sample: np.ndarray, parts: int, top: int, target: float, hidden: int =
     held = np.arange(len(sample)) % 5 == 4
     x, unseen = sample[~held], sample[held]
     k = min(10, len(x) - 1)
-    if k < 1 or len(sample) < 8 * parts:
+    if k < 1 or len(sample) < 8 * parts:  # too few to learn from: all are one partition
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1, 1.0)
     near = graph(x, k)
     label = partition(near, parts)
@@ -136,9 +143,11 @@ def train(sample: np.ndarray, parts: int, top: int, target: float, hidden: int =
 
 
 def _unit(col: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    """Vectors scaled by powers of two (exactly) so that their largest component is below 1 and at least 1/2."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) if len(x) else x
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,6 +158,68 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(~bad & F.exists("v", lambda x: x != 0))
 
 
+def routers_of(rows: DataFrame, d: int, parts: int, top: int, sample_size: int, target: float) -> dict[int, Router]:
+    """The classifiers by the number of the partition that they cut: 1 is all rows, the parts of k are k * parts and up."""
+    routers: dict[int, Router] = {}
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = _unit(t.column("v"), d)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return pa.table({"path": [t.column("path")[0].as_py()], "router": [pickle.dumps(train(x, parts, top, target))]})
+
+    homes, open_ = rows.withColumn("path", F.lit(1).cast("long")), [1]
+    while open_:
+        nth = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("vec_id"), "vec_id"))
+        some = homes.where(F.col("path").isin(open_)).withColumn("nth", nth).where(f"nth <= {sample_size}").select("path", "v")
+        new = {r.path: pickle.loads(r.router) for r in some.groupBy("path").applyInArrow(fit, "path long, router binary").collect()}  # one row a partition that is cut
+        routers |= new
+        one = max(len(pickle.dumps(r)) for r in new.values())
+        shared = rows.sparkSession.sparkContext.broadcast(routers)
+
+        def home(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(_homes(_unit(b.column("v"), d), shared.value, parts))], names=["vec_id", "v", "path"])
+
+        homes = rows.mapInArrow(home, "vec_id long, v array<double>, path long")
+        if one * len(routers) * parts > ROUTERS_BYTES:
+            break
+        open_ = [r.path for r in homes.groupBy("path").agg(F.count("*").alias("n")).where(f"n > {LEAF}").collect()]  # at most one row a partition
+        open_ = [p for p in open_ if p not in routers and routers[p // parts].w1.any()]
+    return routers
+
+
+def _homes(x: np.ndarray, routers: dict[int, Router], parts: int) -> np.ndarray:
+    path, unit = np.ones(len(x), np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+    while True:
+        moved = False
+        for p in np.unique(path).tolist():
+            if p in routers:
+                rows = np.flatnonzero(path == p)
+                path[rows], moved = p * parts + np.argmax(routers[p].scores(unit[rows]), axis=1), True
+        if not moved:
+            return path
+
+
+def _probes(x: np.ndarray, routers: dict[int, Router], parts: int) -> list[list[int]]:
+    """Of each row the partitions to look in: at every level as many as the classifier needs for its recall."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    row, path = np.arange(len(x)), np.ones(len(x), np.int64)
+    while True:
+        inner = np.isin(path, list(routers))
+        if not inner.any():
+            break
+        rows, paths = [row[~inner]], [path[~inner]]
+        for p in np.unique(path[inner]).tolist():
+            mine, r = row[path == p], routers[p]
+            order = np.argsort(-r.scores(unit[mine]), axis=1, kind="stable")[:, : r.probe]
+            rows.append(np.repeat(mine, order.shape[1]))
+            paths.append(p * parts + order.ravel())
+        row, path = np.concatenate(rows), np.concatenate(paths)
+    order = np.argsort(row, kind="stable")
+    return [x.tolist() for x in np.split(path[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1])]
+
+
 def search(vectors: DataFrame, queries, top: int = 5, parts: int = 16, sample_size: int = 8192, target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score; ``queries`` is a condition on vec_id that picks the query rows."""
     spark = vectors.sparkSession
@@ -158,36 +229,44 @@ def search(vectors: DataFrame, queries, top: int = 5, parts: int = 16, sample_si
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     d = sizes["d"]
     rows = rows.where(F.size("v") == d)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_size).toPandas()
-    x = np.stack(some["v"].to_numpy()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    router = spark.sparkContext.broadcast(train(x, parts, top, target))
+    routers = spark.sparkContext.broadcast(routers_of(rows, d, parts, top, sample_size, target))
 
     def route(batches):
         for b in batches:
             if b.num_rows:
-                raw = _unit(b.column("v"), d)
-                s = router.value.scores(raw / np.linalg.norm(raw, axis=1, keepdims=True))
-                order = np.argsort(-s, axis=1, kind="stable")[:, : router.value.probe].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(order), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
-
-    routed = stored(rows.mapInArrow(route, "vec_id long, v array<double>, parts array<int>"), f"{shared_dir(spark)}/routed")
-    part = F.element_at("parts", 1)
-    # blocks: a partition's vectors and its queries are dealt by hash into blocks, whose numbers follow from the counts
-    n_vectors = {r.p: r.n for r in routed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
-    asked = routed.where(queries)
-    n_queries = {r.p: r.n for r in asked.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    blocks = lambda counts, most, p: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, -(-n // most))]), p), F.lit(1)) if counts else F.lit(1)
-    vb, qb = blocks(n_vectors, BLOCK, F.col("part")), blocks(n_queries, QUERIES, F.col("part"))
-    left = routed.select("vec_id", "v", part.alias("part")).withColumn("vb", F.pmod(F.xxhash64("vec_id"), vb).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), (qb - 1).cast("int"))))
-    right = asked.select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part")).withColumn("qb", F.pmod(F.xxhash64("query_id"), qb).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), (vb - 1).cast("int"))))
+                x, asked = _unit(b.column("v"), d), b.column("asked").fill_null(False).to_numpy(zero_copy_only=False)
+                probes: list[list[int]] = [[] for _ in range(len(x))]
+                for i, p in zip(np.flatnonzero(asked), _probes(x[asked], routers.value, parts) if asked.any() else [], strict=True):
+                    probes[i] = p
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("asked"), pa.array(_homes(x, routers.value, parts)), pa.array(probes, pa.list_(pa.int64()))], names=["vec_id", "v", "asked", "part", "probes"])
+
+    at = shared_dir(spark)
+    routed = stored(rows.withColumn("asked", queries).mapInArrow(route, "vec_id long, v array<double>, asked boolean, part long, probes array<long>"), f"{at}/routed")
+    vectors_of = stored(routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vbs")), f"{at}/parts")  # one row a partition
+    asked = routed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("probes").alias("part"))
+    found = stored(_met(routed, asked, vectors_of, d, top), f"{at}/found")
+    few = found.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {top}").select("query_id")
+    short = routed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(few, "query_id", "left_anti")
+    everywhere = short.crossJoin(F.broadcast(vectors_of.select("part")))  # the few queries that found too little, times the partitions
+    rest = _met(routed, everywhere, vectors_of, d, top)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    both = found.join(few, "query_id").unionByName(rest)
+    return both.withColumn("rank", F.row_number().over(w)).where(f"rank <= {top}").select("query_id", "rank", "vec_id", "score")
+
+
+def _met(routed: DataFrame, asked: DataFrame, vectors_of: DataFrame, d: int, top: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of every block of a partition that a query (query_id, q, part) looks in."""
+    queries_of = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qbs"))
+    sizes = vectors_of.join(queries_of, "part")
+    left = routed.select("vec_id", "v", "part").join(sizes, "part").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("vbs")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1))).select("vec_id", "v", "part", "vb", "qb")
+    right = asked.join(sizes, "part").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qbs")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vbs") - 1))).select("query_id", "q", "part", "vb", "qb")
     key = ["part", "vb", "qb"]
 
     def meet(vs: pa.Table, qs: pa.Table) -> pa.Table:
         ids, asked_ids = vs.column("vec_id").to_numpy(), qs.column("query_id").to_numpy()
         out = []
         if len(ids) and len(asked_ids):
-            v, q = _unit(vs.column("v"), d), _unit(qs.column("v"), d)
+            v, q = _unit(vs.column("v"), d), _unit(qs.column("q"), d)
             vn, qn = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             for a in range(0, len(q), 256):
                 s = (q[a : a + 256] @ v.T) / (qn[a : a + 256, None] * vn)
@@ -202,6 +281,4 @@ def search(vectors: DataFrame, queries, top: int = 5, parts: int = 16, sample_si
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(f"rank <= {top}").select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")

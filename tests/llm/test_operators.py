@@ -236,6 +236,41 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id in (600, 601)"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_neighbours_in_two_levels(spark, monkeypatch):
+    """Partitions that are cut again, components of very different size, and a cluster smaller than ``top``."""
+    monkeypatch.setattr(ann, "LEAF", 150)
+    r = np.random.default_rng(8)
+    centre = r.standard_normal((24, 12))
+    x = centre[r.integers(0, 24, 1500)] + 0.3 * r.standard_normal((1500, 12))
+    scale = np.where(np.arange(1500) % 3 == 0, 1e-200, np.where(np.arange(1500) % 3 == 1, 1e200, 1.0))
+    df = spark.createDataFrame([(i, (v * c).tolist()) for i, (v, c) in enumerate(zip(x, scale))], "vec_id long, embedding array<double>")
+    got = ann.search(df.withColumn("part", F.lit("clash")), F.col("vec_id") % 50 == 0, parts=4).toPandas()
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own["rank"]) == [1, 2, 3, 4, 5] and np.allclose(own.score, s[own.vec_id], atol=1e-12)
+        hits += len(set(np.argsort(-s)[:5]) & set(own.vec_id))
+    assert hits / (30 * 5) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_the_whole_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(e, F.col("vec_id") % 50 == 0).toPandas()
+    pdf = e.toPandas()
+    x, ids = np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["vec_id"].to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(ids[np.argsort(-s)[:5]]) & set(got[got.query_id == ids[q]].vec_id))
+        total += 5
+    assert hits / total >= 0.9
+
+
 def test_probe_reaches_its_recall_on_unseen_vectors():
     """Noise has no partitions to learn: a probe chosen on the training rows promises more than it holds."""
     r = np.random.default_rng(4)
