@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?>\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECE = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -310,7 +310,7 @@ def text_of(nodes: list[Node], keep: np.ndarray) -> str:
     events = []
     for v, k in zip(nodes, keep, strict=True):
         if k:
-            events += [(p, 1, t) for p, t in v.parts]
+            events += [(p, 1, html.unescape(t)) for p, t in v.parts]
         if v.tag in BLOCK:
             events.append((v.order, 0, " "))
             last = v
@@ -319,7 +319,7 @@ def text_of(nodes: list[Node], keep: np.ndarray) -> str:
             end = max([last.order, *(p for p, _ in v.parts[-1:]), *(p for p, _ in last.parts[-1:])])
             events.append((end, 2, " "))
     events.sort(key=lambda e: (e[0], e[1]))
-    return " ".join(html.unescape("".join(t for _, _, t in events)).split())
+    return " ".join("".join(t for _, _, t in events).split())
 
 
 def extract_pages(pages: DataFrame, model: Boosted | None = None) -> DataFrame:

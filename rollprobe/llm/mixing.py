@@ -20,6 +20,8 @@ must be positive; sources that ``weights`` lacks get one unit.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,36 +29,36 @@ from pyspark.sql import functions as F
 
 
 def pfair(units: list[int]) -> list[int]:
-    """One period (sum of units slots): the source index that each slot goes to."""
+    """One period (sum of units slots): the source index that each slot goes to. Slots times the logarithm of the sources."""
     period, done, out = sum(units), [0] * len(units), []
+    deadline = lambda i: (-((-(done[i] + 1) * period) // units[i]), Fraction(done[i], units[i]), i)  # noqa: E731  ties go to the source further behind its share
+    ready, later = [deadline(i) for i in range(len(units))], []
+    heapq.heapify(ready)
     for slot in range(period):
-        ready = [i for i, u in enumerate(units) if done[i] * period // u <= slot and done[i] < u]
-        # ties of deadlines go to the source that is further behind its share
-        pick = min(ready, key=lambda i: (-((-(done[i] + 1) * period) // units[i]), Fraction(done[i], units[i]), i))
-        out.append(pick)
-        done[pick] += 1
+        while later and later[0][0] <= slot:
+            heapq.heappush(ready, deadline(heapq.heappop(later)[1]))
+        i = heapq.heappop(ready)[2]
+        out.append(i)
+        done[i] += 1
+        if done[i] < units[i]:
+            heapq.heappush(later, (done[i] * period // units[i], i))  # released
     return out
 
 
-def phases(blocks: list[int], units: list[int]) -> list[tuple[list[int], list[int], list[int], int, int]]:
-    """(active sources, their first blocks, their number of blocks, first slot, slots): ends when any active source ends."""
+def phases(blocks: list[int], units: list[int]) -> list[tuple[list[int], list[int], list[int], int, int, list[list[int]]]]:
+    """(active sources, their first blocks, their number of blocks, first slot, slots, each one's slots of the period): ends when any active source ends."""
     first, left, out, slot = [0] * len(blocks), list(blocks), [], 0
     while any(left):
         active = [i for i, n in enumerate(left) if n]
         share = [units[i] for i in active]
         template, period = pfair(share), sum(share)
+        own: list[list[int]] = [[] for _ in active]
+        for s, k in enumerate(template):
+            own[k].append(s)
         # the slot at which the first of them places its last block
-        def last_slot(k: int) -> int:
-            own = [s for s, x in enumerate(template) if x == k]
-            n = left[active[k]] - 1
-            return n // len(own) * period + own[n % len(own)]
-
-        slots = 1 + min(last_slot(k) for k in range(len(active)))
-        took = []
-        for k, i in enumerate(active):
-            n = slots // period * share[k] + sum(x == k for x in template[: slots % period])
-            took.append(n)
-        out.append((active, [first[i] for i in active], took, slot, slots))
+        slots = 1 + min((left[i] - 1) // share[k] * period + own[k][(left[i] - 1) % share[k]] for k, i in enumerate(active))
+        took = [slots // period * share[k] + bisect.bisect_left(own[k], slots % period) for k in range(len(active))]
+        out.append((active, [first[i] for i in active], took, slot, slots, own))
         for i, n in zip(active, took, strict=True):
             first[i], left[i] = first[i] + n, left[i] - n
         slot += slots
@@ -64,8 +66,11 @@ def phases(blocks: list[int], units: list[int]) -> list[tuple[list[int], list[in
 
 
 def tempered(rows: dict[str | None, int], power: float = 0.5, units: int = 64) -> dict[str | None, int]:
-    """Whole units in proportion to rows ** power: large sources are held back, small ones raised."""
-    total = sum(n**power for n in rows.values()) or 1
+    """Whole units in proportion to rows ** power: large sources are held back, small ones raised.
+
+    There are at least four units a source, so that many small sources do not flatten a large one.
+    """
+    total, units = sum(n**power for n in rows.values()) or 1, max(units, 4 * len(rows))
     return {s: max(1, round(units * n**power / total)) for s, n in rows.items()}
 
 
@@ -95,11 +100,10 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
 
     # ---- slot of each block: phase, then arithmetic on the period
     plan, short = [], []
-    for active, first, took, slot, _ in phases(n_blocks, units):
+    for active, first, took, slot, _, slots_of in phases(n_blocks, units):
         share = [units[i] for i in active]
-        template = pfair(share)
         for k, i in enumerate(active):
-            own = [s for s, x in enumerate(template) if x == k]
+            own = slots_of[k]
             if took[k]:
                 plan.append((i, first[k], first[k] + took[k], slot, sum(share), own))
             last = n_blocks[i] - 1

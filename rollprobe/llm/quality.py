@@ -133,18 +133,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
     of = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     some = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(some), "doc_id")  # n rows at most
+    # n rows at most are broadcast; of repeated ids one text is learned, whatever order the rows are in
+    return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 3000) -> AttentionBag | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 3000, train_passages: int = 64) -> AttentionBag | None:
+    """Train on at most ``train_docs`` documents and ``train_passages`` passages of each, evenly spread over the text."""
+
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         x, first = passages(batch.column("text"))
-        yield {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "n": np.diff(first), "x": [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:])]}
+        rows = [a + np.unique(np.linspace(0, b - a - 1, min(b - a, train_passages)).astype(np.int64)) for a, b in zip(first, first[1:])]
+        yield {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "n": [len(r) for r in rows], "x": [x[r].astype(np.float16).tobytes() for r in rows]}
 
     got = map_arrow(sample(docs, labels, label, train_docs), fn, "doc_id long, y int, n int, x binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = got.sort_values("doc_id")
     x = np.concatenate([np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in got["x"]]).astype(np.float32)
     return AttentionBag(WIDTH).fit(x, np.concatenate([[0], np.cumsum(got["n"])]), got["y"].to_numpy(np.float32))
 
@@ -166,7 +170,8 @@ def score(docs: DataFrame, model: AttentionBag | None) -> DataFrame:
 
 
 def held_out(modulus: int, rest: int):
-    return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % modulus == rest
+    """Whether a row is held out, by the crc32 of its doc_id; rows without an id are not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
 def keep_good(docs: DataFrame, model: AttentionBag | None, threshold: float) -> DataFrame:

@@ -2,7 +2,9 @@
 
 1. Voters. From at most ``train_docs`` labelled documents (smallest hash of the id) Spark counts words and word stems
    (prefixes of 4, 5 and 6 bytes) by label; those that stand almost only in toxic documents, in several families of
-   copies, become lexicon voters. Pattern voters look at hits together: two or more, dense hits, none.
+   copies, become lexicon voters (the ``most_terms`` with the most documents, a bound of the model's size). Pattern voters
+   look at hits together (two or more, dense hits, none) and, apart from any lexicon, at shouting (words in capitals)
+   and at repeated marks.
 2. Label model. Votes of the sample are explained by a hidden label: expectation-maximisation estimates how often each
    voter fires for either label. Correlations left between voters once the label is known are measured, and voters
    that move together share one voice (weights 1 / size of the group), after which the accuracies are estimated anew.
@@ -22,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, Words, map_arrow, mix, shared_dir, shingles, stored
+from .common import FOLDED, U64, Words, drop, map_arrow, mix, shared_dir, shingles, stored
 from .quality import filter_rows, sample
 
 STEMS = (4, 5, 6)
-TERMS = 512  # most lexicon terms
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -51,7 +52,19 @@ class Model:
     groups: np.ndarray  # voters with the same number are correlated
 
 
-PATTERNS = 4
+PATTERNS = 6
+MARKS = np.zeros(256, bool)
+MARKS[[ord("!"), ord("?")]] = True
+
+
+def _counts(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the words of three letters or more in capitals, and the pairs of marks side by side."""
+    upper = np.concatenate([[0], np.cumsum((w.data >= 65) & (w.data <= 90))])
+    loud = (upper[w.end] - upper[w.start] == w.end - w.start) & (w.end - w.start >= 3)
+    pair = np.flatnonzero(MARKS[w.data[:-1]] & MARKS[w.data[1:]])
+    row = np.searchsorted(w.at, pair, side="right") - 1
+    inside = pair + 1 < w.at[row + 1]
+    return np.bincount(w.row[loud], minlength=n), np.bincount(row[inside], minlength=n)
 
 
 def votes(col: pa.Array, lexicon: np.ndarray) -> np.ndarray:
@@ -66,6 +79,9 @@ def votes(col: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     else:
         hits = np.zeros(len(col))
     n_words = np.bincount(w.row, minlength=len(col))
+    loud, marks = _counts(w, len(col))
+    out[:, -6] = loud > 0.3 * np.maximum(n_words, 1)
+    out[:, -5] = marks > 0
     out[:, -4] = hits >= 2
     out[:, -3] = hits >= 6
     out[:, -2] = hits > 0.004 * np.maximum(n_words, 1)
@@ -107,8 +123,9 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, rounds: int = 800,
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: int = 6000, min_families: int = 4, precision: float = 0.9) -> Model | None:
-    some = stored(sample(docs, labels, label, train_docs).dropDuplicates(["doc_id"]), f"{shared_dir(docs.sparkSession)}/toxic-sample")
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: int = 6000, min_families: int = 4, precision: float = 0.9, most_terms: int = 2048) -> Model | None:
+    at = f"{shared_dir(docs.sparkSession)}/toxic-sample"
+    some = stored(sample(docs, labels, label, train_docs), at)
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         row, term, _ = terms(batch.column("text"))
@@ -119,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: in
         yield {"term": pair[:, 1], "y": y[pair[:, 0]], "family": family[pair[:, 0]]}
 
     counted = map_arrow(some, fn, "term long, y int, family long").groupBy("term", "family", "y").agg(F.lit(1).alias("one")).groupBy("term").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    good = counted.where((F.col("bad") >= min_families) & (F.col("bad") >= precision * F.col("n"))).orderBy(F.desc("bad"), "term").limit(TERMS).toPandas()
+    good = counted.where((F.col("bad") >= min_families) & (F.col("bad") >= precision * F.col("n"))).orderBy(F.desc("bad"), "term").limit(most_terms).toPandas()
     lexicon = np.sort(good["term"].to_numpy(np.int64).view(U64))
 
     def vote(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -127,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: in
         yield {"doc_id": batch.column("doc_id"), "v": [r.tobytes() for r in v]}
 
     got = map_arrow(some, vote, "doc_id long, v binary").toPandas().sort_values("doc_id")  # train_docs rows at most
+    drop(docs.sparkSession, at)
     if not len(got):
         return None
     x = np.stack([np.frombuffer(v, np.uint8) for v in got["v"]]).astype(np.float64)
@@ -141,7 +159,7 @@ def predict(col: pa.Array, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score (probability of label 1) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS + PATTERNS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # most_terms + PATTERNS weights
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         m = shared.value
