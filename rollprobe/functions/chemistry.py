@@ -23,6 +23,8 @@ END_ATOMS = {"OT1": "O", "OC1": "O", "OT2": "OXT", "OC2": "OXT"}
 PHOSPHATE_ATOMS = {"O1P": "OP1", "O2P": "OP2"}
 # Tsai et al. 1999 united-atom types (radius, class).
 PROTOR_TYPES = {"C3H0": (1.61, "apolar"), "C3H1": (1.76, "apolar"), "C4H1": (1.88, "apolar"), "C4H2": (1.88, "apolar"), "C4H3": (1.88, "apolar"), "N3H0": (1.64, "polar"), "N3H1": (1.64, "polar"), "N3H2": (1.64, "polar"), "N4H3": (1.64, "polar"), "O1H0": (1.42, "polar"), "O2H1": (1.46, "polar"), "S2H0": (1.77, "polar"), "S2H1": (1.77, "polar")}
+# Further types of nucleic acids, water, selenium residues, ambiguous residues.
+EXTRA_TYPES = {"P4H0": (1.80, "polar"), "O2H0": (1.46, "polar"), "O2H2": (1.46, "polar"), "SE2H1": (1.90, "polar"), "SE2H0": (1.90, "polar"), "X1H0": (1.50, "polar"), "N2H0": (1.64, "polar"), "N2H2": (1.64, "polar")}
 # Side-chain atoms of each type, by residue (Tsai et al. 1999).
 PROTOR_SIDE = {
     "ALA": "CB:C4H3", "ARG": "CB:C4H2 CG:C4H2 CD:C4H2 NE:N3H1 CZ:C3H0 NH1:N3H2 NH2:N3H2", "ASN": "CB:C4H2 CG:C3H0 OD1:O1H0 ND2:N3H2",
@@ -33,6 +35,26 @@ PROTOR_SIDE = {
     "SER": "CB:C4H2 OG:O2H1", "THR": "CB:C4H1 OG1:O2H1 CG2:C4H3", "TRP": "CB:C4H2 CG:C3H0 CD1:C3H1 CD2:C3H0 NE1:N3H1 CE2:C3H0 CE3:C3H1 CZ2:C3H1 CZ3:C3H1 CH2:C3H1",
     "TYR": "CB:C4H2 CG:C3H0 CD1:C3H1 CD2:C3H1 CE1:C3H1 CE2:C3H1 CZ:C3H0 OH:O2H1", "VAL": "CB:C4H1 CG1:C4H3 CG2:C4H3",
 }
+# Atoms besides N, CA, C, O, OXT of rarer residues; caps and water whole.
+RARE_SIDE = {"ASX": "CB:C4H2 CG:C3H0 XD1:X1H0 XD2:X1H0", "GLX": "CB:C4H2 CG:C4H2 CD:C3H0 XE1:X1H0 XE2:X1H0", "MSE": "CB:C4H2 CG:C4H2 SE:SE2H0 CE:C4H3", "SEC": "CB:C4H2 SE:SE2H1", "PYL": "CB:C4H2 CG:C4H2 CD:C4H2 CE:C4H2 NZ:N3H1 C2:C3H0 O2:O1H0 CA2:C4H1 N2:N2H0 CE2:C3H1 CD2:C4H2 CG2:C4H1 CB2:C4H3"}
+WHOLE = {"ACE": "C:C3H1 O:O1H0 CH3:C4H3", "NH2": "N:N2H2", "HOH": "O:O2H2"}
+# Nucleotides are a phosphate and sugar, what the sugar has at C2', and a base.
+PHOSPHATE_SUGAR = "OP3:O2H1 P:P4H0 OP1:O1H0 OP2:O2H1 O5':O2H0 C5':C4H2 C4':C4H1 O4':O2H0 C3':C4H1 O3':O2H1 C1':C4H1"
+RIBOSE, DEOXYRIBOSE = "C2':C4H1 O2':O2H1", "C2':C4H2"
+BASES = {
+    "A": "N9:N3H0 C8:C3H1 N7:N2H0 C5:C3H0 C6:C3H0 N6:N3H2 N1:N2H0 C2:C3H1 N3:N2H0 C4:C3H0",
+    "G": "N9:N3H0 C8:C3H1 N7:N2H0 C5:C3H0 C6:C3H0 O6:O1H0 N1:N3H1 C2:C3H0 N2:N3H2 N3:N2H0 C4:C3H0",
+    "I": "N9:N3H0 C8:C3H1 N7:N2H0 C5:C3H0 C6:C3H0 O6:O1H0 N1:N3H1 C2:C3H1 N3:N2H0 C4:C3H0",
+    "C": "N1:N3H0 C2:C3H0 O2:O1H0 N3:N2H0 C4:C3H0 N4:N3H2 C5:C3H1 C6:C3H1",
+    "U": "N1:N3H0 C2:C3H0 O2:O1H0 N3:N3H1 C4:C3H0 O4:O1H0 C5:C3H1 C6:C3H1",
+    "T": "N1:N3H0 C2:C3H0 O2:O1H0 N3:N3H1 C4:C3H0 O4:O1H0 C5:C3H0 C7:C4H3 C6:C3H1",
+}
+# Sugars by kind; a ring oxygen O5, hydroxyls at the other carbons.
+HEXOSE = "C1:C4H1 C2:C4H1 C3:C4H1 C4:C4H1 C5:C4H1 C6:C4H2 O1:O2H1 O2:O2H1 O3:O2H1 O4:O2H1 O6:O2H1 O5:O2H0"
+FUCOSE = "C1:C4H1 C2:C4H1 C3:C4H1 C4:C4H1 C5:C4H1 C6:C4H3 O1:O2H1 O2:O2H1 O3:O2H1 O4:O2H1 O5:O2H0"
+XYLOSE = "C1:C4H1 C2:C4H1 C3:C4H1 C4:C4H1 C5:C4H2 O1:O2H1 O2:O2H1 O3:O2H1 O4:O2H1 O5:O2H0"
+ACETYLGLUCOSAMINE = "C1:C4H1 C2:C4H1 C3:C4H1 C4:C4H1 C5:C4H1 C6:C4H2 C7:C3H0 C8:C4H3 N2:N3H1 O1:O2H1 O3:O2H1 O4:O2H1 O6:O2H1 O5:O2H0 O7:O1H0"
+GLYCANS = dict.fromkeys("BGC BMA GAL GLA GLC MAN".split(), HEXOSE) | dict.fromkeys("FUC FUL".split(), FUCOSE) | dict.fromkeys("XYP XYS".split(), XYLOSE) | dict.fromkeys("NAG NDG".split(), ACETYLGLUCOSAMINE)
 # Typical masses by which an element is recognised.
 MASSES = {"C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "NA": 22.990, "MG": 24.305, "P": 30.974, "S": 32.06, "CL": 35.45, "K": 39.098, "CA": 40.078, "MN": 54.938, "FE": 55.845, "CO": 58.933, "NI": 58.693, "CU": 63.546, "ZN": 65.38, "SE": 78.971, "BR": 79.904, "I": 126.904}
 TWO_LETTERS = ["CL", "BR", "NA", "MG", "FE", "ZN", "CA"]
@@ -113,13 +135,17 @@ def parse_radius_config(text: str, first_wins: bool = False) -> RadiusConfig:
     return out
 
 
-def protor() -> RadiusConfig:
-    """United-atom radii of the standard residues."""
-    out = RadiusConfig("ProtOr", dict(PROTOR_TYPES))
-    for residue, side in PROTOR_SIDE.items():
-        main = {"N": "N3H0" if residue == "PRO" else "N3H2", "CA": "C4H2" if residue == "GLY" else "C4H1", "C": "C3H0", "O": "O1H0", "OXT": "O2H1"}
-        for atom, kind in [*main.items(), *(x.split(":") for x in side.split())]:
-            out.atoms[f"{residue}:{atom}"] = kind
+def protor(glycans: bool = False) -> RadiusConfig:
+    """United-atom radii of amino acids, caps, water and nucleotides, with ``glycans`` also of common sugars."""
+    out = RadiusConfig("ProtOr", PROTOR_TYPES | EXTRA_TYPES)
+    put = lambda residue, text: out.atoms.update({f"{residue}:{a}": k for a, k in (x.split(":") for x in text.split())})
+    for residue, side in (PROTOR_SIDE | RARE_SIDE).items():
+        put(residue, f"N:{'N3H1' if residue == 'PRO' else 'N3H2'} CA:{'C4H2' if residue == 'GLY' else 'C4H1'} C:C3H0 O:O1H0 OXT:O2H1 {side}")
+    for base, text in BASES.items():
+        put(f"D{base}", f"{PHOSPHATE_SUGAR} {DEOXYRIBOSE} {text}")
+        put(base, f"{PHOSPHATE_SUGAR} {DEOXYRIBOSE if base == 'T' else RIBOSE} {text}")
+    for residue, text in (WHOLE | (GLYCANS if glycans else {})).items():
+        put(residue, text)
     return out
 
 
