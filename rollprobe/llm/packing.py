@@ -47,18 +47,29 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int | None, size: int) -> D
     """Pieces of every document, each with its number among its task's pieces of that length."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen = encoder(vocabulary, spaceless=True), TaskContext.get().partitionId(), [0] * (size + 1)
-        end = b"" if end_id is None else np.array([end_id], enc.type).tobytes()
+        enc, task, seen = encoder(vocabulary, spaceless=True), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        end = [] if end_id is None else [end_id]
         for batch in batches:
-            for part in slices(batch, 2 << 20):
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").fill_null("").to_pylist()), strict=True):
-                    wide = np.frombuffer(ids + end, enc.type).astype("<u4")
-                    for k, at in enumerate(range(0, max(1, len(wide)), size)):
-                        cut = wide[at : at + size]
-                        rows.append((doc, k, at, len(cut), zlib.crc32(cut.tobytes()), task, seen[len(cut)]))
-                        seen[len(cut)] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            for part in slices(batch, 1 << 20):
+                ids, per = enc.column(part.column("text"))
+                if end:
+                    ids, per = np.insert(ids, np.cumsum(per), end[0]), per + 1
+                wide = ids.astype("<u4")
+                cuts = np.maximum(1, -(-per // size))  # pieces of each document
+                doc = np.repeat(np.arange(len(per)), cuts)
+                nth_piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = nth_piece * size
+                length = np.minimum(per[doc] - start, size)
+                at = (np.cumsum(per) - per)[doc] + start
+                data = memoryview(wide.tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")  # number of each among the pieces of its length
+                sorted_ = length[order]
+                nth = np.zeros(len(length), np.int64)
+                nth[order] = np.arange(len(length)) - np.searchsorted(sorted_, sorted_) + seen[sorted_]
+                seen += np.bincount(length, minlength=size + 1)
+                columns = part.column("doc_id").take(pa.array(doc)), pa.array(nth_piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)
+                yield pa.RecordBatch.from_arrays(list(columns), names=[x.split()[0] for x in PIECES.split(", ")])
         give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fn, PIECES)

@@ -7,7 +7,7 @@ Index: keys are dealt to index parts by hash. Each part is one file with a minim
 the first id within the shard and the number of ids. A lookup touches a few words of the bit arrays and one slot;
 a key that was never stored fails the fingerprint but for 1 in 2**32.
 
-Files are written by tasks under the shared folder: into a temporary name, then renamed, so a repeated or
+Shards are ranges of ``doc_id`` between quantiles. Files are written by tasks under the shared folder: into a temporary name, then renamed, so a repeated or
 speculative attempt leaves the same file. Texts are encoded where they lie; only ids are shuffled.
 
 Repeated ``doc_id``s: every row is stored, copies in the order of the hash of their ids, and has a key of its own (the
@@ -145,19 +145,30 @@ class Index:
 
 
 # ---------------------------------------------------------------- the two directions
-def encoded(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
-    """(doc_id, ids, width): each document's ids, end id included, as little-endian bytes of ``width`` a token."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: np.ndarray) -> DataFrame:
+    """(doc_id, ids, width, shard): each document's ids, end id included, as little-endian bytes of ``width`` a token.
+
+    A shard holds the ids between two bounds. An id that is the bound of several shards is dealt over them at random, so
+    that very many rows of one id do not land in one file.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], enc.type).tobytes()
+        enc, random = encoder(vocabulary), np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                ids = [x + end for x in enc.encode(part.column("text").fill_null("").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), enc.type.itemsize, np.int32))], names=["doc_id", "ids", "width"])
+                ids, per = enc.column(part.column("text"))
+                if end_id is not None:
+                    ids, per = np.insert(ids, np.cumsum(per), end_id), per + 1
+                width = enc.type.itemsize
+                cut = np.concatenate([[0], np.cumsum(per)]).astype(np.int32) * np.int32(width)
+                whole = pa.BinaryArray.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(ids.tobytes())])
+                key = part.column("doc_id").fill_null(-(2**63)).to_numpy()  # null ids come first
+                low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+                shard = (low + (random.random(len(key)) * (high - low + 1)).astype(np.int64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), whole, pa.array(np.full(len(per), width, np.int32)), pa.array(shard)], names=["doc_id", "ids", "width", "shard"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, width int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, width int, shard int")
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, shards: int | None = None) -> DataFrame:
@@ -188,11 +199,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, s
             at += int(count.sum())
             yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(count), shard, np.int32)), pa.array(begin), pa.array(count), pa.array(np.full(len(count), width, np.int32))], names=["doc_id", "shard", "first", "count", "width"])
 
-    ids = stored(encoded(docs, vocabulary, end_id), f"{path}/encoded")
-    # the last two columns cut up ids that very many rows share
-    dealt = ids.withColumn("h", F.xxhash64("ids")).withColumn("salt", F.rand(7)).repartitionByRange(n, "doc_id", "h", "salt").sortWithinPartitions("doc_id", "h")
+    parts_of = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)] or [0.5], 10000).alias("q")).first().q  # n ids
+    bounds = np.array(parts_of or [], np.int64)[: n - 1]
+    dealt = encoded(docs, vocabulary, end_id, bounds).repartitionById(n, "shard").withColumn("h", F.xxhash64("ids")).sortWithinPartitions("doc_id", "h")
     table = stored(dealt.select("doc_id", "ids", "width").mapInArrow(write, "doc_id long, shard int, first long, count long, width int"), f"{path}/rows")
-    drop(spark, f"{path}/encoded")
 
     sums = table.groupBy("shard", "width").agg(F.sum("count").alias("n_ids"), F.count("*").alias("rows"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
