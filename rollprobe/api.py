@@ -84,6 +84,9 @@ class SasaEngine:
     def close(self) -> None:
         """Nothing is held open."""
 
+    def framed(self, atoms: DataFrame) -> DataFrame:
+        return _framed(atoms)
+
     def check(self, atoms: DataFrame) -> None:
         """Refuse coordinates that are null or not finite and radii that are below zero; one pass over the atoms."""
         odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))

@@ -1,7 +1,10 @@
 import numpy as np
 
 from rollprobe.api import from_arrays, sasa
-from rollprobe.streaming.frames import coordinate_stream, totals_per_batch
+from rollprobe.__main__ import run
+from rollprobe.operators import timeseries as T
+from rollprobe.sources.structures import dcd_bytes
+from rollprobe.streaming.frames import coordinate_stream, streaming_kinetics, totals_per_batch
 
 
 def test_totals_of_a_stream(spark, tmp_path):
@@ -11,3 +14,31 @@ def test_totals_of_a_stream(spark, tmp_path):
     totals_per_batch(coordinate_stream(spark, str(tmp_path / "in")), top, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.frame: round(r.total_sasa, 6) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.frame: round(r.total_sasa, 6) for r in sasa(atoms).total.collect()}
+
+
+def test_kinetics_of_a_stream(spark, tmp_path):
+    """Frames that arrive in several files give the transitions of the whole series."""
+    r = np.random.default_rng(5)
+    values = {f: r.standard_normal(60).cumsum() for f in ("a", "b")}
+    schema = "feature string, idx int, frame int, value double"
+    for k in range(3):
+        rows = [(f, 0, i, float(v[i])) for f, v in values.items() for i in range(20 * k, 20 * k + 20)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streaming_kinetics(stream, 0.0, 0.5).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.parquet(str(tmp_path / f"out{n}"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for n in range(3):
+        got |= {x.feature: (x.frames, x.transitions) for x in spark.read.parquet(str(tmp_path / f"out{n}")).collect()}
+    whole = spark.createDataFrame([(f, 0, i, float(x)) for f, v in values.items() for i, x in enumerate(v)], schema)
+    assert got == {x.feature: (60, x.transitions) for x in T.kinetics(whole, 0.0, 0.5).collect()}
+
+
+def test_command_line(spark, tmp_path):
+    psf = tmp_path / "x.psf"
+    psf.write_text("PSF\n\n 2 !NATOM\n 1 AP 1 ALA CA CT1 0.07 12.011 0\n 2 AP 1 ALA CB CT1 0.09 12.011 0\n\n 0 !NBOND\n")
+    (tmp_path / "t.dcd").write_bytes(dcd_bytes(np.array([[[0, 0, 0], [2, 0, 0]], [[0, 0, 0], [50, 0, 0]], [[0, 0, 0], [3, 0, 0]]], float)))
+    out = str(tmp_path / "out")
+    warned = run(spark, [str(psf), str(tmp_path / "t.dcd"), "--out", out, "--frames", "0:2", "--select", "beta, name CB+ZZ", "--format", "csv", "--format", "log", "--format", "points"])
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/trajectory").orderBy("frame").collect()
+    assert [r.frame for r in rows] == [0, 1] and rows[1].total_sasa > rows[0].total_sasa and warned == ["beta: name ZZ matches no atom"]
+    assert spark.read.text(f"{out}/log").count() > 5 and spark.read.option("header", True).csv(f"{out}/selection").count() == 2
