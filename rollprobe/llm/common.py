@@ -18,10 +18,12 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place on one machine (tests); on a cluster that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rollprobe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/rollprobe-{uuid.uuid4().hex[:12]}"

@@ -10,7 +10,10 @@ coefficients, and ``pixels`` carries them through dequantisation and the inverse
 neighbouring frames: a cut is where the difference exceeds mean + ``k`` deviations of the differences in a window
 around it and an absolute floor. ``clips`` yields one timed row a shot.
 
-Null texts are stored as 64 zero bytes; equal texts give equal files and features.
+Null texts are stored as 64 zero bytes; equal texts give equal files and features; a text of any length is one file of
+as many frames as it needs. Repeated rows are handled alike, extra columns are ignored, an empty table gives no row. Of a
+null or damaged file ``digests`` returns a row with the length and digest of what is there and nulls for the rest, and
+``clip_rows`` no row.
 """
 
 from __future__ import annotations
@@ -317,13 +320,32 @@ def to_media(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, n_bytes long, media binary")
 
 
+def whole_avi(data: bytes | None) -> tuple[bytes, Avi, np.ndarray] | None:
+    """:func:`read_avi`, or None for a null or a file that is cut or damaged."""
+    if data is None:
+        return None
+    try:
+        got = read_avi(data)
+    except (ValueError, IndexError, KeyError, struct.error):
+        return None
+    payload, avi, _ = got
+    return got if avi.frames and avi.payload_bytes in (None, len(payload)) else None
+
+
 def digests(media: DataFrame) -> DataFrame:
     """What is read back from each file: payload and media digests and the shots as a feature string."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for data in batch.column("media").to_pylist():
-            payload, avi, bins = read_avi(data)
+            got = whole_avi(data)
+            if got is None:
+                for k in out:
+                    out[k].append(None)
+                if data is not None:
+                    out["media_bytes"][-1], out["media_sha256"][-1] = len(data), hashlib.sha256(data).hexdigest()
+                continue
+            payload, avi, bins = got
             found = clips(bins, avi.fps or FPS)
             out["payload_bytes"].append(len(payload))
             out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
@@ -342,8 +364,8 @@ def clip_rows(media: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         rows = []
         for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            if data is not None:
-                _, avi, bins = read_avi(data)
+            if (got := whole_avi(data)) is not None:
+                _, avi, bins = got
                 rows += [(doc, *c) for c in clips(bins, avi.fps or FPS)]
         if rows:
             yield dict(zip(("doc_id", "clip", "start_s", "end_s", "frames"), map(list, zip(*rows, strict=True)), strict=True))

@@ -7,7 +7,9 @@ without a ranked pair are closed with their number of surviving symbols. Merging
 once is what the sequential rule does, since a merge can only create pairs that rank later.
 
 Counts are those of the tokenizers library without added special tokens; special strings inside a text count as one
-token, as is the library's default. Null texts have 0 bytes and 0 tokens; all other columns are ignored.
+token, as is the library's default. Null texts have 0 bytes and 0 tokens; rows with a null ``doc_id`` and repeated rows
+are counted like others, an empty table gives no row, all other columns are ignored. A text may be of any length, and a
+word too, though the rounds of a batch are as many as the merges of its longest word.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .common import map_arrow
 # Fixed value: the published word pattern of byte-level BPE vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LIMIT = 500_000  # words held in each of two generations of the cache
+LONG = 64  # characters of the longest word held
 
 
 def byte_symbols() -> list[str]:
@@ -149,6 +152,9 @@ class Merger:
                 cut = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
                 self.young.update(zip(new, (sums[cut[1:]] - sums[cut[:-1]]).tolist(), strict=True))
             got = list(map(self.young.get, pieces))
+            for p in new:
+                if len(p) > LONG:
+                    del self.young[p]
             if len(self.young) > LIMIT:
                 self.old, self.young = self.young, {}
         sums = np.concatenate([[0], np.cumsum(np.array(got, np.int64))]) if got else np.zeros(1, np.int64)

@@ -211,6 +211,14 @@ def test_media_round_trip(spark, docs):
     assert media.digests(media.to_media(empty(spark))).count() == 0
 
 
+def test_null_and_damaged_media(spark):
+    whole = media.write_avi(b"x" * 640)
+    df = spark.createDataFrame([(1, 640, whole), (2, 0, None), (3, 640, whole[: len(whole) // 2]), (4, 1, b"RIFF")], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.digests(df.withColumn("feature", F.lit("clash"))).collect()}
+    assert got[1].payload_bytes == 640 and got[2].media_bytes is None and got[3].media_bytes == len(whole) // 2 and all(got[k].payload_sha256 is None and got[k].feature is None for k in (2, 3, 4))
+    assert {r.doc_id for r in media.clip_rows(df).collect()} == {1}
+
+
 def test_shots():
     bins = np.repeat([[10, 0], [0, 10]], 15, axis=0)
     assert media.shots(bins) == [0, 15] and media.shots(np.zeros((0, 2))) == []
