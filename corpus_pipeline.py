@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's ``docs``. The first four return the columns of ``documents``; the last returns packed pieces.
+
+Null and empty texts: toxicity gives them a low score and they stay; quality scores them as one empty passage and keeps
+or drops them by that score; they are near duplicates of nothing; mixing and packing take them as they are (one piece of
+the end id). Rows with a null ``doc_id`` are scored, never compared, and of equal ones one stays; of rows of one
+``doc_id`` one stays. Ties and repeated rows: see the operators. Texts of any length go through whole. Extra columns pass
+through the first four stages, whatever their names. Without labels nothing is rejected; empty tables give no pieces.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollprobe.llm import jaccard_join, mixing, packing, quality, toxicity
 from rollprobe.llm.chunk_tokens import tokenizer_path
-from rollprobe.llm.common import shared_dir, stored
+from rollprobe.llm.common import drop, shared_dir, stored
 from rollprobe.llm.quality import held_out
 from rollprobe.llm.queries import table
 
@@ -57,9 +63,13 @@ ORACLE_SQL = None  # learned scores, tokenizers and an iterative join: tested ag
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = table(spark, sf_dir, "documents"), shared_dir(spark)
+    """Pieces of what all stages keep; a stage's table is deleted when the next one's is written."""
+    docs, at, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"{at}/{k}-{name}")
+        if before is not None:
+            drop(spark, before)  # the last stage has stored its pieces
+        before = f"{at}/{k}-{name}"
     return docs
