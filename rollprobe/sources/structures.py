@@ -208,6 +208,10 @@ def _dcd_layout(data: bytes) -> tuple[str, int, int, int, bool]:
     return order, frames, n_atoms, at + 12, cell
 
 
+def _file(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+
+
 class _Frames(InputPartition):
     def __init__(self, path: str, first: int, stop: int) -> None:
         self.path, self.first, self.stop = path, first, stop
@@ -220,7 +224,7 @@ class _DcdReader(DataSourceReader):
         self.path, self.bytes = options["path"], int(options.get("range_bytes", 64 << 20))
 
     def layout(self, path: str) -> tuple[str, int, int, int, bool, int]:
-        fs, p = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        fs, p = _file(path)
         with fs.open_input_file(p) as f:
             size = f.size()
             order, n_frames, n, at, cell = _dcd_layout(f.read(min(size, 1 << 16)))
@@ -228,7 +232,7 @@ class _DcdReader(DataSourceReader):
         return order, min(n_frames, (size - at) // step), n, at, cell, step
 
     def partitions(self) -> list[InputPartition]:
-        fs, p = pa.fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pa.fs.LocalFileSystem(), self.path)
+        fs, p = _file(self.path)
         info = fs.get_file_info(p)
         found = [x.path for x in fs.get_file_info(pa.fs.FileSelector(p)) if x.path.lower().endswith(".dcd")] if info.type == pa.fs.FileType.Directory else [p]
         head = self.path[: len(self.path) - len(p)] if self.path.endswith(p) else ""
@@ -242,7 +246,7 @@ class _DcdReader(DataSourceReader):
     def read(self, partition: _Frames) -> Iterator[pa.RecordBatch]:
         order, _, n, at, cell, step = self.layout(partition.path)
         name = re.sub(r"\.[^./]*$", "", partition.path.rsplit("/", 1)[-1])
-        fs, p = pa.fs.FileSystem.from_uri(partition.path) if "://" in partition.path or partition.path.startswith("file:") else (pa.fs.LocalFileSystem(), partition.path)
+        fs, p = _file(partition.path)
         with fs.open_input_file(p) as f:
             for k in range(partition.first, partition.stop):
                 f.seek(at + k * step + (56 if cell else 0))
@@ -282,6 +286,56 @@ def dcd_bytes(xyz: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def write_dcd(coords: DataFrame, path: str, order: str = "atom") -> DataFrame:
+    """Write (structure, frame, ``order``, x, y, z) as one DCD file a structure below ``path``; returns structure, frames, atoms.
+
+    Frames follow one another in a file, so a task streams one structure, a frame at a time. All frames of a structure
+    must have as many rows.
+    """
+    keys = ["structure"] if "structure" in coords.columns else []
+    sized = coords.groupBy(*keys, "frame").agg(F.count("*").alias("n"))
+    sized = sized.groupBy(*keys).agg(F.count("*").cast("int").alias("frames"), F.min("n").cast("int").alias("atoms"), F.max("n").cast("int").alias("most"))
+    rows = coords.join(sized, keys) if keys else coords.crossJoin(F.broadcast(sized))  # one row
+    name = F.col("structure") if keys else F.lit("frames")
+    dealt = rows.select(name.alias("structure"), "frame", F.col(order).alias("nth"), "x", "y", "z", "frames", "atoms", "most").repartition("structure").sortWithinPartitions("structure", "frame", "nth")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, held, done = None, None, [], []
+        rec = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
+        for batch in batches:
+            names, n = batch.column("structure").to_pylist(), batch.column("atoms").to_numpy()
+            xyz = np.stack([batch.column(c).to_numpy() for c in "xyz"], axis=1).astype("<f4")
+            at = 0
+            while at < len(names):
+                if names[at] != now:
+                    if out is not None:
+                        out.close()
+                    now, atoms, frames = names[at], int(n[at]), batch.column("frames")[at].as_py()
+                    if atoms != batch.column("most")[at].as_py():
+                        raise ValueError(f"frames of {now} have {atoms} to {batch.column('most')[at].as_py()} atoms")
+                    fs, p = _file(f"{path}/{now}.dcd")
+                    fs.create_dir(p.rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(p)
+                    out.write(rec(b"CORD" + struct.pack("<20i", frames, 0, 1, *[0] * 16, 24)) + rec(struct.pack("<i", 1) + b" " * 80) + rec(struct.pack("<i", atoms)))
+                    done.append((now, frames, atoms))
+                stop = at + 1
+                while stop < len(names) and names[stop] == now:
+                    stop += 1
+                held = np.concatenate([held, xyz[at:stop]]) if len(held) else xyz[at:stop]
+                while len(held) >= atoms:
+                    for i in range(3):
+                        out.write(rec(held[:atoms, i].tobytes()))
+                    held = held[atoms:]
+                at = stop
+        if out is not None:
+            out.close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())], names=["structure", "frames", "atoms"])
+
+    written = dealt.mapInArrow(write, "structure string, frames int, atoms int").collect()  # one row a structure
+    return coords.sparkSession.createDataFrame(written, "structure string, frames int, atoms int")
+
+
 READERS = {"psf": read_psf, "cif": read_mmcif, "mmcif": read_mmcif, "pdb": read_pdb}
 
 

@@ -7,7 +7,7 @@ import pytest
 from rollprobe.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["sr_total", "sr_rollup", "sr_selection", "lr_total", "radius_cascade", "interface", "ts_kinetics", "flatten_stats", "gram_matrix", "altloc_dedup"]
+SOME = ["sr_total", "sr_rollup", "sr_selection", "lr_total", "radius_cascade", "interface", "ts_kinetics", "flatten_stats", "gram_matrix", "altloc_dedup", "structure_totals", "topology_join", "empty_frames", "lr_centers", "supplied_pairs", "unknown_radius", "mass_elements", "item_warnings", "report_rsa", "report_log", "report_json", "csv_class_selection", "padded_points", "pdb_read", "mmcif_read", "psf_read", "residue_runs_structures", "feature_bundle", "ts_uncertainty", "ts_autocorr"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

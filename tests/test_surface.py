@@ -14,7 +14,7 @@ from rollprobe.operators.features import interface
 from rollprobe.plans.selection import select, split_command
 from rollprobe.sources.records import frame_numbers
 from rollprobe.sources.sinks import SINKS, pdb_lines, write
-from rollprobe.sources.structures import assign_radii, atom_site, dcd_bytes, radius_config, read_dcd, read_mmcif, read_pdb, read_psf, read_topology, with_coordinates
+from rollprobe.sources.structures import assign_radii, atom_site, dcd_bytes, radius_config, read_dcd, read_mmcif, read_pdb, read_psf, read_topology, with_coordinates, write_dcd
 
 
 def brute(xyz, r, probe, n):
@@ -120,6 +120,11 @@ def test_mmcif_psf_dcd(spark, tmp_path):
     (tmp_path / "x.dcd").write_bytes(dcd_bytes(xyz))
     got = read_dcd(spark, str(tmp_path / "x.dcd")).orderBy("frame", "atom").toPandas()
     assert np.allclose(got[["x", "y", "z"]].to_numpy().reshape(2, 3, 3), xyz)
+    two = got.assign(structure="y")
+    both = spark.createDataFrame(got.assign(structure="x")).unionByName(spark.createDataFrame(two[two.frame == 0]))
+    assert sorted(tuple(r) for r in write_dcd(both, str(tmp_path / "written")).collect()) == [("x", 2, 3), ("y", 1, 3)]
+    back = read_dcd(spark, str(tmp_path / "written")).orderBy("structure", "frame", "atom").toPandas()
+    assert np.allclose(back[back.structure == "x"][["x", "y", "z"]].to_numpy().reshape(2, 3, 3), xyz) and len(back) == 9
     cut = read_dcd(spark, str(tmp_path), range_bytes=1)  # a frame a task, all files of a folder
     assert cut.rdd.getNumPartitions() == 2 and cut.count() == 6
 
