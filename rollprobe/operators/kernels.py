@@ -1,4 +1,4 @@
-"""Surface kernels: Shrake-Rupley by tiles (or by covered-point bit masks of given pairs), Lee-Richards by slices and arc unions."""
+"""Surface kernels, tile by tile: Shrake-Rupley (or covered-point bit masks of given pairs), Lee-Richards by slices and arc unions."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.points import sphere_points
 from .neighbors import expanded, keys_of, neighbor_pairs, tiled
@@ -37,7 +37,7 @@ def covered(pairs: DataFrame, n_points: int, keys: tuple[str, ...], single: bool
     return pairs.crossJoin(_points(pairs, n_points)).where(inside).groupBy(*keys, "atom", "w").agg(F.expr("bit_or(bit)").alias("mask"))
 
 
-def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, centres: int = CENTRES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (centre, other) of rows whose expanded spheres meet, sorted by centre, in runs of whole centres."""
     cell = np.floor((xyz - xyz.min(axis=0)) / edge).astype(np.int64) + 1
     span = cell.max(axis=0) + 2
@@ -45,8 +45,8 @@ def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray) -> Iter
     order = np.argsort(number, kind="stable")
     held = number[order]
     shifts = np.array([(i * span[1] + j) * span[2] - 1 for i in (-1, 0, 1) for j in (-1, 0, 1)])  # three cells in a row along z
-    for at in range(0, len(own), CENTRES):
-        mine = own[at : at + CENTRES]
+    for at in range(0, len(own), centres):
+        mine = own[at : at + centres]
         want = number[mine][:, None] + shifts
         lo, hi = np.searchsorted(held, want), np.searchsorted(held, want + 3)
         many = (hi - lo).ravel()
@@ -78,10 +78,53 @@ def exposed_points(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray
     return free
 
 
-def _swept(atoms: DataFrame, n_points: int, centers, keys: tuple[str, ...], single: bool, edge: float | None, points: bool) -> DataFrame:
-    """Rows of the centre atoms with ``exposed``, a count or (``points``) the numbers of the free points; tile by tile."""
-    unit = np.array(sphere_points(n_points))
-    kind = StructType([*atoms.schema.fields, StructField("exposed", ArrayType(IntegerType()) if points else IntegerType())])
+def _counts(unit: np.ndarray, single: bool):
+    return lambda xyz, er, edge, own: pa.array(exposed_points(xyz, er, edge, own, unit, single).sum(axis=1), pa.int32())
+
+
+def _numbers(unit: np.ndarray):
+    def found(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray) -> pa.Array:
+        row, k = np.nonzero(exposed_points(xyz, er, edge, own, unit))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32()), pa.array(k, pa.int32()))
+
+    return found
+
+
+def covered_arcs(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, n_slices: int) -> np.ndarray:
+    """For each centre row in ``own`` the angle that neighbours cover, summed over its mid-plane circles."""
+    lost, two_pi = np.zeros(len(own)), 2.0 * np.pi
+    place = np.full(len(er), -1)
+    place[own] = np.arange(len(own))
+    for a, b in _near(xyz, er, edge, own, max(1, CENTRES * 5 // n_slices)):
+        r, (dx, dy) = er[a][:, None], (xyz[b] - xyz[a])[:, :2].T
+        h = xyz[a, 2][:, None] - r + (np.arange(n_slices) + 0.5) * (2.0 * r / n_slices)
+        ri, rj2 = np.sqrt(np.maximum(r * r - (h - xyz[a, 2][:, None]) ** 2, 0.0)), (er[b] ** 2)[:, None] - (h - xyz[b, 2][:, None]) ** 2
+        d = np.sqrt(dx * dx + dy * dy)[:, None]
+        rj = np.sqrt(np.maximum(rj2, 0.0))
+        i, s = np.nonzero((rj2 > 0) & (d < ri + rj) & ~(d + rj < ri))
+        ri, rj, d = ri[i, s], rj[i, s], d[i, 0]
+        whole = (d + ri < rj) | (d < 1e-14)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(whole, np.pi, np.arccos(np.clip((ri * ri + d * d - rj * rj) / (2.0 * ri * d), -1.0, 1.0)))
+        low = np.where(whole, 0.0, np.mod(np.arctan2(dy[i], dx[i]) - alpha, two_pi))
+        high = np.where(whole, two_pi, low + 2.0 * alpha)
+        over = np.flatnonzero(high > two_pi)  # cut where the circle closes
+        circle = place[a[i]] * n_slices + s
+        circle, low, high = np.concatenate([circle, circle[over]]), np.concatenate([low, np.zeros(len(over))]), np.concatenate([np.minimum(high, two_pi), high[over] - two_pi])
+        order = np.lexsort((high, low, circle))
+        circle, low, high = circle[order], low[order], high[order]
+        first = np.concatenate([[True], circle[1:] != circle[:-1]]) if len(circle) else np.zeros(0, bool)
+        # the furthest end so far on the same circle: circles are set 8 apart, further than any angle
+        lift = 8.0 * np.cumsum(first)
+        reach = np.maximum.accumulate(high + lift) - lift if len(circle) else high
+        before = np.where(first, 0.0, np.concatenate([[0.0], reach[:-1] + lift[:-1]])[: len(circle)] - lift)
+        lost += np.bincount(circle // n_slices, np.maximum(high - np.maximum(low, before), 0.0), minlength=len(own))
+    return lost
+
+
+def _swept(atoms: DataFrame, centers, keys: tuple[str, ...], edge: float | None, name: str, type_, find) -> DataFrame:
+    """Rows of the centre atoms with a column that ``find`` (xyz, er, edge, centre rows) gives; tile by tile."""
+    kind = StructType([*atoms.schema.fields, StructField(name, type_)])
     schema = to_arrow_schema(kind)
 
     def tile(t: pa.Table) -> pa.Table:
@@ -89,13 +132,8 @@ def _swept(atoms: DataFrame, n_points: int, centers, keys: tuple[str, ...], sing
         if not len(own):
             return schema.empty_table()
         xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1)
-        free = exposed_points(xyz, t.column("er").to_numpy(), t.column("edge")[0].as_py(), own, unit, single)
+        out = find(xyz, t.column("er").to_numpy(), t.column("edge")[0].as_py(), own)
         rows = t.column("own").combine_chunks().take(pa.array(own))
-        if points:
-            row, k = np.nonzero(free)
-            out = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32()), pa.array(k, pa.int32()))
-        else:
-            out = pa.array(free.sum(axis=1), pa.int32())
         return pa.table([*(x.cast(f.type) for x, f in zip(rows.flatten(), schema, strict=False)), out], names=schema.names)
 
     return tiled(atoms, centers, keys, edge).groupBy(*keys, "tx", "ty", "tz").applyInArrow(tile, kind)
@@ -110,7 +148,7 @@ def shrake_rupley(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, cen
     """
     keys, atoms = keys or keys_of(atoms), expanded(atoms.drop("exposed", "sasa"), probe)
     if pairs is None:
-        out = _swept(atoms, n_points, centers, keys, single, edge, False)
+        out = _swept(atoms, centers, keys, edge, "exposed", IntegerType(), _counts(np.array(sphere_points(n_points)), single))
     else:
         hidden = covered(pairs, n_points, keys, single).groupBy(*keys, "atom").agg(F.sum(F.bit_count("mask")).alias("hidden"))
         mine = atoms if centers is None else atoms.where(centers)
@@ -121,7 +159,7 @@ def shrake_rupley(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, cen
 def surface_points(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, keys: tuple[str, ...] | None = None, edge: float | None = None) -> DataFrame:
     """The exposed points themselves: keys, atom, k, px, py, pz."""
     keys, atoms = keys or keys_of(atoms), expanded(atoms, probe)
-    free = _swept(atoms.select(*keys, "atom", "x", "y", "z", "er"), n_points, None, keys, False, edge, True).withColumn("k", F.explode("exposed"))
+    free = _swept(atoms.select(*keys, "atom", "x", "y", "z", "er"), None, keys, edge, "exposed", ArrayType(IntegerType()), _numbers(np.array(sphere_points(n_points)))).withColumn("k", F.explode("exposed"))
     at = lambda i: F.element_at(F.array(*[F.lit(u[i]) for u in sphere_points(n_points)]), F.col("k") + 1)
     return free.select(*keys, "atom", "k", *((F.col(c) + F.col("er") * at(i)).alias(f"p{c}") for i, c in enumerate("xyz")))
 
@@ -129,28 +167,9 @@ def surface_points(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, ke
 def lee_richards(atoms: DataFrame, probe: float = 1.4, n_slices: int = 20, centers=None, keys: tuple[str, ...] | None = None, edge: float | None = None) -> DataFrame:
     """All columns of the centre atoms, with er and sasa: exposed arc length of ``n_slices`` mid-plane circles.
 
-    Arcs covered by neighbours are cut at 2 pi, sorted, and united with a running maximum (gaps and islands).
+    Tiles as for Shrake-Rupley; arcs covered by neighbours are cut at 2 pi, sorted, and united with a running maximum.
     """
-    keys, atoms = keys or keys_of(atoms), expanded(atoms, probe)
-    two_pi = 2.0 * math.pi
-    pairs = neighbor_pairs(atoms, centers, keys, edge)
-    by = [*keys, "atom", "s"]
-    # circles of the atom and of the neighbour in each slice
-    cut = pairs.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    cut = cut.withColumn("h", F.expr(f"z - er + (s + 0.5) * (2.0 * er / {n_slices})"))
-    cut = cut.select(*by, F.expr("sqrt(greatest(er * er - (h - z) * (h - z), 0.0))").alias("ri"), F.expr("oer * oer - (h - oz) * (h - oz)").alias("rj2"), F.expr("ox - x").alias("dx"), F.expr("oy - y").alias("dy"))
-    cut = cut.where("rj2 > 0").withColumn("rj", F.sqrt("rj2")).withColumn("d", F.expr("sqrt(dx * dx + dy * dy)")).where("d < ri + rj").where("not (d + rj < ri)")
-    whole = F.expr("d + ri < rj or d < 1e-14")
-    arcs = cut.select(*by, F.when(whole, F.lit(True)).otherwise(F.lit(False)).alias("buried"), F.when(~whole, F.expr("acos(least(greatest((ri * ri + d * d - rj * rj) / (2.0 * ri * d), -1.0), 1.0))")).alias("alpha"), F.when(~whole, F.expr("atan2(dy, dx)")).alias("beta"))
-    arcs = arcs.repartition(*[F.col(c) for c in by])  # a boundary: angles are computed once, below the shuffle
-    lo = F.expr(f"pmod(beta - alpha, {two_pi!r}D)")
-    arcs = arcs.withColumn("lo", lo).withColumn("hi", F.expr("lo + 2.0 * alpha"))
-    pieces = F.when(F.col("buried"), F.array(F.struct(F.lit(0.0).alias("a"), F.lit(two_pi).alias("b")))).when(F.col("hi") > two_pi, F.array(F.struct(F.col("lo").alias("a"), F.lit(two_pi).alias("b")), F.struct(F.lit(0.0).alias("a"), (F.col("hi") - two_pi).alias("b")))).otherwise(F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))))
-    arcs = arcs.select(*by, F.explode(pieces).alias("p")).select(*by, "p.a", "p.b")
-    before = Window.partitionBy(*by).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    arcs = arcs.withColumn("reach", F.greatest(F.coalesce(F.max("b").over(before), F.lit(0.0)), F.lit(0.0)))
-    free = arcs.groupBy(*by).agg((F.sum(F.greatest(F.col("a") - F.col("reach"), F.lit(0.0))) + F.lit(two_pi) - F.max("b")).alias("free"))
-    lost = free.groupBy(*keys, "atom").agg(F.sum(F.lit(two_pi) - F.col("free")).alias("lost"))
-    mine = atoms if centers is None else atoms.where(centers)
-    out = mine.join(lost, [*keys, "atom"], "left")
-    return out.withColumn("sasa", F.expr(f"(2.0 * er / {n_slices}) * er * ({n_slices} * {two_pi!r}D - coalesce(lost, 0.0D))")).drop("lost")
+    keys, atoms = keys or keys_of(atoms), expanded(atoms.drop("sasa", "lost"), probe)
+    find = lambda xyz, er, width, own: pa.array(covered_arcs(xyz, er, width, own, n_slices))
+    out = _swept(atoms, centers, keys, edge, "lost", DoubleType(), find)
+    return out.withColumn("sasa", F.expr(f"(2.0 * er / {n_slices}) * er * ({n_slices} * {2.0 * math.pi!r}D - lost)")).drop("lost")

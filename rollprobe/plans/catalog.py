@@ -171,7 +171,7 @@ def _(s, d):
 
 
 PI2 = repr(2 * math.pi)
-LR = f"""with {sql_atoms(1)}, {sr_sql(HEAVY)},
+LR = f"""with {sql_atoms()}, {sr_sql(HEAVY)},
 cut as (select a.frame, a.atom, s, sqrt(greatest(er*er-(h-z)*(h-z),0)) ri, oer*oer-(h-oz)*(h-oz) rj2, ox-x dx, oy-y dy from (select *, z - er + (s + 0.5::double) * (2.0::double*er/{SLICES}) h from pairs, (select unnest(range({SLICES})) s)) a),
 c2 as (select *, sqrt(rj2) rj, sqrt(dx*dx+dy*dy) d from cut where rj2 > 0), c3 as (select *, (d+ri<rj or d<1e-14) whole from c2 where d<ri+rj and not d+rj<ri),
 ang as (select frame, atom, s, whole, case when not whole then acos(least(greatest((ri*ri+d*d-rj*rj)/(2*ri*d),-1),1)) end alpha, case when not whole then atan2(dy,dx) end beta from c3),
@@ -185,12 +185,12 @@ lr as (select u.frame, u.atom, (2.0::double*er/{SLICES})*er*({SLICES}*{PI2}::dou
 
 @query("lr_atom", LR + "select frame, atom, round(sasa, 4) as sasa from lr")
 def _(s, d):
-    return lee_richards(heavy(part_atoms(s, d, 1)), PROBE, SLICES, edge=EDGE).select("frame", "atom", rnd("sasa", 4))
+    return lee_richards(heavy(part_atoms(s, d)), PROBE, SLICES, edge=EDGE).select("frame", "atom", rnd("sasa", 4))
 
 
 @query("lr_total", LR + "select frame, round(sum(sasa), 4) as total_sasa from lr group by frame")
 def _(s, d):
-    return A.totals(lee_richards(heavy(part_atoms(s, d, 1)), PROBE, SLICES, edge=EDGE)).select("frame", rnd("total_sasa", 4))
+    return A.totals(lee_richards(heavy(part_atoms(s, d)), PROBE, SLICES, edge=EDGE)).select("frame", rnd("total_sasa", 4))
 
 
 # ---------------------------------------------------------------- tables, selections, sources
@@ -212,7 +212,8 @@ for _name, _text in CASES.items():
 _pro = protor()
 _odd = "case atom % 5 when 0 then 'HIE' when 1 then 'ILE' when 2 then 'LIG' when 3 then 'HSD' else residue_name end"
 _oddname = "case when atom % 5 = 1 and atom_name = 'CB' then 'CD' when atom % 7 = 0 then 'OT1' else atom_name end"
-_map = lambda name, d: f"{name} as (select * from (values " + ",".join(f"('{k}',{v!r}::double)" if isinstance(v, float) else f"('{k}','{v}')" for k, v in sorted(d.items())) + ") t(k, v))"
+_text = lambda x: "'" + x.replace("'", "''") + "'"
+_map = lambda name, d: f"{name} as (select * from (values " + ",".join(f"({_text(k)},{v!r}::double)" if isinstance(v, float) else f"({_text(k)},{_text(v)})" for k, v in sorted(d.items())) + ") t(k, v))"
 
 
 @query("radius_cascade", f"with {sql_atoms(1)}, {_map('tab', _pro.radii())}, {_map('ali', RESIDUE_NAME_ALIASES)}, {_map('ele', ELEMENT_RADII)}, n as (select atom, {_odd} as res, {_oddname} as name, element from atoms), m as (select n.*, coalesce(ali.v, res) as base from n left join ali on ali.k = res), r as (select m.*, case when base = 'ILE' and name = 'CD' then 'ILE:CD1' when name = 'OT1' and base in ({','.join(repr(x) for x in AMINO_ACIDS)}) then base || ':O' end as renamed from m) select atom, res as residue, name, coalesce(t1.v, t2.v, t3.v, e.v) as radius from r left join tab t1 on t1.k = res || ':' || name left join tab t2 on t2.k = base || ':' || name left join tab t3 on t3.k = renamed left join ele e on e.k = element")
@@ -282,7 +283,7 @@ def sides() -> tuple:
 
 
 def ctx_sql(pairs: dict[str, str]) -> str:
-    return f"with {sql_atoms(1)}, plain as (select * from atoms where {HEAVY}), ctx as (" + " union all ".join(f"select *, '{n}' as context from plain where {w}" for n, w in pairs.items()) + "), " + sr_sql(context=True).replace("from atoms where", "from ctx where")
+    return f"with {sql_atoms()}, plain as (select * from atoms where {HEAVY}), ctx as (" + " union all ".join(f"select *, '{n}' as context from plain where {w}" for n, w in pairs.items()) + "), " + sr_sql(context=True).replace("from atoms where", "from ctx where")
 
 
 AB = ctx_sql({"a": "chain = 'A'", "b": "chain = 'B'", "ab": "chain in ('A','B')"})
@@ -290,26 +291,26 @@ AB = ctx_sql({"a": "chain = 'A'", "b": "chain = 'B'", "ab": "chain in ('A','B')"
 
 @query("interface", AB + ", t as (select frame, coalesce(sum(sasa) filter (context='a'),0) a_free, coalesce(sum(sasa) filter (context='b'),0) b_free, coalesce(sum(sasa) filter (context='ab' and chain='A'),0) a_bound, coalesce(sum(sasa) filter (context='ab' and chain='B'),0) b_bound, coalesce(sum(sasa) filter (context='ab'),0) complex from sr group by frame) select frame, round(a_free,5) a_free, round(b_free,5) b_free, round(a_bound,5) a_bound, round(b_bound,5) b_bound, round(complex,5) complex, round(a_free+b_free-complex,5) buried, round((a_free+b_free-complex)/2,5) interface, round((a_free-a_bound)/greatest(a_free,1e-12),6) a_buried_fraction, round((b_free-b_bound)/greatest(b_free,1e-12),6) b_buried_fraction from t")
 def _(s, d):
-    out = X.interface(heavy(part_atoms(s, d, 1)), *sides(), PROBE, POINTS, EDGE, check=False)
+    out = X.interface(heavy(part_atoms(s, d)), *sides(), PROBE, POINTS, EDGE, check=False)
     return out.select("frame", *(rnd(c) for c in ("a_free", "b_free", "a_bound", "b_bound", "complex", "buried", "interface")), rnd("a_buried_fraction", 6), rnd("b_buried_fraction", 6))
 
 
 @query("interface_residue", AB + ", t as (select frame, residue_id, coalesce(sum(sasa) filter (context<>'ab'),0) free, coalesce(sum(sasa) filter (context='ab'),0) bound from sr group by all) select frame, residue_id, round(free-bound,5)+0.0 as buried, case when free-bound > 1e-9 then round((free-bound)/greatest(free,1e-12),6) end as buried_fraction from t")
 def _(s, d):
-    out = X.interface_residues(heavy(part_atoms(s, d, 1)), *sides(), PROBE, POINTS, EDGE)
+    out = X.interface_residues(heavy(part_atoms(s, d)), *sides(), PROBE, POINTS, EDGE)
     return out.select("frame", "residue_id", (F.round("buried", 5) + F.lit(0.0)).alias("buried"), rnd("buried_fraction", 6))
 
 
 @query("interface_polar", AB + ", t as (select frame, coalesce(sum(case when context='ab' then -sasa else sasa end) filter (atom_class='polar'),0) p, coalesce(sum(case when context='ab' then -sasa else sasa end) filter (atom_class<>'polar'),0) q from sr group by frame) select frame, round(p,5) polar_buried, round(q,5) apolar_buried, round(round(q,5)/greatest(round(p,5)+round(q,5),1e-12),6) apolar_fraction from t")
 def _(s, d):
-    out = X.interface_polarity(heavy(part_atoms(s, d, 1)), *sides(), F.col("atom_class") == "polar", PROBE, POINTS, EDGE)
+    out = X.interface_polarity(heavy(part_atoms(s, d)), *sides(), F.col("atom_class") == "polar", PROBE, POINTS, EDGE)
     out = out.select("frame", rnd("polar_buried"), rnd("apolar_buried"))  # the share of rounded areas: of none it is 0
     return out.withColumn("apolar_fraction", F.expr("round(apolar_buried / greatest(polar_buried + apolar_buried, 1e-12D), 6)"))
 
 
 @query("glycan_shielding", ctx_sql({"all": "true", "bare": "chain <> 'D'"}) + ", t as (select frame, coalesce(sum(sasa) filter (context='bare'),0) bare, coalesce(sum(sasa) filter (context='all'),0) shielded from sr where chain in ('A','B') group by frame) select frame, round(bare,5) bare, round(shielded,5) shielded, round(bare-shielded,5) shielding, round((bare-shielded)/greatest(bare,1e-12),6) shielding_fraction from t")
 def _(s, d):
-    out = X.shielding(heavy(part_atoms(s, d, 1)), F.col("chain").isin("A", "B"), F.col("chain") == "D", PROBE, POINTS, EDGE)
+    out = X.shielding(heavy(part_atoms(s, d)), F.col("chain").isin("A", "B"), F.col("chain") == "D", PROBE, POINTS, EDGE)
     return out.select("frame", rnd("bare"), rnd("shielded"), rnd("shielding"), rnd("shielding_fraction", 6))
 
 

@@ -26,7 +26,7 @@ TWO = ctx_sql({"whole": "true", "even": "residue_id % 2 = 0"})
 
 def two_structures(s: SparkSession, d: str) -> DataFrame:
     """Two structures that lie in the same place: were they mixed, each would bury the other."""
-    atoms = heavy(part_atoms(s, d, 1))
+    atoms = heavy(part_atoms(s, d))
     return atoms.withColumn("structure", F.explode(F.array(F.lit("whole"), F.when(F.col("residue_id") % 2 == 0, "even")))).where("structure is not null")
 
 
@@ -65,7 +65,7 @@ CENTRES = "residue_id % 5 = 0"
 
 @query("lr_centers", LR.replace(sr_sql(HEAVY), sr_sql(HEAVY, centers=CENTRES)).replace("from u left join lost", f"from (select * from u where {CENTRES}) u left join lost") + "select frame, atom, round(sasa, 4) as sasa from lr")
 def _(s, d):
-    return lee_richards(heavy(part_atoms(s, d, 1)), PROBE, SLICES, F.expr(CENTRES), edge=EDGE).select("frame", "atom", rnd("sasa", 4))
+    return lee_richards(heavy(part_atoms(s, d)), PROBE, SLICES, F.expr(CENTRES), edge=EDGE).select("frame", "atom", rnd("sasa", 4))
 
 
 @query("supplied_pairs", WITH.replace("a.atom <> b.atom", "a.atom <> b.atom and abs(a.atom - b.atom) <= 150") + "select frame, atom, exposed from sr")
@@ -357,7 +357,7 @@ def _(s, d):
 # ---------------------------------------------------------------- features
 @query("interface_outputs", AB + ", t as (select frame, coalesce(sum(sasa) filter (context='a'),0) af, coalesce(sum(sasa) filter (context='b'),0) bf, coalesce(sum(sasa) filter (context='ab' and chain='A'),0) ab, coalesce(sum(sasa) filter (context='ab' and chain='B'),0) bb from sr group by frame) select frame, round(af-ab,5)+0.0 a_buried, round(bf-bb,5)+0.0 b_buried, round((af+bf-ab-bb)/greatest(af+bf,1e-12),6)+0.0 buried_fraction from t")
 def _(s, d):
-    out = X.interface(heavy(part_atoms(s, d, 1)), *sides(), PROBE, POINTS, EDGE, check=False)
+    out = X.interface(heavy(part_atoms(s, d)), *sides(), PROBE, POINTS, EDGE, check=False)
     return out.select("frame", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("a_buried", 5), ("b_buried", 5), ("buried_fraction", 6))))
 
 

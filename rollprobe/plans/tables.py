@@ -10,7 +10,7 @@ from ..functions.chemistry import AMINO_ACIDS, ELEMENT_RADII, class_column, lite
 SPACING = 4.0
 PROBE = 1.4
 POINTS = 100
-SLICES = 10
+SLICES = 20
 FRAMES = 2
 EDGE = 2.0 * (max(ELEMENT_RADII[e] for e in "CNOSH") + PROBE)  # the view's elements are known, so is the largest radius
 ELEMENTS = ["N", "C", "C", "O", "C", "C", "S", "H"]
