@@ -75,6 +75,33 @@ def test_jaccard_join_is_exact(spark, docs, monkeypatch, small, block):
         assert jaccard_join.jaccard_join(empty(spark)).count() == 0
 
 
+def test_jaccard_join_of_overlapping_chains(spark, monkeypatch):
+    """Windows that slide over common texts: long chains of links, regions that are cut into cells, cells cut again."""
+    for name, value in (("SMALL", 6), ("BLOCK", 8), ("PIVOTS", 4), ("BLOCK_SHINGLES", 400)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(11)
+    texts = []
+    for t in range(5):
+        words, at = [f"t{t}w{r.randrange(4000)}" for _ in range(900)], 0
+        while at < 700:
+            n = r.choice((40, 60, 80))
+            texts.append(" ".join(words[at : at + n]))
+            at += r.choice((1, 2, 5, 9, 30))
+    texts = [x for x in texts if r.random() < 0.6] + ["common head of many documents here " + " ".join(f"u{r.randrange(9999)}" for _ in range(9)) for _ in range(30)]
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = shingle_sets(df.collect())
+    up = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and up[a] != up[b] and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                low, high = sorted((up[a], up[b]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == up and len(set(up.values())) > 40
+
+
 def test_jaccard_join_keeps_chained_members_of_a_large_region(spark):
     """x and its 70 variants hang on the pivot p by a chain (z), were never measured against it, and alone link y."""
 
