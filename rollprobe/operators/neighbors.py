@@ -1,7 +1,8 @@
-"""Neighbour search: a distance join as an equi-join on grid cells.
+"""Neighbour search: a distance join as an equi-join on grid cells, or tiles that hold all neighbours of their atoms.
 
-Atoms are binned into cubes of edge 2 * max(radius + probe); centres are exploded into the 27 cubes around their own and
-meet the atoms of those cubes by hash join on (frame, cell), so work grows with atoms, not with pairs of atoms.
+For pairs, atoms are binned into cubes of edge 2 * max(radius + probe); centres are exploded into the 27 cubes around their own and
+meet the atoms of those cubes by hash join on (frame, cell), so work grows with atoms, not with pairs of atoms. Tiles
+are larger cubes with a rim as wide as the largest reach; a kernel solves them one by one.
 """
 
 from __future__ import annotations
