@@ -136,7 +136,10 @@ def _swept(atoms: DataFrame, centers, keys: tuple[str, ...], edge: float | None,
         rows = t.column("own").combine_chunks().take(pa.array(own))
         return pa.table([*(x.cast(f.type) for x, f in zip(rows.flatten(), schema, strict=False)), out], names=schema.names)
 
-    return tiled(atoms, centers, keys, edge).groupBy(*keys, "tx", "ty", "tz").applyInArrow(tile, kind)
+    # dealt by number: a tile is much work for few bytes, so partitions must not be merged by their size
+    parts = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiled(atoms, centers, keys, edge).repartition(parts, *keys, "tx", "ty", "tz")
+    return rows.groupBy(*keys, "tx", "ty", "tz").applyInArrow(tile, kind)
 
 
 def shrake_rupley(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, centers=None, keys: tuple[str, ...] | None = None, single: bool = False, edge: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
