@@ -14,9 +14,10 @@ a partition are dealt into blocks of bounded size, so no partition has to fit a
 merged. A query that finds fewer than ``top`` goes to all partitions. Scores are exact cosines in double precision of
 vectors scaled by powers of two, so that very large and very small components neither overflow nor vanish.
 
-Vectors that are null, zero or hold null or non-finite components take no part. Ties go to the smaller vec_id; repeated
-rows are candidates of their own, and a row is left out of its own query by its id. Vectors must have one length; others
-than the most common length take no part. Extra columns are ignored, an empty table gives no row.
+Vectors that are null, zero or hold null or non-finite components take no part. Ties go to the smaller vec_id; a row is
+left out of its own query by its id. Repeated rows count once. Where one vec_id has several vectors, the smallest of them
+(component by component) asks, and as a candidate the nearest one counts. Vectors must have one length; others than the
+most common length take no part. Extra columns are ignored, an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -167,10 +168,15 @@ def routers_of(rows: DataFrame, d: int, parts: int, top: int, sample_size: int,
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         return pa.table({"path": [t.column("path")[0].as_py()], "router": [pickle.dumps(train(x, parts, top, target))]})
 
-    homes, open_ = rows.withColumn("path", F.lit(1).cast("long")), [1]
+    homes, open_ = rows.withColumn("path", F.lit(1).cast("long")), {1: rows.count()}
     while open_:
+        # hashes below a share of their range: about 5/4 of the sample, so that no partition sends more to the task that sorts them
+        low = {p: min(2**63 - 1, -(2**63) + (5 * sample_size * 2**62) // n) for p, n in open_.items() if n}
+        if not low:
+            break
+        below = F.create_map(*[F.lit(x).cast("long") for kv in low.items() for x in kv])
         nth = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("vec_id"), "vec_id"))
-        some = homes.where(F.col("path").isin(open_)).withColumn("nth", nth).where(f"nth <= {sample_size}").select("path", "v")
+        some = homes.where(F.col("path").isin(list(low)) & (F.xxhash64("vec_id") <= below[F.col("path")])).withColumn("nth", nth).where(f"nth <= {sample_size}").select("path", "v")
         new = {r.path: pickle.loads(r.router) for r in some.groupBy("path").applyInArrow(fit, "path long, router binary").collect()}  # one row a partition that is cut
         routers |= new
         one = max(len(pickle.dumps(r)) for r in new.values())
@@ -184,8 +190,8 @@ def routers_of(rows: DataFrame, d: int, parts: int, top: int, sample_size: int,
         homes = rows.mapInArrow(home, "vec_id long, v array<double>, path long")
         if one * len(routers) * parts > ROUTERS_BYTES:
             break
-        open_ = [r.path for r in homes.groupBy("path").agg(F.count("*").alias("n")).where(f"n > {LEAF}").collect()]  # at most one row a partition
-        open_ = [p for p in open_ if p not in routers and routers[p // parts].w1.any()]
+        sizes = {r.path: r.n for r in homes.groupBy("path").agg(F.count("*").alias("n")).where(f"n > {LEAF}").collect()}  # at most one row a partition
+        open_ = {p: n for p, n in sizes.items() if p not in routers and routers[p // parts].w1.any()}
     return routers
 
 
@@ -243,11 +249,13 @@ def search(vectors: DataFrame, queries, top: int = 5, parts: int = 16, sample_si
     at = shared_dir(spark)
     routed = stored(rows.withColumn("asked", queries).mapInArrow(route, "vec_id long, v array<double>, asked boolean, part long, probes array<long>"), f"{at}/routed")
     vectors_of = stored(routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vbs")), f"{at}/parts")  # one row a partition
-    asked = routed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("probes").alias("part"))
+    asking = stored(routed.where("asked").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "probes")).alias("m")).select("query_id", F.col("m.v").alias("q"), "m.probes"), f"{at}/asking")
+    asked = asking.select("query_id", "q", F.explode("probes").alias("part"))
     found = stored(_met(routed, asked, vectors_of, d, top), f"{at}/found")
     few = found.groupBy("query_id").agg(F.count("*").alias("n")).where(f"n >= {top}").select("query_id")
-    short = routed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(few, "query_id", "left_anti")
-    everywhere = short.crossJoin(F.broadcast(vectors_of.select("part")))  # the few queries that found too little, times the partitions
+    short = asking.select("query_id", "q").join(few, "query_id", "left_anti")
+    parts_there = [r.part for r in vectors_of.select("part").collect()]  # their number is bounded by ROUTERS_BYTES
+    everywhere = short.withColumn("part", F.explode(F.array(*map(F.lit, parts_there)).cast("array<long>")))  # the few queries that found too little look in all
     rest = _met(routed, everywhere, vectors_of, d, top)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     both = found.join(few, "query_id").unionByName(rest)
@@ -267,13 +275,22 @@ def _met(routed: DataFrame, asked: DataFrame, vectors_of: DataFrame, d: int, top
         out = []
         if len(ids) and len(asked_ids):
             v, q = _unit(vs.column("v"), d), _unit(qs.column("q"), d)
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             vn, qn = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             for a in range(0, len(q), 256):
                 s = (q[a : a + 256] @ v.T) / (qn[a : a + 256, None] * vn)
                 s[asked_ids[a : a + 256, None] == ids] = -np.inf
-                cut = -np.partition(-s, min(top, s.shape[1]) - 1, axis=1)[:, min(top, s.shape[1]) - 1]
+                best = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)  # one score an id
+                cut = -np.partition(-best, min(top, best.shape[1]) - 1, axis=1)[:, min(top, best.shape[1]) - 1]
                 i, j = np.nonzero(s >= np.maximum(cut[:, None] - 1e-12, -2))  # last bits of s differ among equal vectors
                 exact = (q[a + i] * v[j]).sum(axis=1) / (qn[a + i] * vn[j])
+                if len(first) < len(ids):  # of several rows of one id the nearest
+                    order = np.lexsort((-exact, ids[j], i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    one = np.concatenate([[True], (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])])[: len(i)]
+                    i, j, exact = i[one], j[one], exact[one]
                 order = np.lexsort((ids[j], -exact, i))  # ties at the cut: the smaller ids stay
                 i, j, exact = i[order], j[order], exact[order]
                 keep = np.arange(len(i)) - np.searchsorted(i, i) < top
@@ -281,4 +298,5 @@ def _met(routed: DataFrame, asked: DataFrame, vectors_of: DataFrame, d: int, top
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # vectors of one id may lie in several blocks
