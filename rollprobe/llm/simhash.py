@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, map_arrow, text_bytes
+from .common import SPACE, map_arrow, parallelism, text_bytes
 from .graph import LEAST, Tables, components, lookup
 
 LIMIT = 32  # fingerprints of a value whose pairs are compared directly
@@ -99,7 +99,7 @@ def links(t: Tables, nodes: DataFrame, limit: int = LIMIT, least: int = LEAST) -
     values = t.keep(sides.groupBy("value").agg(F.count("*").alias("n")))
 
     # two values that differ in one bit meet where it is left out
-    variants = values.select("n", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).withColumn("set", F.getbit("value", F.col("bit")).cast("long"))
+    variants = values.repartition(parallelism(t.spark), "value").select("n", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).withColumn("set", F.getbit("value", F.col("bit")).cast("long"))
     met = variants.groupBy("bit", _without("value", "bit").alias("rest")).agg(F.sum("set").alias("ones"), F.count("*").alias("c"), F.sum(F.col("n") * (1 - F.col("set"))).alias("n0"), F.sum(F.col("n") * F.col("set")).alias("n1"))
     edges = t.keep(met.where("c = 2").select(F.col("rest").alias("v0"), F.col("rest").bitwiseOR(F.expr("shiftleft(1L, bit)")).alias("v1"), "bit", "n0", "n1"))
     few, many = edges.where(f"n0 * n1 <= {limit * limit}"), edges.where(f"n0 * n1 > {limit * limit}")
