@@ -3,10 +3,12 @@
 A document is a bag of passages of ``PASSAGE`` bytes. Each passage becomes shares of neighbouring byte classes, word
 repetition and length figures; a learned encoder (one tanh layer) maps it to a vector, gated attention
 (tanh branch times sigmoid branch) learns from document labels alone how much each passage says, and a linear layer
-scores the attention-weighted mean. Training runs on at most ``train_docs`` labelled documents (those with the
-smallest hash of their id), every other step covers all rows; weights reach tasks in a broadcast of fixed size.
+scores the attention-weighted mean. Training runs on every passage of at most ``train_docs`` labelled documents and
+``train_bytes`` of their text (those with the smallest hash of their id; none of more than a sixteenth of the bytes);
+every other step covers all rows and whole texts; weights reach tasks in a broadcast of fixed size.
 
-Null and empty texts are one empty passage and get a score. Labels other than 0 and 1 and null ids are not learned from;
+Null and empty texts are one empty passage and get a score; a text of any length is scored from all its passages. An
+empty table gives no row. Labels other than 0 and 1 and null ids are not learned from;
 without any labelled row the score is the prior 0.5. Repeated rows get equal scores; extra columns are ignored.
 """
 
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, empty_caches, give_back, map_arrow, slices
@@ -137,15 +139,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
     return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 3000, train_passages: int = 64) -> AttentionBag | None:
-    """Train on at most ``train_docs`` documents and ``train_passages`` passages of each, evenly spread over the text."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 3000, train_bytes: int = 64 << 20) -> AttentionBag | None:
+    """Train on all passages of at most ``train_docs`` documents with at most ``train_bytes`` of text."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         x, first = passages(batch.column("text"))
-        rows = [a + np.unique(np.linspace(0, b - a - 1, min(b - a, train_passages)).astype(np.int64)) for a, b in zip(first, first[1:])]
-        yield {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "n": [len(r) for r in rows], "x": [x[r].astype(np.float16).tobytes() for r in rows]}
+        yield {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "n": np.diff(first), "x": [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:])]}
 
-    got = map_arrow(sample(docs, labels, label, train_docs), fn, "doc_id long, y int, n int, x binary").toPandas()
+    some = sample(docs, labels, label, train_docs).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).where(F.col("size") <= train_bytes // 16)
+    until = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of train_docs rows, ids and sizes alone
+    chosen = some.select("doc_id", "size").withColumn("until", until).where(f"until <= {train_bytes}").select("doc_id")
+    got = map_arrow(some.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), fn, "doc_id long, y int, n int, x binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values("doc_id")
