@@ -5,8 +5,8 @@ one's ``docs``. The first four return the columns of ``documents``; the last ret
 
 Null and empty texts: toxicity gives them a low score and they stay; quality scores them as one empty passage and keeps
 or drops them by that score; they are near duplicates of nothing; mixing and packing take them as they are (one piece of
-the end id). Rows with a null ``doc_id`` are scored, never compared, and of equal ones one stays; of rows of one
-``doc_id`` one stays. Ties and repeated rows: see the operators. Texts of any length go through whole. Extra columns pass
+the end id). Rows with a null ``doc_id`` are scored, never compared, and of equal ones one stays; of rows with the same
+``doc_id`` and text one stays, while two texts of one id are two documents, each kept or dropped by itself. Ties and repeated rows: see the operators. Texts of any length go through whole. Extra columns pass
 through the first four stages, whatever their names. Without labels nothing is rejected; empty tables give no pieces.
 """
 
@@ -36,7 +36,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the smallest id stays."""
+    """Of rows linked by a similarity of 0.8 or more on five-word shingles the one with the smallest id stays."""
     return jaccard_join.deduplicate(docs)
 
 
