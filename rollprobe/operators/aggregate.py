@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import AMINO_ACIDS, backbone_column
+from ..segments import once
 from .neighbors import keys_of
 
 CLASSES = ("polar", "apolar", "unknown")
@@ -80,6 +81,7 @@ def hierarchy(sasa: DataFrame) -> DataFrame:
 def residue_type_sums(sasa: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """The 20 standard residue types, 0 where missing."""
     keys = keys or keys_of(sasa)
+    sasa = once(sasa, *keys, "residue_name")
     kinds = sasa.sparkSession.createDataFrame([(i, r) for i, r in enumerate(AMINO_ACIDS)], "ord int, residue_name string")
     frames = sasa.select(*keys).distinct()
     sums = sasa.groupBy(*keys, "residue_name").agg(F.sum("sasa").alias("s"))

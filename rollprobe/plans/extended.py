@@ -13,7 +13,9 @@ from ..operators import timeseries as T
 from ..operators.kernels import lee_richards, shrake_rupley, surface_points
 from ..operators.neighbors import expanded, neighbor_pairs
 from ..sources import sinks
+from ..scratch import scratch_dir
 from ..sources.structures import assign_radii, mmcif_atoms, pdb_atoms, psf_atoms, with_coordinates
+from ..sources.trajectories import read_trajectory, write_trajectory
 from .catalog import AB, BONE, HEAVY, LR, SELECTED, SELECTED_SQL, WITH, _map, _odd, _oddname, _pro, ctx_sql, heavy, masks, query, rnd, sides, sr, sr_sql
 from .selection import compacted, unmatched_items, with_masks
 from .tables import EDGE, POINTS, PROBE, SERIES, SLICES, event_series, part_atoms, sql_atoms
@@ -282,25 +284,31 @@ _alt = "case when atom % 6 = 1 then 'A' when atom % 6 = 2 then 'B' else ' ' end"
 _same = "case when atom % 6 = 2 then 'CA' else atom_name end"  # location B of the atom before
 
 
+FILE = 8000  # atoms of a file: its fields hold four digits of a residue number
+_label = "residue_id % 1000 + 1"
+
+
 def pdb_text(s: SparkSession, d: str) -> DataFrame:
-    """Two models of PDB lines; the second is short."""
-    a = part_atoms(s, d, 1).where("atom < 4000").withColumn("alt", F.expr(_alt)).withColumn("nm", F.expr(_same))
-    line = F.format_string("%-6s%5d  %-3s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f  1.00  0.00      %-4s%2s", F.when(F.col("is_het"), "HETATM").otherwise("ATOM"), F.col("atom") + 1, "nm", "alt", "residue_name", "chain", "residue_number", F.when(F.col("residue_id") % 3 == 0, "A").otherwise(""), "x", "y", "z", F.lit("SEG"), F.when(F.col("atom") % 4 == 0, "").otherwise(F.col("element")))
-    body = a.select(F.lit("m").alias("structure"), (F.col("atom") + 1).cast("int").alias("line"), line.alias("value"))
-    again = a.where("atom < 100").select(F.lit("m").alias("structure"), (F.col("atom") + 10001).cast("int").alias("line"), line.alias("value"))
-    marks = s.createDataFrame([("m", 0, "MODEL        1"), ("m", 9000, "ENDMDL"), ("m", 10000, "MODEL        2"), ("m", 99999, "END")], "structure string, line int, value string")
-    return marks.union(body).union(again)
+    """Files of two models of PDB lines; the second is short."""
+    a = part_atoms(s, d, 1).withColumn("alt", F.expr(_alt)).withColumn("nm", F.expr(_same)).withColumn("structure", F.concat(F.lit("m"), F.floor(F.col("atom") / FILE).cast("string")))
+    line = F.format_string("%-6s%5d  %-3s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f  1.00  0.00      %-4s%2s", F.when(F.col("is_het"), "HETATM").otherwise("ATOM"), F.col("atom") % FILE + 1, "nm", "alt", "residue_name", "chain", F.expr(_label).cast("int"), F.when(F.col("residue_id") % 3 == 0, "A").otherwise(""), "x", "y", "z", F.lit("SEG"), F.when(F.col("atom") % 4 == 0, "").otherwise(F.col("element")))
+    nth = F.col("atom") % FILE
+    body = a.select("structure", (nth + 1).cast("long").alias("line"), line.alias("value"))
+    again = a.where(nth < 100).select("structure", (nth + 20001).cast("long").alias("line"), line.alias("value"))
+    marks = F.array(*(F.struct(F.lit(k).cast("long").alias("line"), F.lit(v).alias("value")) for k, v in ((0, "MODEL        1"), (19000, "ENDMDL"), (20000, "MODEL        2"), (99999, "END"))))
+    files = a.where(nth == 0).select("structure", F.explode(marks).alias("m")).select("structure", "m.*")
+    return files.union(body).union(again)
 
 
 # the element of blank columns follows from the name; CA then reads as calcium
 _read = f"case when atom % 4 = 0 then case when {_same} in ('CA') then 'CA' else {_same}[1:1] end else element end"
-PDB_SQL = f"with {sql_atoms(1)}, a as (select atom, residue_number || case when residue_id % 3 = 0 then 'A' else '' end as residue_label, residue_name, chain, {_same} as atom_name, {_alt} as alt, {_read} as element, is_het, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from atoms where atom < 4000)"
+PDB_SQL = f"with {sql_atoms(1)}, a as (select 'm' || (atom // {FILE}) as structure, atom % {FILE} as atom, ({_label}) || case when residue_id % 3 = 0 then 'A' else '' end as residue_label, residue_name, chain, {_same} as atom_name, {_alt} as alt, {_read} as element, is_het, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from atoms)"
 PDB_COLS = "atom_name, residue_name, chain, residue_label, element, x, y, z"
 
 
-@query("pdb_read", PDB_SQL + f" select line, {PDB_COLS} from (select atom + 1 as line, *, row_number() over (partition by chain, residue_label, residue_name, atom_name, alt = ' ' order by atom) as nth from a where not is_het and element not in ('H','D')) where alt = ' ' or nth = 1")
+@query("pdb_read", PDB_SQL + f" select structure, line, {PDB_COLS} from (select (atom + 1)::bigint as line, *, row_number() over (partition by structure, chain, residue_label, residue_name, atom_name, alt = ' ' order by atom) as nth from a where not is_het and element not in ('H','D')) where alt = ' ' or nth = 1")
 def _(s, d):
-    return pdb_atoms(pdb_text(s, d)).select("line", *PDB_COLS.split(", "))
+    return pdb_atoms(pdb_text(s, d)).select("structure", "line", *PDB_COLS.split(", "))
 
 
 @query("pdb_align", PDB_SQL + " select chain, count(*) as atoms, round(sum(x + y + z), 3) as moment from (select * from a union all select * from a where atom < 100) group by chain")
@@ -326,16 +334,20 @@ CIF_TAGS = "group_PDB id type_symbol label_atom_id label_alt_id auth_comp_id aut
 
 
 def cif_text(s: SparkSession, d: str) -> DataFrame:
-    """One mmCIF text for each chain, with quoted names and rows that span two lines."""
-    a = part_atoms(s, d, 1).where("atom < 4000")
+    """Lines of one mmCIF file for each chain, with quoted names, a text block and rows that span two lines."""
+    a = part_atoms(s, d, 1)
     quoted = F.concat(F.lit('"'), "atom_name", F.lit("'\""))
-    row = F.concat_ws(" ", F.when(F.col("is_het"), "HETATM").otherwise("ATOM"), (F.col("atom") + 1).cast("string"), "element", quoted, F.lit("."), "residue_name", "chain", F.col("residue_number").cast("string"), F.when(F.col("residue_id") % 3 == 0, "A").otherwise("?"), quoted, F.concat(F.when(F.col("atom") % 5 == 0, "\n").otherwise(""), F.format_string("%.3f", "x")), F.format_string("%.3f", "y"), F.format_string("%.3f", "z"), F.lit("1"))
-    body = a.groupBy("chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("atom", row.alias("row")))), lambda r: r["row"]), "\n").alias("body"))
-    head = "data_x\n_entry.id 'x y'\n_entry.note\n;loop_\n_atom_site.fake\n;\nloop_\n" + "\n".join(f"_atom_site.{c}" for c in CIF_TAGS) + "\n"
-    return body.select(F.col("chain").alias("structure"), F.concat(F.lit(head), "body", F.lit("\n# end\nloop_\n_other.a\n1 2\n")).alias("value"))
+    left = F.concat_ws(" ", F.when(F.col("is_het"), "HETATM").otherwise("ATOM"), (F.col("atom") + 1).cast("string"), "element", quoted, F.lit("."), "residue_name", "chain", F.col("residue_number").cast("string"), F.when(F.col("residue_id") % 3 == 0, "A").otherwise("?"), quoted)
+    right = F.concat_ws(" ", F.format_string("%.3f", "x"), F.format_string("%.3f", "y"), F.format_string("%.3f", "z"), F.lit("1"))
+    pieces = F.when(F.col("atom") % 5 == 0, F.array(left, right)).otherwise(F.array(F.concat_ws(" ", left, right)))
+    body = a.select(F.col("chain").alias("structure"), F.posexplode(pieces).alias("k", "value"), "atom").select("structure", (F.col("atom").cast("long") * 2 + F.col("k") + 100).alias("line"), "value")
+    head = ["data_x", "_entry.id 'x y'", "_entry.note", ";loop_", "_atom_site.fake", ";", "loop_", *(f"_atom_site.{c}" for c in CIF_TAGS)]
+    frame = [*enumerate(head), *((10**9 + k, v) for k, v in enumerate(("# end", "loop_", "_other.a", "1 2")))]
+    marks = F.array(*(F.struct(F.lit(k).cast("long").alias("line"), F.lit(v).alias("value")) for k, v in frame))
+    return body.union(a.select("chain").distinct().select(F.col("chain").alias("structure"), F.explode(marks).alias("m")).select("structure", "m.*"))
 
 
-@query("mmcif_read", f"with {sql_atoms(1)} select chain as structure, atom_name || '''' as atom_name, residue_name, residue_number || case when residue_id % 3 = 0 then 'A' else '' end as residue_label, element, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from atoms where atom < 4000 and not is_het and not is_h")
+@query("mmcif_read", f"with {sql_atoms(1)} select chain as structure, atom_name || '''' as atom_name, residue_name, residue_number || case when residue_id % 3 = 0 then 'A' else '' end as residue_label, element, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from atoms where not is_het and not is_h")
 def _(s, d):
     return mmcif_atoms(cif_text(s, d)).select("structure", "atom_name", "residue_name", "residue_label", "element", "x", "y", "z")
 
@@ -354,6 +366,32 @@ def _(s, d):
     return out.select("atom", "segment", "residue_name", "atom_name", "residue_label", "element")
 
 
+# ---------------------------------------------------------------- trajectories, written from the tables and read back
+HUNDREDTHS = f"with {sql_atoms()} select frame, atom, round(floor(x * 100) / 100, 2) as x, round(floor(y * 100) / 100, 2) as y, round(floor(z * 100) / 100, 2) as z from atoms"
+
+
+def trajectory(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """All frames of the table in a file of that format, which hundredths survive."""
+    at = scratch_dir(s).removeprefix("file://")
+    write_trajectory(part_atoms(s, d).select("frame", "atom", *((F.floor(F.col(c) * 100) / 100).alias(c) for c in "xyz")), at, kind)
+    return read_trajectory(s, at, kind=kind).select("frame", "atom", *((F.round(c, 2) + F.lit(0.0)).alias(c) for c in "xyz"))
+
+
+@query("dcd_read", HUNDREDTHS)
+def _(s, d):
+    return trajectory(s, d, "dcd")
+
+
+@query("xtc_read", HUNDREDTHS)
+def _(s, d):
+    return trajectory(s, d, "xtc")
+
+
+@query("xtc_frames", HUNDREDTHS + " where frame >= 1")
+def _(s, d):
+    return trajectory(s, d, "xtc").where("frame >= 1")
+
+
 # ---------------------------------------------------------------- features
 @query("interface_outputs", AB + ", t as (select frame, coalesce(sum(sasa) filter (context='a'),0) af, coalesce(sum(sasa) filter (context='b'),0) bf, coalesce(sum(sasa) filter (context='ab' and chain='A'),0) ab, coalesce(sum(sasa) filter (context='ab' and chain='B'),0) bb from sr group by frame) select frame, round(af-ab,5)+0.0 a_buried, round(bf-bb,5)+0.0 b_buried, round((af+bf-ab-bb)/greatest(af+bf,1e-12),6)+0.0 buried_fraction from t")
 def _(s, d):

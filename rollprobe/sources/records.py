@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..segments import LOWEST
+
 
 def altloc_filter(atoms: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
     """Of rows with an alternate location the first of each key stays; rows without one all stay."""
@@ -25,21 +27,26 @@ def altloc_letter_filter(atoms: DataFrame, residue: list[str], atom: list[str],
 RANGE = 4096  # atom numbers whose runs are counted together
 
 
-def residue_runs(atoms: DataFrame, keys: list[str], within: tuple[str, ...] = (), order: str = "atom") -> DataFrame:
+def residue_runs(atoms: DataFrame, keys: list[str], within: tuple[str, ...] = (), order: str = "atom", number: str | None = None) -> DataFrame:
     """residue_id counts up where the key differs from the row before (runs, not distinct values).
 
-    Runs are counted inside ranges of ``order``, and from one range to the next on one row a range.
+    Runs are counted inside ranges of ``order``, and from one range to the next on one row a range. ``number`` names a
+    column that gets the row's place, from 0.
     """
     key, by = F.struct(*keys), [*within, "_range"]
     w = Window.partitionBy(*by).orderBy(order)
     new = F.when(F.row_number().over(w) == 1, 0).otherwise(F.coalesce((key != F.lag(key).over(w)).cast("int"), F.lit(1)))
-    rows = atoms.withColumn("_range", F.floor(F.col(order) / RANGE)).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    ends = rows.groupBy(*by).agg(F.min_by(key, order).alias("_first"), F.max_by(key, order).alias("_last"), F.sum("_new").alias("_inner"))
+    rows = atoms.withColumn("_range", F.floor(F.col(order) / RANGE)).repartition(*by)
+    rows = rows.withColumns({"_new": new, "_nth": F.row_number().over(w)}).withColumn("_run", F.sum("_new").over(w))
+    ends = rows.groupBy(*by).agg(F.min_by(key, order).alias("_first"), F.max_by(key, order).alias("_last"), F.sum("_new").alias("_inner"), F.count("*").alias("_n"), F.max(F.hash(*atoms.columns)).alias("_all")).where(f"_all >= {LOWEST}")
     on = Window.partitionBy(*within).orderBy("_range")
     ends = ends.withColumn("_start", F.coalesce((F.col("_first") != F.lag("_last").over(on)).cast("int"), F.lit(1)))
-    before = F.coalesce(F.sum("_inner").over(on.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = ends.select(*by, (F.sum("_start").over(on) + before - 1).alias("_base"))
-    return rows.join(ends, by).withColumn("residue_id", (F.col("_base") + F.col("_run")).cast("int")).drop("_range", "_new", "_run", "_base")
+    earlier = on.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, (F.sum("_start").over(on) + F.coalesce(F.sum("_inner").over(earlier), F.lit(0)) - 1).alias("_base"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.join(ends, by).withColumn("residue_id", (F.col("_base") + F.col("_run")).cast("int"))
+    if number is not None:
+        rows = rows.withColumn(number, (F.col("_before") + F.col("_nth") - 1).cast("int"))
+    return rows.drop("_range", "_new", "_run", "_base", "_nth", "_before")
 
 
 def frame_numbers(spec: str, n: int | None) -> tuple[int, int | None, int]:

@@ -15,10 +15,16 @@ from ..functions.chemistry import AMINO_ACIDS, RadiusConfig, canonical_residue_c
 from ..operators import aggregate as A
 from ..operators.features import MAX_ASA_PARTS
 from ..operators.neighbors import keys_of
+from ..segments import once
 
 PARTS = ("total", "main_chain", "side_chain", "polar", "apolar")
 
 
+def shared(sasa: DataFrame) -> DataFrame:
+    """Areas for a report that reads them several times: the kernel runs once."""
+    return once(sasa, *(c for c in (*keys_of(sasa), "residue_id") if c in sasa.columns))
+
+
 def res_lines(sasa: DataFrame) -> DataFrame:
     """Standard residue types in fixed order, 0.00 where missing."""
     return A.residue_type_sums(sasa).select(*keys_of(sasa), "ord", F.format_string("RES %s : %10.2f", "residue_name", "type_sasa").alias("value"))
@@ -38,7 +44,7 @@ def rsa_rows(sasa: DataFrame, reference: bool = True) -> DataFrame:
     ``kind`` is RES, CHAIN or TOTAL. A relative area is null (N/A in text) without a positive reference; residues are
     looked up under their usual names; ``reference`` is false for tables other than the built-in one.
     """
-    keys = keys_of(sasa)
+    sasa, keys = shared(sasa), keys_of(sasa)
     rec = A.residue_records(sasa)
     names = sasa.where("residue_id >= 0").groupBy(*keys, "residue_id").agg(*[F.min_by(c, "atom").alias(c) for c in ("chain", "residue_label", "residue_name")])
     out = rec.join(names, [*keys, "residue_id"]).withColumn("kind", F.lit("RES"))
@@ -86,10 +92,10 @@ def pdb_lines(sasa: DataFrame, source: DataFrame | None = None) -> DataFrame:
 
 def cif_lines(sasa: DataFrame, masks: Mapping[str, Column] | None = None) -> DataFrame:
     """Result loops to follow the text of an mmCIF file: totals, atoms, residues."""
-    keys, big = keys_of(sasa), 2**32
+    sasa, keys, big = shared(sasa), keys_of(sasa), 2**32
     out = None
     for at, tags, rows in (
-        (0, ("_sasa_results.name", "_sasa_results.area"), log_rows(sasa, masks).select(*keys, F.col("ord").cast("long").alias("ord"), F.format_string("'%s' %.2f", "name", "sasa").alias("value"))),
+        (0, ("_sasa_results.name", "_sasa_results.area"), _log_rows(sasa, masks).select(*keys, F.col("ord").cast("long").alias("ord"), F.format_string("'%s' %.2f", "name", "sasa").alias("value"))),
         (1, ("_atom_sasa.id", "_atom_sasa.radius", "_atom_sasa.area"), sasa.select(*keys, F.col("atom").cast("long").alias("ord"), F.format_string("%d %.3f %.3f", (F.col("atom") + 1).cast("int"), "radius", "sasa").alias("value"))),
         (2, ("_residue_sasa.id", "_residue_sasa.area"), A.residue_sums(sasa).select(*keys, F.col("residue_id").cast("long").alias("ord"), F.format_string("%d %.3f", F.col("residue_id").cast("int"), "residue_sasa").alias("value"))),
     ):
@@ -104,7 +110,7 @@ def document(sasa: DataFrame, masks: Mapping[str, Column] | None = None, config:
 
     The rows of a frame meet in one document, as the format asks; ``atoms`` false leaves the atoms out.
     """
-    keys = keys_of(sasa)
+    sasa, keys = shared(sasa), keys_of(sasa)
     res = sasa.where("residue_id >= 0").groupBy(*keys, "residue_id").agg(F.min_by("residue_name", "atom").alias("name"), F.min_by("chain", "atom").alias("chain"), F.sum("sasa").alias("sasa"))
     out = res.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("residue_id", "name", "chain", "sasa"))).alias("residues"))
     sums = sasa.groupBy(*keys).agg(F.sum("sasa").alias("total_sasa"), F.struct(*[F.coalesce(F.sum(F.when(F.col("atom_class") == c, F.col("sasa"))), F.lit(0.0)).alias(c) for c in A.CLASSES]).alias("classes"), *([F.array_sort(F.collect_list(F.struct("atom", "radius", "sasa"))).alias("atoms")] if atoms else []))
@@ -187,6 +193,10 @@ def log_rows(sasa: DataFrame, masks: Mapping[str, Column] | None = None) -> Data
 
     Where no class is unknown, apolar is the rounded total less the rounded polar area, so that the lines add up.
     """
+    return _log_rows(shared(sasa), masks)
+
+
+def _log_rows(sasa: DataFrame, masks: Mapping[str, Column] | None) -> DataFrame:
     keys, masks = keys_of(sasa), masks or {}
     total = lambda m: F.round(F.coalesce(F.sum(F.when(m, F.col("sasa"))), F.lit(0.0)), 2)
     sums = sasa.groupBy(*keys).agg(total(F.lit(True)).alias("total"), *[total(F.col("atom_class") == c).alias(c) for c in A.CLASSES], *[total(m).alias(f"sel_{n}") for n, m in masks.items()])
@@ -200,10 +210,10 @@ def log_rows(sasa: DataFrame, masks: Mapping[str, Column] | None = None) -> Data
 
 
 def log_lines(sasa: DataFrame, masks: Mapping[str, Column] | None = None, config: RadiusConfig | None = None, probe: float = 1.4, n_points: int = 100) -> DataFrame:
-    keys = keys_of(sasa)
+    sasa, keys = shared(sasa), keys_of(sasa)
     head = [f"algorithm : Shrake-Rupley, {n_points} points", f"probe radius : {probe:.3f}", f"radii : {provenance(config)}"]
     top = sasa.select(*keys).distinct().select(*keys, F.posexplode(F.array(*map(F.lit, head))).alias("i", "value")).select(*keys, (F.col("i") - 10).alias("ord"), "value")
-    return top.union(log_rows(sasa, masks).select(*keys, "ord", F.format_string("%s : %10.2f", "name", "sasa").alias("value")))
+    return top.union(_log_rows(sasa, masks).select(*keys, "ord", F.format_string("%s : %10.2f", "name", "sasa").alias("value")))
 
 
 SINKS = {"res": res_lines, "seq": seq_lines, "rsa": rsa_lines, "pdb": pdb_lines, "cif": cif_lines, "json": json_rows, "xml": xml_rows, "log": log_lines, "csv": trajectory_rows, "summary": summary_row}

@@ -1,28 +1,17 @@
-"""Structure and trajectory files as DataFrames: PDB, mmCIF, PSF, DCD, radius tables."""
+"""Structure files as DataFrames: PDB, mmCIF, PSF; radius tables; topologies joined with frames."""
 
 from __future__ import annotations
 
 import os
-import re
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.fs
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.chemistry import RadiusConfig, class_column, element_column, mass_element_column, parse_radius_config, protor, radius_column
+from ..segments import running
 from .records import altloc_filter, altloc_letter_filter, residue_runs
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """structure (file), line number, value; one file is one row first, so line numbers follow the file."""
-    text = spark.read.text(path, wholetext=True).withColumn("structure", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return text.select("structure", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+from .texts import atom_site, lines_of, loop_rows, read_lines  # noqa: F401
+from .trajectories import dcd_bytes, read_dcd, read_xtc, write_dcd, write_xtc  # noqa: F401
 
 
 def _number(c) -> F.Column:
@@ -31,7 +20,7 @@ def _number(c) -> F.Column:
 
 def read_pdb(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False, align: bool = False) -> DataFrame:
     """Atoms of PDB files, see :func:`pdb_atoms`."""
-    return pdb_atoms(_lines(spark, path), hetatm, hydrogen, join_models, align)
+    return pdb_atoms(read_lines(spark, path), hetatm, hydrogen, join_models, align)
 
 
 def pdb_atoms(rows: DataFrame, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False, align: bool = False) -> DataFrame:
@@ -40,8 +29,9 @@ def pdb_atoms(rows: DataFrame, hetatm: bool = False, hydrogen: bool = False, joi
     ``align`` keeps every record (no model, location, hetero or hydrogen rule), so that rows match a trajectory's atoms;
     short lines and non-numeric coordinates raise on use.
     """
-    w_model = F.sum((F.substring("value", 1, 5) == "MODEL").cast("int")).over(_by("structure", "line"))
-    rows = rows.withColumn("model", w_model).where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
+    begins = F.substring("value", 1, 5) == "MODEL"
+    rows = rows.where(begins | F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
+    rows = running(rows, ("structure",), "line", {"model": ("sum", begins.cast("long"))}).where(~begins)
     if not join_models and not align:
         rows = rows.where("model <= 1")
     piece = lambda a, n: F.trim(F.substring("value", a, n))
@@ -66,92 +56,38 @@ def _residue_number():
     return F.when(digits != "", digits).cast("int")
 
 
-def _by(part: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
+def _numbered(atoms: DataFrame, key: list[str]) -> DataFrame:
+    return residue_runs(atoms, key, within=("structure",), order="line", number="atom").drop("el", "altloc")
 
 
-def _numbered(atoms: DataFrame, key: list[str]) -> DataFrame:
-    atoms = atoms.withColumn("atom", (F.row_number().over(_by("structure", "line")) - 1).cast("int"))
-    return residue_runs(atoms, key, within=("structure",)).drop("el", "altloc")
-
-
-CIF_TOKEN = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(\#.*)|(\S+)""")
-
-
-def cif_tokens(text: str) -> Iterator[tuple[bool, str]]:
-    """(quoted, text) of every token; text blocks between lines that begin with ; are quoted tokens."""
-    block: list[str] | None = None
-    for line in text.splitlines():
-        if line.startswith(";"):
-            if block is None:
-                block = [line[1:]]
-            else:
-                yield True, "\n".join(block)
-                block = None
-                line = line[1:]
-            if block is not None:
-                continue
-        elif block is not None:
-            block.append(line)
-            continue
-        for m in CIF_TOKEN.finditer(line):
-            if m[3] is None:
-                quoted = m[4] is None
-                yield quoted, (m[1] if m[1] is not None else m[2]) if quoted else m[4]
-    if block is not None:
-        raise ValueError("a text block does not end")
-
-
-def atom_site(text: str) -> pd.DataFrame:
-    """The ``_atom_site`` loop: rows may span lines, and one that is cut short is an error."""
-    heads: list[str] = []
-    values: list[str] = []
-    state = ""
-    for quoted, t in cif_tokens(text):
-        word = "" if quoted else t.lower()
-        if word == "loop_":
-            if heads:
-                break
-            state = "tags"
-        elif state == "tags" and word.startswith("_atom_site."):
-            heads.append(t[11:])
-        elif state == "tags" and heads and not word.startswith("_"):
-            state = "rows"
-            values.append(t)
-        elif state == "rows" and (word.startswith(("_", "data_", "save_")) or word == "stop_"):
-            break
-        elif state == "rows":
-            values.append(t)
-        elif state == "tags" and not heads:
-            state = ""
-    if heads and len(values) % len(heads):
-        raise ValueError(f"_atom_site: {len(values)} values for {len(heads)} columns")
-    n = len(heads)
-    return pd.DataFrame({h: values[i::n] for i, h in enumerate(heads)}, dtype=str)
-
-
-def read_mmcif(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False) -> DataFrame:
+def read_mmcif(spark: SparkSession, path: str, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False, align: bool = False) -> DataFrame:
     """Atoms of the ``_atom_site`` loop of mmCIF files, by author names."""
-    text = spark.read.text(path, wholetext=True).withColumn("structure", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).select("structure", "value")
-    return mmcif_atoms(text, hetatm, hydrogen, join_models)
+    return _cif_atoms(loop_rows(read_lines(spark, path), "_atom_site"), hetatm, hydrogen, join_models, align)
 
 
-def mmcif_atoms(text: DataFrame, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False) -> DataFrame:
-    """Atoms of whole mmCIF texts (structure, value)."""
+def mmcif_atoms(text: DataFrame, hetatm: bool = False, hydrogen: bool = False, join_models: bool = False, align: bool = False) -> DataFrame:
+    """Atoms of whole mmCIF texts (structure, value), or of their lines (structure, line, value)."""
+    return _cif_atoms(loop_rows(text if "line" in text.columns else lines_of(text), "_atom_site"), hetatm, hydrogen, join_models, align)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, text in zip(pdf["structure"], pdf["value"], strict=True):
-                t = atom_site(text)
-                if not len(t):
-                    continue
-                col = lambda c, alt="": (t[c] if c in t else t[alt] if alt in t else pd.Series([""] * len(t))).replace({"?": "", ".": ""})  # noqa: E731, B023
-                yield pd.DataFrame({"structure": name, "line": range(len(t)), "model": pd.to_numeric(col("pdbx_PDB_model_num").replace("", "1")).astype("int32"), "record": col("group_PDB"), "atom_name": col("auth_atom_id", "label_atom_id"), "altloc": col("label_alt_id").replace("", " "), "residue_name": col("auth_comp_id", "label_comp_id"), "chain": col("auth_asym_id", "label_asym_id"), "residue_label": col("auth_seq_id", "label_seq_id") + col("pdbx_PDB_ins_code"), "segment": "", "el": col("type_symbol"), "x": pd.to_numeric(t["Cartn_x"]), "y": pd.to_numeric(t["Cartn_y"]), "z": pd.to_numeric(t["Cartn_z"])})
 
-    atoms = text.mapInPandas(parse, "structure string, line int, model int, record string, atom_name string, altloc string, residue_name string, chain string, residue_label string, segment string, el string, x double, y double, z double")
+def _cif_atoms(rows: DataFrame, hetatm: bool, hydrogen: bool, join_models: bool, align: bool) -> DataFrame:
+    """``align`` keeps every row, so that they match a trajectory's atoms."""
+    held = lambda c: F.get("values", F.array_position("heads", c).cast("int") - 1)
+    plain = lambda c: F.when(~F.coalesce(held(c), F.lit("")).isin("?", "."), held(c)).otherwise("")
+    either = lambda a, b: F.when(F.array_contains("heads", a), plain(a)).otherwise(plain(b))
+    refuse = lambda c: F.raise_error(F.concat(F.lit(f"bad {c} in row "), F.col("row").cast("string"), F.lit(" of "), "structure"))
+    atoms = rows.select(
+        "structure", F.col("row").alias("line"), plain("pdbx_PDB_model_num").alias("model"), plain("group_PDB").alias("record"), either("auth_atom_id", "label_atom_id").alias("atom_name"), plain("label_alt_id").alias("altloc"),
+        either("auth_comp_id", "label_comp_id").alias("residue_name"), either("auth_asym_id", "label_asym_id").alias("chain"), F.concat(either("auth_seq_id", "label_seq_id"), plain("pdbx_PDB_ins_code")).alias("residue_label"),
+        F.lit("").alias("segment"), plain("type_symbol").alias("el"), *(held(f"Cartn_{c}").alias(c) for c in "xyz"), "row",
+    )
+    for c in "xyz":
+        atoms = atoms.withColumn(c, F.coalesce(F.expr(f"try_cast({c} as double)"), refuse(f"Cartn_{c}").cast("double")))
+    model = F.when(F.col("model") == "", 1).otherwise(F.coalesce(F.expr("try_cast(model as int)"), refuse("model").cast("int")))
+    atoms = atoms.withColumn("model", model).withColumn("altloc", F.when(F.col("altloc") == "", " ").otherwise(F.col("altloc"))).drop("row")
     atoms = atoms.withColumn("element", element_column(F.col("el"), F.col("atom_name"))).withColumn("is_het", F.col("record") == "HETATM").withColumn("is_h", F.col("element").isin("H", "D")).withColumn("residue_number", _residue_number())
+    if align:
+        return _numbered(atoms, ["model", "chain", "residue_label", "residue_name"])
     if not join_models:
         first = atoms.groupBy("structure").agg(F.min_by("model", "line").alias("first"))
         atoms = atoms.join(first, "structure").where("model = first").drop("first")
@@ -165,13 +101,14 @@ def mmcif_atoms(text: DataFrame, hetatm: bool = False, hydrogen: bool = False, j
 
 def read_psf(spark: SparkSession, path: str) -> DataFrame:
     """Topology rows of PSF files, see :func:`psf_atoms`."""
-    return psf_atoms(_lines(spark, path))
+    return psf_atoms(read_lines(spark, path))
 
 
 def psf_atoms(rows: DataFrame) -> DataFrame:
     """Topology rows of the lines (structure, line, value) of PSF files (no coordinates); the element comes from the mass."""
-    start = rows.where(F.col("value").contains("!NATOM")).select("structure", F.col("line").alias("head"), F.regexp_extract("value", r"(\d+)", 1).cast("int").alias("n"))
-    body = rows.join(F.broadcast(start), "structure").where("line > head and line <= head + n").withColumn("f", F.split(F.trim("value"), r"\s+"))  # one row a file
+    head = F.when(F.col("value").contains("!NATOM"), F.struct(F.col("line"), F.regexp_extract("value", r"(\d+)", 1).cast("int").alias("n")))
+    rows = running(rows, ("structure",), "line", {"head": ("min", head)})
+    body = rows.where("line > head.line and line <= head.line + head.n").withColumn("f", F.split(F.trim("value"), r"\s+"))
     atoms = body.select("structure", "line", F.get("f", F.lit(1)).alias("segment"), F.get("f", F.lit(2)).alias("residue_label"), F.get("f", F.lit(3)).alias("residue_name"), F.get("f", F.lit(4)).alias("atom_name"), F.get("f", F.lit(7)).cast("double").alias("mass"), F.lit("").alias("chain"), F.lit("").alias("el"), F.lit(" ").alias("altloc"))
     atoms = atoms.withColumn("element", F.coalesce(mass_element_column(F.col("mass"), F.col("atom_name")), element_column(F.lit(""), F.col("atom_name"))))
     atoms = atoms.withColumn("residue_number", _residue_number()).withColumn("is_h", F.col("element").isin("H", "D")).withColumn("is_het", F.lit(False))
@@ -195,147 +132,6 @@ def load_radius_config(path: str, first_wins: bool = False) -> RadiusConfig:
         return parse_radius_config(f.read(), first_wins)
 
 
-# ---------------------------------------------------------------- DCD
-def _dcd_layout(data: bytes) -> tuple[str, int, int, int, bool]:
-    """(byte order, frames, atoms, offset of the first frame, unit cell)."""
-    order = "<" if struct.unpack_from("<i", data, 0)[0] == 84 else ">"
-    if struct.unpack_from(order + "i", data, 0)[0] != 84 or data[4:8] != b"CORD":
-        raise ValueError("not a DCD file")
-    frames, cell = struct.unpack_from(order + "i", data, 8)[0], struct.unpack_from(order + "i", data, 8 + 40)[0] == 1
-    at = 92
-    at += 8 + struct.unpack_from(order + "i", data, at)[0]
-    n_atoms = struct.unpack_from(order + "i", data, at + 4)[0]
-    return order, frames, n_atoms, at + 12, cell
-
-
-def _file(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
-
-
-class _Frames(InputPartition):
-    def __init__(self, path: str, first: int, stop: int) -> None:
-        self.path, self.first, self.stop = path, first, stop
-
-
-class _DcdReader(DataSourceReader):
-    """Ranges of frames of about ``range_bytes`` are read by offset, each in a task of its own."""
-
-    def __init__(self, options: dict) -> None:
-        self.path, self.bytes = options["path"], int(options.get("range_bytes", 64 << 20))
-
-    def layout(self, path: str) -> tuple[str, int, int, int, bool, int]:
-        fs, p = _file(path)
-        with fs.open_input_file(p) as f:
-            size = f.size()
-            order, n_frames, n, at, cell = _dcd_layout(f.read(min(size, 1 << 16)))
-        step = 3 * (4 * n + 8) + (56 if cell else 0)
-        return order, min(n_frames, (size - at) // step), n, at, cell, step
-
-    def partitions(self) -> list[InputPartition]:
-        fs, p = _file(self.path)
-        info = fs.get_file_info(p)
-        found = [x.path for x in fs.get_file_info(pa.fs.FileSelector(p)) if x.path.lower().endswith(".dcd")] if info.type == pa.fs.FileType.Directory else [p]
-        head = self.path[: len(self.path) - len(p)] if self.path.endswith(p) else ""
-        out: list[InputPartition] = []
-        for x in sorted(found):
-            _, frames, _, _, _, step = self.layout(head + x)
-            each = max(1, self.bytes // max(step, 1))
-            out += [_Frames(head + x, k, min(frames, k + each)) for k in range(0, frames, each)]
-        return out
-
-    def read(self, partition: _Frames) -> Iterator[pa.RecordBatch]:
-        order, _, n, at, cell, step = self.layout(partition.path)
-        name = re.sub(r"\.[^./]*$", "", partition.path.rsplit("/", 1)[-1])
-        fs, p = _file(partition.path)
-        with fs.open_input_file(p) as f:
-            for k in range(partition.first, partition.stop):
-                f.seek(at + k * step + (56 if cell else 0))
-                data = f.read(3 * (4 * n + 8))
-                xyz = [np.frombuffer(data, order + "f4", n, i * (4 * n + 8) + 4).astype(np.float64) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, k, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, xyz)], names=["structure", "frame", "atom", "x", "y", "z"])
-
-
-class DcdSource(DataSource):
-    """``spark.read.format("dcd")``: a file or a folder of DCD trajectories."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "dcd"
-
-    def schema(self) -> str:
-        return "structure string, frame int, atom int, x double, y double, z double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _DcdReader(self.options)
-
-
-def read_dcd(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
-    """structure, frame, atom, x, y, z of DCD files, read by ranges of frames; a cut last frame is left out."""
-    spark.dataSource.register(DcdSource)
-    return spark.read.format("dcd").option("range_bytes", range_bytes).load(path)
-
-
-def dcd_bytes(xyz: np.ndarray) -> bytes:
-    """A DCD file of float32 frames (frames x atoms x 3)."""
-    frames, n, _ = xyz.shape
-    rec = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
-    head = b"CORD" + struct.pack("<20i", frames, 0, 1, *[0] * 16, 24)
-    out = [rec(head), rec(struct.pack("<i", 1) + b" " * 80), rec(struct.pack("<i", n))]
-    for f in xyz.astype("<f4"):
-        out += [rec(f[:, i].tobytes()) for i in range(3)]
-    return b"".join(out)
-
-
-def write_dcd(coords: DataFrame, path: str, order: str = "atom") -> DataFrame:
-    """Write (structure, frame, ``order``, x, y, z) as one DCD file a structure below ``path``; returns structure, frames, atoms.
-
-    Frames follow one another in a file, so a task streams one structure, a frame at a time. All frames of a structure
-    must have as many rows.
-    """
-    keys = ["structure"] if "structure" in coords.columns else []
-    sized = coords.groupBy(*keys, "frame").agg(F.count("*").alias("n"))
-    sized = sized.groupBy(*keys).agg(F.count("*").cast("int").alias("frames"), F.min("n").cast("int").alias("atoms"), F.max("n").cast("int").alias("most"))
-    rows = coords.join(sized, keys) if keys else coords.crossJoin(F.broadcast(sized))  # one row
-    name = F.col("structure") if keys else F.lit("frames")
-    dealt = rows.select(name.alias("structure"), "frame", F.col(order).alias("nth"), "x", "y", "z", "frames", "atoms", "most").repartition("structure").sortWithinPartitions("structure", "frame", "nth")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, held, done = None, None, [], []
-        rec = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
-        for batch in batches:
-            names, n = batch.column("structure").to_pylist(), batch.column("atoms").to_numpy()
-            xyz = np.stack([batch.column(c).to_numpy() for c in "xyz"], axis=1).astype("<f4")
-            at = 0
-            while at < len(names):
-                if names[at] != now:
-                    if out is not None:
-                        out.close()
-                    now, atoms, frames = names[at], int(n[at]), batch.column("frames")[at].as_py()
-                    if atoms != batch.column("most")[at].as_py():
-                        raise ValueError(f"frames of {now} have {atoms} to {batch.column('most')[at].as_py()} atoms")
-                    fs, p = _file(f"{path}/{now}.dcd")
-                    fs.create_dir(p.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(p)
-                    out.write(rec(b"CORD" + struct.pack("<20i", frames, 0, 1, *[0] * 16, 24)) + rec(struct.pack("<i", 1) + b" " * 80) + rec(struct.pack("<i", atoms)))
-                    done.append((now, frames, atoms))
-                stop = at + 1
-                while stop < len(names) and names[stop] == now:
-                    stop += 1
-                held = np.concatenate([held, xyz[at:stop]]) if len(held) else xyz[at:stop]
-                while len(held) >= atoms:
-                    for i in range(3):
-                        out.write(rec(held[:atoms, i].tobytes()))
-                    held = held[atoms:]
-                at = stop
-        if out is not None:
-            out.close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())], names=["structure", "frames", "atoms"])
-
-    written = dealt.mapInArrow(write, "structure string, frames int, atoms int").collect()  # one row a structure
-    return coords.sparkSession.createDataFrame(written, "structure string, frames int, atoms int")
-
-
 READERS = {"psf": read_psf, "cif": read_mmcif, "mmcif": read_mmcif, "pdb": read_pdb}
 
 
