@@ -19,7 +19,7 @@ from .operators.kernels import surface_points
 from .operators.neighbors import keys_of
 from .operators.timeseries import SUMMARY_STATISTIC_NAMES, flatten, kinetics, summarize, uncertainty
 from .plans.selection import select_all
-from .segments import once
+from .scratch import written
 from .sources.structures import assign_radii, load_radius_config, read_topology
 
 __version__ = "0.1.0"
@@ -129,7 +129,7 @@ def extract_features(atoms: DataFrame, masks: dict[str, Column] | None = None, p
     """
     atoms = _framed(atoms)
     keys = keys_of(atoms)
-    area = once(_sr(atoms, probe, n_points), *keys, "residue_id")
+    area = written(_sr(atoms, probe, n_points))
     own = [k for k in keys if k != "frame"]
     row = lambda df, feature, value, idx=F.lit(0): df.select(*own, F.lit(feature).alias("feature"), idx.cast("int").alias("idx"), "frame", F.col(value).cast("double").alias("value"))
     res = A.residue_sums(area)

@@ -23,7 +23,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in a new folder, read back. It stays there until the folder is cleared."""
+    """``df`` as Parquet in a new folder, read back; a table that this function gave is itself.
+
+    The folder stays until the scratch folder is cleared.
+    """
+    if getattr(df, "_written", False):
+        return df
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out

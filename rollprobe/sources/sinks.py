@@ -15,14 +15,14 @@ from ..functions.chemistry import AMINO_ACIDS, RadiusConfig, canonical_residue_c
 from ..operators import aggregate as A
 from ..operators.features import MAX_ASA_PARTS
 from ..operators.neighbors import keys_of
-from ..segments import once
+from ..scratch import written
 
 PARTS = ("total", "main_chain", "side_chain", "polar", "apolar")
 
 
 def shared(sasa: DataFrame) -> DataFrame:
-    """Areas for a report that reads them several times: the kernel runs once."""
-    return once(sasa, *(c for c in (*keys_of(sasa), "residue_id") if c in sasa.columns))
+    """Areas for a report that reads them several times: the kernel runs once, and its rows are written to the scratch folder."""
+    return written(sasa)
 
 
 def res_lines(sasa: DataFrame) -> DataFrame:
@@ -220,11 +220,15 @@ SINKS = {"res": res_lines, "seq": seq_lines, "rsa": rsa_lines, "pdb": pdb_lines,
 
 
 def write(sasa: DataFrame, path: str, formats: tuple[str, ...] = ("log",)) -> None:
-    """Each format in a folder of its own below ``path``: text where rows are lines, in order within each frame; CSV otherwise."""
+    """Each format in a folder of its own below ``path``: text where rows are lines, CSV otherwise; areas are computed once.
+
+    Lines lie in order of frames, and within each frame in that of the report, over as many files as there are ranges of them.
+    """
+    sasa = shared(sasa)
     for name in formats:
         df = SINKS[name](sasa)
         if "value" in df.columns:
             by = [*keys_of(df), *(c for c in ("ord",) if c in df.columns)]
-            df.repartition(*keys_of(df)).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(f"{path}/{name}")
+            df.repartitionByRange(*by).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(f"{path}/{name}")
         else:
             df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")

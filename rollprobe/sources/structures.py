@@ -99,8 +99,8 @@ def _cif_atoms(rows: DataFrame, hetatm: bool, hydrogen: bool, join_models: bool,
     return _numbered(atoms, ["model", "chain", "residue_label", "residue_name"])
 
 
-def read_psf(spark: SparkSession, path: str) -> DataFrame:
-    """Topology rows of PSF files, see :func:`psf_atoms`."""
+def read_psf(spark: SparkSession, path: str, align: bool = True) -> DataFrame:
+    """Topology rows of PSF files, see :func:`psf_atoms`; they always match a trajectory's atoms."""
     return psf_atoms(read_lines(spark, path))
 
 

@@ -17,11 +17,21 @@ from ..segments import running
 NAME = r"([^/]+?)(?:\.[^./]*)?$"
 
 
+def one_block(spark: SparkSession, path: str) -> bool:
+    """Whether every file at ``path`` is too small to be cut into blocks."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().conf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    sizes = [x.getLen() for f in found or [] for x in (fs.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    return max(sizes, default=0) <= min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """structure (the file's name), line (from 0), value.
 
     A file is read by as many tasks as it has blocks (``spark.sql.files.maxPartitionBytes``). Each numbers the lines of
-    its blocks, and one row a block says how many lines come before it.
+    its blocks, and one row a block says how many lines come before it; files that are one block each need none.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
@@ -35,6 +45,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["file", "block", "value", "nth"])
 
     rows = raw.mapInArrow(number, "file string, block long, value string, nth long")
+    if one_block(spark, path):
+        return rows.select(F.regexp_extract("file", NAME, 1).alias("structure"), F.col("nth").alias("line"), "value")
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     counts = raw.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("before", before).where("before > 0").drop("n")
     rows = rows.join(counts, ["file", "block"], "left")

@@ -626,6 +626,18 @@ def stream_trajectory(spark: SparkSession, path: str, range_bytes: int = RANGE_B
     return spark.readStream.format(kind or kind_of(path)).option("range_bytes", range_bytes).load(path)
 
 
+def atoms_of(path: str, kind: str | None = None) -> dict[str, int]:
+    """Atoms a frame of each trajectory at ``path``, from its header."""
+    kind = kind or kind_of(path)
+    out = {}
+    for x in _Reader(kind, {"path": path}).files():
+        file = KINDS[kind](x)
+        if file.n is None:
+            file.ranges(0, 1, RANGE_BYTES)
+        out[structure_of(x)] = file.n or 0
+    return out
+
+
 def frame_count(path: str, kind: str | None = None) -> int:
     """Whole frames of a file, from headers alone."""
     file = KINDS[kind or kind_of(path)](path)

@@ -1,4 +1,3 @@
-import glob
 import math
 import os
 
@@ -130,18 +129,14 @@ def test_mmcif_psf_dcd(spark, tmp_path):
     assert cut.rdd.getNumPartitions() == 2 and cut.count() == 6
 
 
-def public_structure(name):
-    """A public PDB entry by its file name, wherever it lies on this machine."""
-    at = os.environ.get("ROLLPROBE_STRUCTURES", "/root")
-    return next((p for k in range(5) for p in sorted(glob.glob(f"{at}/{'*/' * k}{name}"))), None)
+HERE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data")
+MORE = os.environ.get("ROLLPROBE_STRUCTURES")  # a folder with more public PDB entries, where there is one
+KNOWN = [("1ubq.pdb", False, 4834.716265), ("3bkr.pdb", True, 7265.254396354858), ("5dx9.pdb", True, 14264.580728034009), ("1EN2.cif", False, 4644.496800662938), ("7cma-assembly1.cif", True, 17862.263997408743)]
 
 
-@pytest.mark.parametrize("name,hetatm,total", [("1ubq.pdb", False, 4834.716265), ("3bkr.pdb", True, 7265.254396354858), ("5dx9.pdb", True, 14264.580728034009), ("1EN2.cif", False, 4644.496800662938), ("7cma-assembly1.cif", True, 17862.263997408743)])
-def test_known_totals(spark, name, hetatm, total):
-    path = public_structure(name)
-    if path is None:
-        pytest.skip("structure is absent")
-    atoms = assign_radii(read_topology(spark, path, hetatm=hetatm))
+@pytest.mark.parametrize("at,name,hetatm,total", [(d, *k) for k in KNOWN for d in (HERE, MORE) if d and os.path.exists(os.path.join(d, k[0]))])
+def test_known_totals(spark, at, name, hetatm, total):
+    atoms = assign_radii(read_topology(spark, os.path.join(at, name), hetatm=hetatm))
     assert sasa(atoms).total.first().total_sasa == pytest.approx(total, abs=1e-6)
     if name == "1ubq.pdb":
         assert lee_richards(atoms).total.first().total_sasa == pytest.approx(4804.055641, abs=1e-5)
