@@ -105,10 +105,11 @@ class Switch(StatefulProcessor):
         for pdf in rows:
             new |= dict(zip(pdf["frame"].tolist(), pdf["value"].tolist(), strict=True))
         self.take(s, new, False)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if s["waiting"] and self.patience is not None:
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.patience)
+        if self.patience is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if s["waiting"]:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.patience)
         yield self.row(key, s)
 
     def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -134,4 +135,4 @@ def streaming_kinetics(series: DataFrame, threshold: float, hysteresis: float =
     kinds = dict(series.dtypes)
     rows = series.select(*keys, F.col("frame").cast("long").alias("frame"), F.col("value").cast("double").alias("value"))
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + SUMMARY
-    return rows.groupBy(*keys).transformWithStateInPandas(Switch(keys, float(threshold), float(hysteresis), float(frame_interval), first, step, patience), schema, "Update", "ProcessingTime")
+    return rows.groupBy(*keys).transformWithStateInPandas(Switch(keys, float(threshold), float(hysteresis), float(frame_interval), first, step, patience), schema, "Update", "None" if patience is None else "ProcessingTime")

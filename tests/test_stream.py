@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -35,7 +37,7 @@ def test_kinetics_of_a_stream(spark, tmp_path):
     assert got == {x.feature: (60, x.transitions) for x in T.kinetics(whole, 0.0, 0.5).collect()}
 
 
-@pytest.mark.parametrize("patience", [None, 0])
+@pytest.mark.parametrize("patience", [None, 20_000])
 def test_kinetics_of_frames_in_any_order(spark, tmp_path, patience):
     """Shuffled over files, some twice: as the batch form, dwell times included; what waits for a frame that never comes is taken in time."""
     r = np.random.default_rng(7)
@@ -53,12 +55,18 @@ def test_kinetics_of_frames_in_any_order(spark, tmp_path, patience):
     def keep(df, n):
         got.update({(x.structure, x.feature, x.idx): x for x in df.collect()})
 
-    q = streaming_kinetics(stream, 0.0, 0.5, 0.5, patience=patience).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    out = streaming_kinetics(stream, 0.0, 0.5, 0.5, patience=patience).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp"))
+    if patience is None:
+        out.trigger(availableNow=True).start().awaitTermination()
+    else:
+        q, began = out.start(), time.time()
+        while time.time() - began < 150 and (len(got) < 4 or any(x.waiting for x in got.values()) or got["t", "b", 0].frames < 29):
+            time.sleep(0.5)
+        q.stop()
     for x in T.kinetics(whole, 0.0, 0.5, 0.5, by=("structure", "feature", "idx")).collect():
         y = got[x.structure, x.feature, x.idx]
         if (x.structure, x.feature) == ("t", "b"):
-            assert patience is None and (y.frames, y.waiting) == (3, 26) or patience == 0 and y.frames > 3
+            assert (y.frames, y.waiting) == ((3, 26) if patience is None else (29, 0))
             continue
         assert (y.transitions, y.exposed_fraction, y.exposed_dwell, y.buried_dwell, y.rate, y.waiting) == (x.transitions, x.exposed_fraction, x.exposed_dwell, x.buried_dwell, x.rate, 0)
 
