@@ -67,14 +67,19 @@ class SasaResult:
 
 
 class SasaEngine:
-    """Holds the parameters; every call returns lazy DataFrames."""
+    """Holds the parameters; every call returns lazy DataFrames.
 
-    def __init__(self, spark: SparkSession, probe_radius: float = 1.4, n_points: int = 100, n_slices: int = 20, precision: str = "fp64") -> None:
+    ``check`` refuses coordinates that are null or not finite and radii below zero in the run that uses them, with no pass of
+    its own.
+    """
+
+    def __init__(self, spark: SparkSession, probe_radius: float = 1.4, n_points: int = 100, n_slices: int = 20, precision: str = "fp64", check: bool = True) -> None:
         if precision not in ("fp64", "fp32"):
             raise ValueError("precision is fp64 or fp32")
         if probe_radius < 0 or n_points < 1 or n_slices < 1:
             raise ValueError("probe, points and slices must be positive")
         self.spark, self.probe, self.n_points, self.n_slices, self.single = spark, probe_radius, n_points, n_slices, precision == "fp32"
+        self.checked = check
 
     def __enter__(self) -> SasaEngine:
         return self
@@ -90,23 +95,33 @@ class SasaEngine:
 
     def check(self, atoms: DataFrame) -> None:
         """Refuse coordinates that are null or not finite and radii that are below zero; one pass over the atoms."""
-        odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
-        bad = odd("x") | odd("y") | odd("z") | odd("radius") | (F.col("radius") < 0)
-        n = atoms.where(bad).count()
+        n = atoms.where(_odd()).count()
         if n:
             raise ValueError(f"{n} atoms have coordinates that are not finite or radii below zero")
 
+    def _ready(self, atoms: DataFrame) -> DataFrame:
+        if not self.checked:
+            return _framed(atoms)
+        refuse = F.raise_error(F.concat(F.lit("coordinates that are not finite or a radius below zero at atom "), F.coalesce(F.col("atom").cast("string"), F.lit("without a number"))))
+        return _framed(atoms).withColumn("radius", F.when(_odd(), refuse.cast("double")).otherwise(F.col("radius")))
+
     def _masks(self, atoms: DataFrame, select: list[str] | None) -> dict[str, Column]:
         return {s.name: s.column for s in select_all(select or [], atoms)}
 
     def sasa(self, atoms: DataFrame, select: list[str] | None = None, centers: Column | None = None, frames: DataFrame | None = None) -> SasaResult:
         """Shrake-Rupley areas; ``frames`` (the keys) gives frames a total of 0 where they have no atoms."""
         masks = self._masks(atoms, select)
-        return SasaResult(_sr(_framed(atoms), self.probe, self.n_points, centers, single=self.single), tuple(masks), masks, frames)
+        return SasaResult(_sr(self._ready(atoms), self.probe, self.n_points, centers, single=self.single), tuple(masks), masks, frames)
 
     def lee_richards(self, atoms: DataFrame, select: list[str] | None = None, centers: Column | None = None, frames: DataFrame | None = None) -> SasaResult:
         masks = self._masks(atoms, select)
-        return SasaResult(_lr(_framed(atoms), self.probe, self.n_slices, centers), tuple(masks), masks, frames)
+        return SasaResult(_lr(self._ready(atoms), self.probe, self.n_slices, centers), tuple(masks), masks, frames)
+
+
+def _odd() -> Column:
+    """Whether a coordinate or the radius is null or not finite, or the radius below zero."""
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return odd("x") | odd("y") | odd("z") | odd("radius") | (F.col("radius") < 0)
 
 
 def _framed(atoms: DataFrame) -> DataFrame:

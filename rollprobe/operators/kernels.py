@@ -38,11 +38,16 @@ def covered(pairs: DataFrame, n_points: int, keys: tuple[str, ...], single: bool
 
 
 def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, centres: int = CENTRES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (centre, other) of rows whose expanded spheres meet, sorted by centre, in runs of whole centres."""
+    """Pairs (centre, other) of rows whose expanded spheres meet, sorted by centre, in runs of whole centres.
+
+    Spheres of a radius up to half an edge are found by cells; the few larger ones are held against every centre.
+    """
+    large = np.flatnonzero(er > edge / 2 * (1 + 1e-12))
+    usual = np.flatnonzero(er <= edge / 2 * (1 + 1e-12))
     cell = np.floor((xyz - xyz.min(axis=0)) / edge).astype(np.int64) + 1
     span = cell.max(axis=0) + 2
     number = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
-    order = np.argsort(number, kind="stable")
+    order = usual[np.argsort(number[usual], kind="stable")]
     held = number[order]
     shifts = np.array([(i * span[1] + j) * span[2] - 1 for i in (-1, 0, 1) for j in (-1, 0, 1)])  # three cells in a row along z
     for at in range(0, len(own), centres):
@@ -52,6 +57,12 @@ def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, centres
         many = (hi - lo).ravel()
         a = np.repeat(np.repeat(mine, len(shifts)), many)
         b = order[np.repeat(lo.ravel() - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        if len(large):
+            place = np.empty(len(er), np.int64)
+            place[mine] = np.arange(len(mine))
+            a, b = np.concatenate([a, np.repeat(mine, len(large))]), np.concatenate([b, np.tile(large, len(mine))])
+            by = np.argsort(place[a], kind="stable")
+            a, b = a[by], b[by]
         d2 = ((xyz[a] - xyz[b]) ** 2).sum(axis=1)
         ok = (d2 < (er[a] + er[b]) ** 2) & (a != b)
         yield a[ok], b[ok]
@@ -138,8 +149,8 @@ def _swept(atoms: DataFrame, centers, keys: tuple[str, ...], edge: float | None,
 
     # dealt by number: a tile is much work for few bytes, so partitions must not be merged by their size
     parts = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiled(atoms, centers, keys, edge).repartition(parts, *keys, "tx", "ty", "tz")
-    return rows.groupBy(*keys, "tx", "ty", "tz").applyInArrow(tile, kind)
+    rows = tiled(atoms, centers, keys, edge).repartition(parts, *keys, "large", "tx", "ty", "tz")
+    return rows.groupBy(*keys, "large", "tx", "ty", "tz").applyInArrow(tile, kind)
 
 
 def shrake_rupley(atoms: DataFrame, probe: float = 1.4, n_points: int = 100, centers=None, keys: tuple[str, ...] | None = None, single: bool = False, edge: float | None = None, pairs: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 For pairs, atoms are binned into cubes of edge 2 * max(radius + probe); centres are exploded into the 27 cubes around their own and
 meet the atoms of those cubes by hash join on (frame, cell), so work grows with atoms, not with pairs of atoms. Tiles
-are larger cubes with a rim as wide as the largest reach; a kernel solves them one by one.
+are larger cubes that also hold every atom whose sphere can reach into them; a kernel solves them one by one. A few very
+large spheres do not make all tiles large: tiles follow the usual radius, large spheres reach into many of them, and as
+centres they have (large) tiles of their own. Where space is dense, tiles are cut to fewer cells.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ("structure", "frame")
-TILE = 4  # cells along the edge of a tile
+TILE = 4  # cells along the edge of a tile, at most
+LEAST = 1e-3  # radius that tiles go by where all are smaller
+MOST = 20_000  # atoms of a tile on average; above it, tiles have fewer cells
 
 
 def keys_of(df: DataFrame, *more: str) -> tuple[str, ...]:
@@ -33,21 +37,42 @@ def sized(atoms: DataFrame, keys: tuple[str, ...], edge: float | None) -> DataFr
     return atoms.join(cell_edge(atoms, keys), list(keys)) if edge is None else atoms.withColumn("edge", F.lit(float(edge)))
 
 
+def tile_sizes(atoms: DataFrame, keys: tuple[str, ...], edge: float | None) -> DataFrame:
+    """With what tiles of a key go by: ``cut`` (no larger radius is usual), ``top`` (the largest), ``cells`` along a tile's edge.
+
+    A radius above twice that of nine in ten atoms is not usual. Where ``edge`` gives a bound of the radii, all are usual
+    and tiles have ``TILE`` cells, which saves the pass that measures.
+    """
+    if edge is not None:
+        return atoms.withColumns({"cut": F.lit(edge / 2.0), "top": F.lit(edge / 2.0), "cells": F.lit(TILE)})
+    span = lambda c: F.max(c) - F.min(c)
+    one = atoms.groupBy(*keys).agg(F.max("er").alias("top"), F.percentile_approx("er", 0.9, 1000).alias("usual"), F.count("*").alias("n"), *(span(c).alias(f"span_{c}") for c in "xyz"))
+    one = one.withColumn("top", F.greatest("top", F.lit(LEAST))).withColumn("cut", F.least("top", F.greatest(2.0 * F.col("usual"), F.lit(LEAST))))
+    volume = F.lit(1.0)
+    for c in "xyz":
+        volume = volume * (F.col(f"span_{c}") + 2.0 * F.col("cut"))
+    fewer = F.lit(1)
+    for k in [k for k in (2, TILE) if k > 1]:  # the most cells that keep a tile small enough, by the mean density
+        fewer = F.when(F.col("n") * F.pow(2.0 * k * F.col("cut"), F.lit(3.0)) <= MOST * volume, k).otherwise(fewer)
+    return atoms.join(one.select(*keys, "cut", "top", fewer.alias("cells")), list(keys))
+
+
 def tiled(atoms: DataFrame, centers, keys: tuple[str, ...], edge: float | None) -> DataFrame:
-    """Atoms of every tile and of the rim of one cell around it: keys, tx, ty, tz, er, x, y, z, edge, own.
+    """Atoms of every tile and those that reach into it: keys, large, tx, ty, tz, er, x, y, z, edge, own.
 
     ``own`` holds all columns of a centre atom in its own tile and is null in copies, so that a copy is a short row.
+    ``large`` tells the tiles of large centres from those of usual ones; ``edge`` is twice the largest centre's radius.
     """
-    rows = sized(atoms.withColumn("own", F.when(F.lit(True) if centers is None else centers, F.struct(*[F.col(c) for c in atoms.columns]))), keys, edge)
-    out, at = rows.select(*keys, "x", "y", "z", "er", "edge", "own"), {}
+    rows = tile_sizes(atoms.withColumn("own", F.when(F.lit(True) if centers is None else centers, F.struct(*[F.col(c) for c in atoms.columns]))), keys, edge)
+    kinds = F.when(F.col("top") > F.col("cut"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("large", F.explode(kinds)).withColumn("reach", F.when(F.col("large"), F.col("top")).otherwise(F.col("cut"))) if edge is None else rows.withColumns({"large": F.lit(False), "reach": F.col("cut")})
+    rows = rows.withColumn("own", F.when(F.col("large") == (F.col("er") > F.col("cut")), F.col("own"))) if edge is None else rows
+    rows = rows.withColumn("size", F.col("reach") * 2.0 * F.when(F.col("large"), 1).otherwise(F.col("cells")))
+    out, home = rows.select(*keys, "large", "x", "y", "z", "er", (F.col("reach") * 2.0).alias("edge"), "own", "size", (F.col("er") + F.col("reach")).alias("rim")), F.lit(True)
     for c in "xyz":
-        size = F.col("edge") * TILE
-        at[c] = F.floor(F.col(c) / size)
-        low, high = F.col(c) - at[c] * size < F.col("edge"), (at[c] + 1) * size - F.col(c) <= F.col("edge")
-        near = F.filter(F.array(at[c], F.when(low, at[c] - 1), F.when(high, at[c] + 1)), lambda t: t.isNotNull())
-        out = out.withColumn(f"t{c}", F.explode(near))
-    home = (F.col("tx") == at["x"]) & (F.col("ty") == at["y"]) & (F.col("tz") == at["z"])
-    return out.withColumn("own", F.when(home, F.col("own")))
+        out = out.withColumn(f"t{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("rim")) / F.col("size")), F.floor((F.col(c) + F.col("rim")) / F.col("size")))))
+        home = home & (F.col(f"t{c}") == F.floor(F.col(c) / F.col("size")))
+    return out.withColumn("own", F.when(home, F.col("own"))).drop("size", "rim")
 
 
 def neighbor_pairs(atoms: DataFrame, centers=None, keys: tuple[str, ...] | None = None, edge: float | None = None) -> DataFrame:

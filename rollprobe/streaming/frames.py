@@ -100,7 +100,7 @@ class Switch(StatefulProcessor):
         values = (s["frames"], s["on"], s["transitions"], rate, s["up"] / s["frames"] if s["frames"] else None, mean(1), mean(0), s["waiting"])
         return pd.DataFrame([(*key, *values)], columns=[*self.keys, *(x.split()[0] for x in SUMMARY.split(", "))])
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         s, new = self.held(), {}
         for pdf in rows:
             new |= dict(zip(pdf["frame"].tolist(), pdf["value"].tolist(), strict=True))
@@ -109,10 +109,10 @@ class Switch(StatefulProcessor):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             if s["waiting"]:
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.patience)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
         yield self.row(key, s)
 
-    def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """What is missing has not come in time: frames that waited for it are taken in order."""
         s = self.held()
         self.take(s, {}, True)

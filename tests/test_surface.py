@@ -66,6 +66,19 @@ def test_input_is_checked(spark):
         SasaEngine(spark).check(odd)
 
 
+def test_bad_input_is_refused_in_the_run_that_uses_it(spark):
+    atoms = from_arrays(spark, np.zeros((1, 3, 3)) + np.arange(3)[None, :, None], np.ones(3))
+    bad = atoms.withColumn("x", F.when(F.col("atom") == 1, F.lit(float("nan"))).otherwise(F.col("x")))
+    for run in (lambda e, a: e.sasa(a), lambda e, a: e.lee_richards(a)):
+        result = run(SasaEngine(spark), bad)  # nothing has run yet
+        with pytest.raises(Exception, match="at atom 1"):
+            result.total.collect()
+        plan = run(SasaEngine(spark), atoms).total._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") == run(SasaEngine(spark, check=False), atoms).total._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")  # no scan more
+    with pytest.raises(Exception, match="at atom 2"):
+        SasaEngine(spark).sasa(atoms.withColumn("radius", F.when(F.col("atom") == 2, -1.0).otherwise(1.0))).total.collect()
+
+
 def test_interface_identities(spark):
     r = np.random.default_rng(2)
     atoms = from_arrays(spark, r.uniform(0, 6, (2, 12, 3)), np.full(12, 1.6))
