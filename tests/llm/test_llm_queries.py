@@ -47,6 +47,8 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
     pages = [(1, "u", "<html><body><nav>Menu</nav><article><p>One  two.</p><p class=it's>Three &amp; four.</p></article></body></html>"), (2, "u", None), (3, None, ""), (4, "u", "<p>" + "long " * 20000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{at}/pages.parquet")
+    turns = [(c, t, "user" if t % 2 else None, f"turn {t} of {c // 3}") for c in range(20) for t in range(c % 6)] + [(3, None, "user", None), (None, 1, "user", "x"), (40, 1, "user", "turn 1 of 0")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{at}/conversations.parquet")
     return at, docs
 
 
@@ -179,6 +181,19 @@ def test_op10(got, tables):
     assert sorted(r.position for r in rows) == list(range(len(rows)))
 
 
+def test_op11_to_op13(got, tables):
+    """Registered with the parameters of their contracts; the operators themselves are held against plain loops elsewhere."""
+    rows = got("op11_hard_negatives").collect()
+    assert {r.anchor_id for r in rows} <= {0, 100, 700} and all((r.negative_id % 7 == 0) != (r.anchor_id % 7 == 0) for r in rows) and rows[0].asDict().keys() == {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"}
+    rows = got("op12_prefix_trie").collect()
+    root = [r for r in rows if r.depth == 0]
+    assert len(root) == 1 and root[0].parent_conv_id is None and root[0].n_convs == 17 and sum(r.n_children == 0 for r in rows) == root[0].n_leaves
+    rows = got("op13_simhash").collect()
+    assert key([(r.doc_id,) for r in rows]) == key([(d[0],) for d in tables[1]]) and all(len(r.fingerprint) == 16 for r in rows)
+    by = {r.doc_id: r for r in rows}
+    assert by[200].fingerprint == by[1].fingerprint and by[200].component_id == by[1].component_id and by[300].fingerprint == "0" * 16 and by[302].component_id == by[300].component_id == by[301].component_id
+
+
 def test_pipeline(spark, tables):
     """run() against a plain chain: scores of the same models, sets compared pair by pair, packing checked piece by piece."""
     at, docs = tables
@@ -230,7 +245,7 @@ def test_pipeline(spark, tables):
 
 def test_empty_tables(spark, tables, tmp_path):
     at = tables[0]
-    for t in ("documents", "labels", "embeddings", "pages"):
+    for t in ("documents", "labels", "embeddings", "pages", "conversations"):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, f in QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
