@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.points import sphere_points
-from .neighbors import expanded, keys_of, neighbor_pairs, tiled
+from .neighbors import CENTRES, expanded, keys_of, near, tiled
 
 WORD = 60  # points a bit mask of one LONG holds
-CENTRES = 1024  # atoms whose neighbours are looked up at once
 TESTS = 1 << 20  # point tests done at once
 
 
@@ -37,37 +35,6 @@ def covered(pairs: DataFrame, n_points: int, keys: tuple[str, ...], single: bool
     return pairs.crossJoin(_points(pairs, n_points)).where(inside).groupBy(*keys, "atom", "w").agg(F.expr("bit_or(bit)").alias("mask"))
 
 
-def _near(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, centres: int = CENTRES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (centre, other) of rows whose expanded spheres meet, sorted by centre, in runs of whole centres.
-
-    Spheres of a radius up to half an edge are found by cells; the few larger ones are held against every centre.
-    """
-    large = np.flatnonzero(er > edge / 2 * (1 + 1e-12))
-    usual = np.flatnonzero(er <= edge / 2 * (1 + 1e-12))
-    cell = np.floor((xyz - xyz.min(axis=0)) / edge).astype(np.int64) + 1
-    span = cell.max(axis=0) + 2
-    number = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
-    order = usual[np.argsort(number[usual], kind="stable")]
-    held = number[order]
-    shifts = np.array([(i * span[1] + j) * span[2] - 1 for i in (-1, 0, 1) for j in (-1, 0, 1)])  # three cells in a row along z
-    for at in range(0, len(own), centres):
-        mine = own[at : at + centres]
-        want = number[mine][:, None] + shifts
-        lo, hi = np.searchsorted(held, want), np.searchsorted(held, want + 3)
-        many = (hi - lo).ravel()
-        a = np.repeat(np.repeat(mine, len(shifts)), many)
-        b = order[np.repeat(lo.ravel() - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        if len(large):
-            place = np.empty(len(er), np.int64)
-            place[mine] = np.arange(len(mine))
-            a, b = np.concatenate([a, np.repeat(mine, len(large))]), np.concatenate([b, np.tile(large, len(mine))])
-            by = np.argsort(place[a], kind="stable")
-            a, b = a[by], b[by]
-        d2 = ((xyz[a] - xyz[b]) ** 2).sum(axis=1)
-        ok = (d2 < (er[a] + er[b]) ** 2) & (a != b)
-        yield a[ok], b[ok]
-
-
 def exposed_points(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray, unit: np.ndarray, single: bool = False) -> np.ndarray:
     """For each centre row in ``own`` and each test point whether no other expanded sphere covers it."""
     free = np.ones((len(own), len(unit)), bool)
@@ -75,7 +42,7 @@ def exposed_points(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray
     place = np.full(len(er), -1)
     place[own] = np.arange(len(own))
     c, r, u = xyz.astype(kind), er.astype(kind), unit.astype(kind)
-    for a, b in _near(xyz, er, edge, own):
+    for a, b in near(xyz, er, edge, own):
         step = max(1, TESTS // len(unit))
         for k in range(0, len(a), step):
             i, j = a[k : k + step], b[k : k + step]
@@ -106,7 +73,7 @@ def covered_arcs(xyz: np.ndarray, er: np.ndarray, edge: float, own: np.ndarray,
     lost, two_pi = np.zeros(len(own)), 2.0 * np.pi
     place = np.full(len(er), -1)
     place[own] = np.arange(len(own))
-    for a, b in _near(xyz, er, edge, own, max(1, CENTRES * 5 // n_slices)):
+    for a, b in near(xyz, er, edge, own, max(1, CENTRES * 5 // n_slices)):
         r, (dx, dy) = er[a][:, None], (xyz[b] - xyz[a])[:, :2].T
         h = xyz[a, 2][:, None] - r + (np.arange(n_slices) + 0.5) * (2.0 * r / n_slices)
         ri, rj2 = np.sqrt(np.maximum(r * r - (h - xyz[a, 2][:, None]) ** 2, 0.0)), (er[b] ** 2)[:, None] - (h - xyz[b, 2][:, None]) ** 2

@@ -57,3 +57,22 @@ def test_equal_places_and_one_atom(spark):
     assert got == sorted(brute(xyz, np.full(50, 1.5), 1.4, 20).tolist())
     assert shrake_rupley(from_arrays(spark, xyz[:1], np.array([1.5])), n_points=20).first().exposed == 20
     assert shrake_rupley(from_arrays(spark, xyz[:2], np.array([0.0, 0.0])), probe=0.0, n_points=20).count() == 2
+
+
+@pytest.mark.parametrize("large", [0, 3])
+def test_pairs(spark, monkeypatch, large):
+    monkeypatch.setattr(neighbors, "CENTRES", 50, raising=False)
+    r = np.random.default_rng(6)
+    xyz, radii = r.uniform(0, 60, (500, 3)), r.uniform(1.2, 1.9, 500)
+    radii[:large] = [20.0, 9.0, 5.0][:large]
+    atoms = neighbors.expanded(from_arrays(spark, xyz, radii), 1.4)
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
+    meet = (d2 < (radii[:, None] + radii[None] + 2.8) ** 2) & ~np.eye(500, dtype=bool)
+    for centers, edge in ((None, None), (F.col("atom") % 3 == 0, None), (None, 2 * (radii.max() + 1.4) + 1e-9)):
+        got = neighbors.neighbor_pairs(atoms, centers, edge=edge)
+        rows = got.collect()
+        assert sorted((x.atom, x.other) for x in rows) == [(i, j) for i, j in np.argwhere(meet).tolist() if centers is None or i % 3 == 0]
+        assert all(x.d2 == pytest.approx(d2[x.atom, x.other]) and (x.ox, x.oer) == (xyz[x.other, 0], radii[x.other] + 1.4) for x in rows)
+    tiles_ = neighbors.tiled(atoms.select("frame", "atom", "x", "y", "z", "er"), None, ("frame",), 2 * (1.9 + 1.4))
+    assert large or tiles_.count() < 6 * 500  # a shuffle of a few rows an atom: no join with the 27 cells around each
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
