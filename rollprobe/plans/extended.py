@@ -18,7 +18,7 @@ from ..sources.structures import assign_radii, mmcif_atoms, pdb_atoms, psf_atoms
 from ..sources.trajectories import read_trajectory, write_trajectory
 from .catalog import AB, BONE, HEAVY, LR, SELECTED, SELECTED_SQL, WITH, _map, _odd, _oddname, _pro, ctx_sql, heavy, masks, query, rnd, sides, sr, sr_sql
 from .selection import compacted, unmatched_items, with_masks
-from .tables import EDGE, POINTS, PROBE, SERIES, SLICES, event_series, part_atoms, sql_atoms
+from .tables import EDGE, POINTS, PROBE, SERIES, SLICES, SPACING, event_series, part_atoms, sql_atoms
 
 CLASS_LIST = ",".join(f"'{c}'" for c in A.CLASSES)
 
@@ -285,12 +285,13 @@ _same = "case when atom % 6 = 2 then 'CA' else atom_name end"  # location B of t
 
 
 FILE = 8000  # atoms of a file: its fields hold four digits of a residue number
+BASE = f"({FILE} * {{}}) div 144 * {SPACING}D"  # z where a file begins: its fields hold four digits before the point
 _label = "residue_id % 1000 + 1"
 
 
 def pdb_text(s: SparkSession, d: str) -> DataFrame:
-    """Files of two models of PDB lines; the second is short."""
-    a = part_atoms(s, d, 1).withColumn("alt", F.expr(_alt)).withColumn("nm", F.expr(_same)).withColumn("structure", F.concat(F.lit("m"), F.floor(F.col("atom") / FILE).cast("string")))
+    """Files of two models of PDB lines, the second short; z counts from where the file begins, see :func:`pdb_placed`."""
+    a = part_atoms(s, d, 1).withColumn("z", F.col("z") - F.expr(BASE.format(f"(atom div {FILE})"))).withColumn("alt", F.expr(_alt)).withColumn("nm", F.expr(_same)).withColumn("structure", F.concat(F.lit("m"), F.floor(F.col("atom") / FILE).cast("string")))
     line = F.format_string("%-6s%5d  %-3s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f  1.00  0.00      %-4s%2s", F.when(F.col("is_het"), "HETATM").otherwise("ATOM"), F.col("atom") % FILE + 1, "nm", "alt", "residue_name", "chain", F.expr(_label).cast("int"), F.when(F.col("residue_id") % 3 == 0, "A").otherwise(""), "x", "y", "z", F.lit("SEG"), F.when(F.col("atom") % 4 == 0, "").otherwise(F.col("element")))
     nth = F.col("atom") % FILE
     body = a.select("structure", (nth + 1).cast("long").alias("line"), line.alias("value"))
@@ -300,6 +301,11 @@ def pdb_text(s: SparkSession, d: str) -> DataFrame:
     return files.union(body).union(again)
 
 
+def pdb_placed(atoms: DataFrame) -> DataFrame:
+    """Atoms read from :func:`pdb_text`, each file where it belongs."""
+    return atoms.withColumn("z", F.round(F.col("z") + F.expr(BASE.format("cast(substring(structure, 2) as bigint)")), 3))
+
+
 # the element of blank columns follows from the name; CA then reads as calcium
 _read = f"case when atom % 4 = 0 then case when {_same} in ('CA') then 'CA' else {_same}[1:1] end else element end"
 PDB_SQL = f"with {sql_atoms(1)}, a as (select 'm' || (atom // {FILE}) as structure, atom % {FILE} as atom, ({_label}) || case when residue_id % 3 = 0 then 'A' else '' end as residue_label, residue_name, chain, {_same} as atom_name, {_alt} as alt, {_read} as element, is_het, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from atoms)"
@@ -308,12 +314,12 @@ PDB_COLS = "atom_name, residue_name, chain, residue_label, element, x, y, z"
 
 @query("pdb_read", PDB_SQL + f" select structure, line, {PDB_COLS} from (select (atom + 1)::bigint as line, *, row_number() over (partition by structure, chain, residue_label, residue_name, atom_name, alt = ' ' order by atom) as nth from a where not is_het and element not in ('H','D')) where alt = ' ' or nth = 1")
 def _(s, d):
-    return pdb_atoms(pdb_text(s, d)).select("structure", "line", *PDB_COLS.split(", "))
+    return pdb_placed(pdb_atoms(pdb_text(s, d))).select("structure", "line", *PDB_COLS.split(", "))
 
 
 @query("pdb_align", PDB_SQL + " select chain, count(*) as atoms, round(sum(x + y + z), 3) as moment from (select * from a union all select * from a where atom < 100) group by chain")
 def _(s, d):
-    return pdb_atoms(pdb_text(s, d), align=True).groupBy("chain").agg(F.count("*").alias("atoms"), F.round(F.sum(F.expr("x + y + z")), 3).alias("moment"))
+    return pdb_placed(pdb_atoms(pdb_text(s, d), align=True)).groupBy("chain").agg(F.count("*").alias("atoms"), F.round(F.sum(F.expr("x + y + z")), 3).alias("moment"))
 
 
 @query("pdb_models", PDB_SQL + " select 1 as model, count(*) as atoms from a union all select 2, count(*) from a where atom < 100")

@@ -26,3 +26,15 @@ def test_query_matches_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL) and len(QUERIES) > 40
+
+
+def test_far_parts(spark, tmp_path):
+    """Keys of a table 60 times as large: their z has more digits than the field of a PDB line."""
+    keys = [*range(60), *range(1_192_000, 1_192_060)]
+    con = duckdb.connect()
+    con.execute(f"create table part as select k::bigint as p_partkey, 'Brand#' || k % 9 as p_brand, (k % 50)::int as p_size from (select unnest({keys}) as k)")
+    con.execute(f"copy part to '{tmp_path}/part.parquet' (format parquet)")
+    for name in ("pdb_read", "pdb_align"):
+        got = QUERIES[name](spark, str(tmp_path))
+        cols = got.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(f"select {', '.join(cols)} from ({ORACLE_SQL[name]})").fetchall(), key=str)
