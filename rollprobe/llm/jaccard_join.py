@@ -23,6 +23,7 @@ share no shingle at all. So the space is cut twice, by shingles first and by piv
    ``BLOCK`` nodes, which go to different tasks: first each block with itself and the next, then what lies outside
    the largest component so found with all.
 6. Links are joined into components by distributed label propagation with pointer jumping.
+7. The join counts every link of a node: the sets of a component meet, block against block, in 0/1 matrix products.
 
 Pair tests are exact: a 256-bin count sketch gives a lower bound of the symmetric difference that rejects most
 pairs, and the rest compare their whole shingle sets. Shingles are held as 64-bit hashes, as are nodes. Every step is a
@@ -53,6 +54,7 @@ LIGHT = 100_000  # rows of a table that is one partition in the search for compo
 BLOCK_SHINGLES = 1 << 20  # shingles of the sets that one task holds at once, about
 FILTER_WORDS = 1 << 19  # 64-bit words of the filter that finds documents by id in a scan (4 MB)
 BINS = 256
+COLUMNS = 4096  # shingles of a 0/1 matrix
 SLOTS = 1 << 22  # of the table of frequency classes, one byte each
 PART_BYTES = 32 << 20  # of text behind one part of the shingle counts
 HELD = SLOTS // 4  # most slots in use; beyond it, only higher classes are told apart
@@ -164,6 +166,28 @@ def _close(na: np.ndarray, nb: np.ndarray, diff: np.ndarray, num: int, den: int)
     return (den - num) * (na + nb) >= (den + num) * diff
 
 
+def _links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of two lists have J >= num/den: overlaps as products of 0/1 matrices, ``COLUMNS`` shingles at a time."""
+    na, nb = (np.array([len(u) for u in side], np.int64) for side in (left, right))
+    if len(na) * len(nb) <= 16:
+        both = np.array([[len(np.intersect1d(u, v, assume_unique=True)) for v in right] for u in left], np.int64).reshape(len(na), len(nb))
+        return den * both >= num * (na[:, None] + nb[None] - both)
+    a, b = (np.concatenate(side) for side in (left, right))
+    shared = np.intersect1d(a, b)
+    place = [(np.repeat(np.arange(len(n)), n), np.searchsorted(shared, u), u) for n, u in ((na, a), (nb, b))]
+    place = [(row[ok], col[ok]) for row, col, u in place for ok in [shared[np.minimum(col, len(shared) - 1)] == u if len(shared) else np.zeros(len(u), bool)]]
+    both = np.zeros((len(na), len(nb)), np.int64)
+    for low in range(0, len(shared), COLUMNS):
+        m = []
+        for (row, col), n in zip(place, (na, nb), strict=True):
+            here = (col >= low) & (col < low + COLUMNS)
+            x = np.zeros((len(n), min(COLUMNS, len(shared) - low)), np.float32)
+            x[row[here], col[here] - low] = 1
+            m.append(x)
+        both += (m[0] @ m[1].T).astype(np.int64)  # whole numbers below 2**24
+    return den * both >= num * (na[:, None] + nb[None] - both)
+
+
 class _Join(Tables):
     def __init__(self, docs: DataFrame, k: int, num: int, den: int) -> None:
         super().__init__(docs.sparkSession)
@@ -469,53 +493,89 @@ class _Join(Tables):
             told = self.keep(self.to_pivots(large, depth))
             self.release(*self.spent)
             self.spent = []
-            self.found(self.keep(told.where("link and pivot <> node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()))
-            least = told.groupBy("key", "node").agg(F.min("d").alias("least"))
-            held = told.join(least, ["key", "node"]).where(F.col("d") <= F.col("least") + 2 * (1 - self.num / self.den) + 1e-9).select("key", "pivot", "node", "n")
-            work = held.groupBy("key", "pivot").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
-            easier = self.keep(work.join(large.groupBy("key").agg(F.count("*").alias("size")), "key").where("2 * work <= size * size").select("key"))
-            flat.append(self.keep(large.join(easier, "key", "left_anti").select("key", "node", "n")))
-            rows = self.keep(held.join(easier, "key").select(F.xxhash64("key", "pivot", F.lit(depth)).alias("key"), "node", "n"))
+            self.found(self.keep(told.select("node", F.explode("links").alias("pivot")).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()))
+            counts = [F.count(F.when(F.col("cells").bitwiseAND(1 << k) != 0, 1)) for k in range(PIVOTS)]
+            work = told.groupBy("key").agg(F.count("*").alias("size"), sum(c * c for c in counts).alias("work"))
+            easier = self.keep(work.where("2 * work <= size * size").select("key"))
+            flat.append(self.keep(told.join(easier, "key", "left_anti").select("key", "node", "n")))
+            cell = F.filter(F.array(*(F.when(F.col("cells").bitwiseAND(1 << k) != 0, F.lit(k)) for k in range(PIVOTS))), lambda k: k.isNotNull())
+            rows = self.keep(told.join(easier, "key").withColumn("cell", F.explode(cell)).select(F.xxhash64("key", "cell", F.lit(depth)).alias("key"), "node", "n"))
             self.release(told, easier)
             depth += 1
 
     def to_pivots(self, large: DataFrame, depth: int) -> DataFrame:
-        """(key, pivot, node, n, d, link): exact distances of every member to its region's pivots.
+        """(key, node, n, cells, links): exact distances of every member to its region's pivots, one row a member.
 
-        Members are dealt into blocks of bounded size, and each block gets a copy of the pivots' sets.
+        ``cells`` has a bit for each cell that the member is in or copied to, ``links`` the pivots of other components
+        that it is linked with. Members are dealt into blocks of bounded size, and each block gets a copy of the pivots' sets.
         """
         num, den, h = self.num, self.den, F.xxhash64("node", F.lit(depth))
+        reach = 2 * (1 - num / den) + 1e-9
         many = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
-        picked = large.groupBy("key", F.pmod(h, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("node", h).alias("node")).select("key", "node")
+        picked = large.groupBy("key", F.pmod(h, F.lit(PIVOTS)).cast("int").alias("slot")).agg(F.min_by(F.struct("node", "comp"), h).alias("m")).select("key", "slot", "m.*")
         sets, _ = self.sets(large.select("node").distinct().join(self.nodes.select("node", "doc_id"), "node"))
         sets = self.stored_from(sets)
         self.spent.append(sets)
-        x = large.join(many, "key").select("key", F.pmod(F.xxhash64("node"), F.col("many")).cast("int").alias("i"), "node", "n").join(sets, "node")
-        p = picked.join(many, "key").select(F.col("key").alias("key_p"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i_p"), F.col("node").alias("pivot")).join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+        x = large.join(many, "key").select("key", F.pmod(F.xxhash64("node"), F.col("many")).cast("int").alias("i"), "node", "n", "comp").join(sets, "node")
+        p = picked.join(many, "key").select(F.col("key").alias("key_p"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i_p"), "slot", F.col("node").alias("pivot"), F.col("comp").alias("comp_p")).join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
 
         def compare(rows: pa.Table, pivots: pa.Table) -> pa.Table:
-            out = []
+            cells, links = [], []
+            slots, comps = (pivots.column(c).to_pylist() for c in ("slot", "comp_p"))
             there = [(a, np.frombuffer(b, U64)) for a, b in zip(pivots.column("pivot").to_pylist(), pivots.column("pivot_set").to_pylist(), strict=True)]
-            for key, node, n, whole in zip(*(rows.column(c).to_pylist() for c in ("key", "node", "n", "set")), strict=True):
+            for comp, whole in zip(rows.column("comp").to_pylist(), rows.column("set").to_pylist(), strict=True):
                 u = np.frombuffer(whole, U64)
-                for pivot, v in there:
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    union = len(u) + len(v) - both
-                    out.append((key, pivot, node, n, 1 - both / union, den * both >= num * union))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_())
-            return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["key", "pivot", "node", "n", "d", "link"])
+                both = [len(np.intersect1d(u, v, assume_unique=True)) for _, v in there]
+                union = [len(u) + len(v) - c for (_, v), c in zip(there, both, strict=True)]
+                d = [1 - c / w for c, w in zip(both, union, strict=True)]
+                cells.append(sum(1 << k for k, y in zip(slots, d, strict=True) if y <= min(d) + reach))
+                links.append([a for (a, _), g, c, w in zip(there, comps, both, union, strict=True) if g != comp and den * c >= num * w])
+            return pa.table([*(rows.column(c) for c in ("key", "node", "n")), pa.array(cells, pa.int32()), pa.array(links, pa.list_(pa.int64()))], names=["key", "node", "n", "cells", "links"])
 
-        return x.groupBy("key", "i").cogroup(p.groupBy("key_p", "i_p")).applyInArrow(compare, "key long, pivot long, node long, n int, d double, link boolean")
+        return x.groupBy("key", "i").cogroup(p.groupBy("key_p", "i_p")).applyInArrow(compare, "key long, node long, n int, cells int, links array<long>")
 
+    def degrees(self) -> DataFrame:
+        """(node, n_links): how many other nodes each is linked with, of all that have links.
 
-def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, mark, n, comp, component_id, n_links of every row; comp is the component of the row's node, by nodes."""
+        Links lie within components, so a component's sets meet in blocks, each pair of blocks in one task, which adds
+        up its links and puts out one row a node. Small components share a task. The pairs to count grow with the square
+        of a component; rows and memory do not.
+        """
+        num, den = self.num, self.den
+        lone = self.comps.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
+        group = self.keep(self.comps.join(lone, "comp").join(self.nodes.select("node", "doc_id", "n"), "node"))
+        sets, _ = self.sets(group.select("node", "doc_id"))
+        sets = self.stored_from(sets)
+        size = group.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
+        lots = max(parallelism(self.spark), 2 * (group.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
+        small = F.col("many") <= 1
+        place = group.join(size, "comp").select("node", "comp", small.alias("small"), F.when(small, F.pmod(F.xxhash64("comp"), F.lit(lots))).otherwise(F.col("comp")).alias("g"), F.pmod(F.xxhash64("node"), F.col("many")).cast("int").alias("own"), "many")
+        rows = sets.join(place, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        rows = rows.select("small", "g", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "comp", "own", "node", "set")
+
+        def count(t: pa.Table) -> pa.Table:
+            comp, own = t.column("comp").to_numpy(), t.column("own").to_numpy()
+            sets, links = [np.frombuffer(x, U64) for x in t.column("set").to_pylist()], np.zeros(t.num_rows, np.int64)
+            ends, order = (t.column("i")[0].as_py(), t.column("j")[0].as_py()), np.argsort(comp, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+                left, right = (at[own[at] == k] for k in ends)
+                link = _links([sets[r] for r in left], [sets[r] for r in right], num, den)
+                links[left] += link.sum(axis=1)
+                if ends[0] == ends[1]:
+                    links[left] -= 1  # itself
+                else:
+                    links[right] += link.sum(axis=0)
+            return pa.table({"node": t.column("node"), "links": links})
+
+        out = rows.groupBy("small", "g", "i", "j").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))
+        return self.keep(out)
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int, counted: bool) -> DataFrame:
+    """doc_id, mark, n, comp, component_id, n_links (0 unless ``counted``) of every row; comp is the component of the row's node, by nodes."""
     j = _Join(docs, k, num, den)
-    comps, links = j.join()
-    edges = j.comps.where("false").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    for more in links:
-        edges = edges.union(more.select("a", "b"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    comps, _ = j.join()
+    degree = j.degrees() if counted else j.nodes.where("false").select("node", F.lit(0).cast("long").alias("n_links"))
     of = j.nodes.select("node", F.col("doc_id").alias("low")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("low").alias("component_id"))
     table = j.keep(of.join(least, "comp").join(degree, "node", "left").select("node", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
@@ -529,9 +589,9 @@ def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links with J >= num/den), n_links.
 
-    ``n_links`` counts the links found from the row's node to other nodes (a spanning set, not every pair).
+    ``n_links`` counts all other texts (sets; copies count once) that the row's is linked with.
     """
-    return _joined(docs, k, num, den).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    return _joined(docs, k, num, den, True).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -539,7 +599,7 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Data
 
     Rows without words and rows without an id are compared with nothing; of rows with the same id and text one stays.
     """
-    found = _joined(docs, k, num, den).where("n > 0 and doc_id is not null").select("comp", "doc_id", "mark")
+    found = _joined(docs, k, num, den, False).where("n > 0 and doc_id is not null").select("comp", "doc_id", "mark")
     best = found.groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
     gone = lookup(found, best, "comp").where(F.struct("doc_id", "mark") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
     text = F.col("text").cast("string")

@@ -75,6 +75,38 @@ def test_jaccard_join_is_exact(spark, docs, monkeypatch, small, block):
         assert jaccard_join.jaccard_join(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block,columns", [(512, 4096), (3, 50)])
+def test_jaccard_join_counts_every_link(spark, docs, monkeypatch, block, columns):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", columns, raising=False)
+    w = [f"v{i}" for i in range(90)]
+    near = [" ".join([*w[:k], "x", *w[k + 1 :]]) for k in range(0, 90, 4)]  # all linked with each other
+    rows = spark.createDataFrame([(1000 + i, t, "en", "s", 1) for i, t in enumerate([*near, near[0]])], SCHEMA)
+    sets = shingle_sets(docs.union(rows).collect())
+    texts = {frozenset(u) for u in sets.values() if u}
+    linked = lambda u, v: u != v and 5 * len(u & v) >= 4 * len(u | v)
+    want = {i: sum(linked(u, v) for v in texts) for i, u in sets.items()}
+    assert max(want.values()) >= len(near) - 1
+    assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs.union(rows)).collect()} == want
+
+
+def test_pivots_give_one_row_a_member(spark, monkeypatch):
+    """Rows of regions do not multiply by their pivots."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    w, seen = [f"v{i}" for i in range(90)], []
+    texts = [" ".join("x%d" % i if p in (k, (k + 7 * i) % 90) else t for p, t in enumerate(w)) for i, k in enumerate(range(2, 90, 2))]
+    cut = jaccard_join._Join.to_pivots
+
+    def watched(self, large, depth):
+        out = self.keep(cut(self, large, depth))
+        seen.append((large.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join._Join, "to_pivots", watched)
+    assert jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+    assert seen and all(a == b for a, b in seen)
+
+
 def test_jaccard_join_of_overlapping_chains(spark, monkeypatch):
     """Windows that slide over common texts: long chains of links, regions that are cut into cells, cells cut again."""
     for name, value in (("SMALL", 6), ("BLOCK", 8), ("PIVOTS", 4), ("BLOCK_SHINGLES", 400)):
