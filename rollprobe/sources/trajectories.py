@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -29,6 +30,7 @@ from pyspark.sql.types import StructType
 from ..schema import COORDS
 
 RANGE_BYTES = 64 << 20
+WINDOW = 1 << 14  # atoms of a frame that are Python numbers, or rows of a batch, at once
 
 
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -113,7 +115,7 @@ def _fields(pairs: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     for low in range(0, width, 8):
         bits = min(8, width - low)
         q = at + low
-        part = (pairs[q >> 3] >> (16 - bits - (q & 7))) & ((1 << bits) - 1)
+        part = (pairs[q >> 3].astype(np.int64) >> (16 - bits - (q & 7))) & ((1 << bits) - 1)
         out = out + (part.astype(out.dtype) << low if out.dtype != object else part.astype(object) * (1 << low))
     return out
 
@@ -130,7 +132,7 @@ def _plain(pairs: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     for done in range(0, width, 8):
         bits = min(8, width - done)
         q = at + done
-        out = out << bits | (pairs[q >> 3] >> (16 - bits - (q & 7))) & ((1 << bits) - 1)
+        out = out << bits | (pairs[q >> 3].astype(np.int64) >> (16 - bits - (q & 7))) & ((1 << bits) - 1)
     return out
 
 
@@ -147,16 +149,16 @@ def xtc_coordinates(data: bytes, n: int, low: tuple[int, ...], high: tuple[int,
     apart = max(sizes) > WIDE
     each = [s.bit_length() for s in sizes]
     width = sum(each) if apart else (sizes[0] * sizes[1] * sizes[2]).bit_length()
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-    pairs = raw[:-1] << 8 | raw[1:]
-    look, end = pairs.tolist(), 8 * len(data)
-    starts, runs, kinds, inner = [], [], [], []
+    look, end = data + b"\0\0\0", 8 * len(data)
+    raw = np.frombuffer(look, np.uint8)
+    pairs = raw[:-1].astype(np.uint16) << 8 | raw[1:]
+    starts, runs, kinds, inner = (array("q") for _ in range(4))  # eight bytes a number, where a list takes forty
     p = done = run = 0
     while done < n:
         q = p + width
         if q >= end or not FIRST <= small < len(MAGIC):
             raise Corrupt(f"the block ends after {done} of {n} atoms" if q >= end else f"small index {small}")
-        code = look[q >> 3] >> (10 - (q & 7)) & 63
+        code = (look[q >> 3] << 8 | look[(q >> 3) + 1]) >> (10 - (q & 7)) & 63
         step = 0
         if code & 32:
             step, run, q = code % 32 % 3 - 1, code % 32 // 3, q + 6
@@ -248,6 +250,21 @@ class _Bits:
         return bytes(self.out) + (bytes([self.held << (8 - self.n)]) if self.n else b"")
 
 
+class _Rows:
+    """Rows of an array as lists, a window of ``WINDOW`` at a time, which moves on with the row asked for."""
+
+    def __init__(self, whole: np.ndarray) -> None:
+        self.whole, self.at, self.held = whole, 0, []
+
+    def __getitem__(self, i: int) -> list[int]:
+        k = i - self.at
+        if not 0 <= k < len(self.held):
+            self.at = max(0, i - 16)  # a run looks back over less
+            self.held = self.whole[self.at : self.at + WINDOW].tolist()
+            k = i - self.at
+        return self.held[k]
+
+
 def xtc_block(whole: np.ndarray, small: int | None = None) -> tuple[list[int], list[int], int, bytes]:
     """(lowest, highest, small index, bytes) of integer coordinates (n x 3); the small index follows the differences met."""
     low, high = whole.min(axis=0).tolist(), whole.max(axis=0).tolist()
@@ -255,7 +272,7 @@ def xtc_block(whole: np.ndarray, small: int | None = None) -> tuple[list[int], l
     apart = max(sizes) > WIDE
     each = [s.bit_length() for s in sizes]
     width = (sizes[0] * sizes[1] * sizes[2]).bit_length()
-    atoms, n, bits = whole.tolist(), len(whole), _Bits()
+    atoms, n, bits = _Rows(whole), len(whole), _Bits()
     if small is None:
         usual = int(np.median(np.abs(np.diff(whole, axis=0)).max(axis=1))) if n > 1 else 0
         small = next((k for k in range(FIRST, LAST) if MAGIC[k] // 2 > usual), LAST)
@@ -412,7 +429,9 @@ class _Scan:
             rows = np.arange(max(0, self.atom.low), max(0, self.atom.low, min(len(xyz), self.atom.high)), dtype=np.int32)
             if self.atom.some is not None:
                 rows = rows[np.isin(rows, [x for x in self.atom.some if x is not None])]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(np.full(len(rows), k, np.int32)), pa.array(rows), *(pa.array(xyz[rows, i]) for i in range(3))], names=["structure", "frame", "atom", "x", "y", "z"])
+            for at in range(0, max(1, len(rows)), WINDOW):
+                some = rows[at : at + WINDOW]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(some), *(pa.array(xyz[some, i]) for i in range(3))], names=["structure", "frame", "atom", "x", "y", "z"])
 
 
 class _Reader(_Scan, DataSourceReader):

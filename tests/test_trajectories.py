@@ -174,3 +174,22 @@ def test_attempts_that_do_not_count_leave_nothing(tmp_path):
         w.commit([w.write(iter([batch([0, 1])])), w.write(iter([batch([1, 2])]))])
     with pytest.raises(ValueError, match="not sorted"):
         w.write(iter([batch([1]), batch([0])]))
+
+
+def test_memory_an_atom():
+    """A frame as Python numbers takes several hundred bytes an atom."""
+    import tracemalloc
+
+    a = np.arange(40_000)
+    xyz = np.stack([a % 12 * 4 + a * 7919 % 1000 / 1000, a // 12 % 12 * 4 + a * 104729 % 1000 / 1000, a // 144 * 4.0], axis=1)
+    tracemalloc.start()
+    try:
+        frame = T.xtc_frame(xyz)
+        wrote = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        back = T.xtc_decode(frame)
+        read = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.abs(back - xyz).max() < 0.01
+    assert wrote < 190 * len(a) and read < 250 * len(a)
