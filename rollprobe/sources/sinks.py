@@ -166,8 +166,9 @@ def padded_points(points: DataFrame) -> DataFrame:
     """Points numbered within each frame (``nth``), every frame filled up to the largest count with its own first point.
 
     Trajectory formats need equal counts. Numbers come from counts of ranges of atoms, so no frame is sorted in one task.
+    Points are written once to the scratch folder, since several steps read them.
     """
-    keys = keys_of(points)
+    points, keys = written(points), keys_of(points)
     from pyspark.sql import Window
 
     sized = points.groupBy(*keys, F.floor(F.col("atom") / A.RANGE).alias("range")).agg(F.count("*").alias("c"))
@@ -183,8 +184,10 @@ def padded_points(points: DataFrame) -> DataFrame:
 
 def xyz_lines(points: DataFrame) -> DataFrame:
     """Frames of an XYZ trajectory: count, comment, one line a point."""
+    points = written(points)
     keys, rows = keys_of(points), padded_points(points)
-    head = rows.groupBy(*keys).agg(F.count("*").alias("c")).select(*keys, F.posexplode(F.array(F.col("c").cast("string"), F.concat(F.lit("frame "), F.col("frame").cast("string")))).alias("i", "value")).select(*keys, (F.col("i") - 2).cast("long").alias("ord"), "value")
+    counts = points.groupBy(*keys).agg(F.count("*").alias("c"))
+    head = counts.select(*keys).crossJoin(F.broadcast(counts.agg(F.max("c").alias("c")))).select(*keys, F.posexplode(F.array(F.col("c").cast("string"), F.concat(F.lit("frame "), F.col("frame").cast("string")))).alias("i", "value")).select(*keys, (F.col("i") - 2).cast("long").alias("ord"), "value")
     return head.union(rows.select(*keys, F.col("nth").cast("long").alias("ord"), F.format_string("X %.3f %.3f %.3f", "px", "py", "pz").alias("value")))
 
 

@@ -236,3 +236,23 @@ def test_embedding(spark):
     assert np.allclose(np.sort(np.linalg.norm(got, axis=0))[::-1], np.linalg.svd(c)[1][:2])
     with pytest.raises(ValueError):
         SasaFingerprintEmbedder().transform(df)
+
+
+def test_xyz_lines_compute_points_once(spark):
+    """Counts, numbers and lines read the points from one table."""
+    from rollprobe.sources import sinks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f, a, k, float(a), float(k), float(f)) for f in (0, 1) for a in range(5 + f) for k in range(3)]
+    points = spark.createDataFrame(rows, "frame int, atom int, k int, px double, py double, pz double").mapInArrow(watch, "frame int, atom int, k int, px double, py double, pz double")
+    got = sorted((r.frame, r.ord, r.value) for r in sinks.xyz_lines(points).collect())
+    assert seen.value == len(rows)
+    own = {f: [f"X {float(a):.3f} {float(k):.3f} {float(g):.3f}" for g, a, k, *_ in rows if g == f] for f in (0, 1)}
+    own[0] += own[0][:1] * 3
+    assert got == [(f, i - 2, v) for f in (0, 1) for i, v in enumerate(["18", f"frame {f}", *own[f]])]
