@@ -73,7 +73,7 @@ def mmcif_atoms(text: DataFrame, hetatm: bool = False, hydrogen: bool = False, j
 def _cif_atoms(rows: DataFrame, hetatm: bool, hydrogen: bool, join_models: bool, align: bool) -> DataFrame:
     """``align`` keeps every row, so that they match a trajectory's atoms."""
     held = lambda c: F.get("values", F.array_position("heads", c).cast("int") - 1)
-    plain = lambda c: F.when(~F.coalesce(held(c), F.lit("")).isin("?", "."), held(c)).otherwise("")
+    plain = lambda c: F.when(~F.coalesce(held(c), F.lit("")).isin("?", "."), F.coalesce(held(c), F.lit(""))).otherwise("")
     either = lambda a, b: F.when(F.array_contains("heads", a), plain(a)).otherwise(plain(b))
     refuse = lambda c: F.raise_error(F.concat(F.lit(f"bad {c} in row "), F.col("row").cast("string"), F.lit(" of "), "structure"))
     atoms = rows.select(
