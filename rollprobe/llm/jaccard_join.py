@@ -48,6 +48,7 @@ from .common import U64, Words, drop, empty_caches, give_back, map_arrow, mix, p
 from .graph import Tables, components, lookup
 
 BLOCK = 512  # nodes of a block of a larger region
+BLOCKS = 8  # blocks of a side that one task holds where every block of a group meets every other: a node's copies there are its group's nodes / (BLOCK * BLOCKS)
 SMALL = 64  # nodes of a region that are compared directly (those of different components)
 PIVOTS = 8  # of a region that is cut into cells
 LIGHT = 100_000  # rows of a table that is one partition in the search for components
@@ -219,16 +220,26 @@ class _Join(Tables):
         """Whether the overlap can suffice if the region's shingle is the first that the two share."""
         return f"{self.num + self.den} * least({n[0]} - {pos[0]}, {n[1]} - {pos[1]}) >= {self.num} * ({n[0]} + {n[1]})"
 
+    def first_in(self, least: str) -> str:
+        """Whether the region's shingle can be the first that a row shares with a linked set, if its sets have ``least`` shingles or more."""
+        n = "cast(n as long)"
+        return f"{self.den * (self.num + self.den)} * ({n} - pos) >= {self.num} * ({self.den} * {n} + greatest({self.den} * cast({least} as long), {self.num} * {n}))"
+
     def regions(self, rows: DataFrame) -> DataFrame:
         """Rows (key, pos, node, n) of the regions with more than one node, with their pivot.
 
+        A linked pair is looked for in the region of the first shingle that the two share, so a row stays only where its
+        shingle can be that: among sets of one size, in about half of the prefix.
+
         Rows are dealt by key once; the region figures and the join back to the rows both read that one exchange (the
-        figures use every column, so that pruning does not make two different exchanges of it).
+        figures use every column and ``n`` is asked for first, so that pruning and the join's condition do not make two different
+        exchanges of it).
         """
-        rows = rows.repartition("key")
-        keys = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("hi"), F.min("n").alias("least_n"), F.min("pos").alias("least_pos")).where("pivot <> hi and least_n > 0 and least_pos >= 0").select("key", "pivot")
-        rows = self.keep(rows.join(keys, "key").dropDuplicates(["key", "node"]))
-        out = self.keep(rows.join(rows.where("node = pivot").select("key", F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos")), "key"))
+        rows = rows.where("n is not null").repartition("key")
+        keys = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least_n"), F.min("pos").alias("least_pos")).where("lo <> hi and least_n > 0 and least_pos >= 0").select("key", "least_n")
+        rows = self.keep(rows.join(keys, "key").where(self.first_in("least_n")).drop("least_n").dropDuplicates(["key", "node"]))
+        pivots = rows.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("hi")).where("p.node <> hi")
+        out = self.keep(rows.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "key"))
         self.release(rows)
         return out
 
@@ -268,7 +279,7 @@ class _Join(Tables):
         rows = rows.drop("size")
         counts = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"))
         rows = rows.join(counts.select("key", "size", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.c")).alias("rest")), "key")
-        lots = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+        lots = lambda size: F.ceil(F.col(size) / (BLOCK * BLOCKS)).cast("int")
         deal = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
         rows = self.keep(rows.withColumn("many_x", lots("rest")).withColumn("many_y", lots("size")))
         self.spent.append(rows)
@@ -379,11 +390,11 @@ class _Join(Tables):
     def dense(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The links among pairs, by connected groups of pairs, block against block of their nodes.
 
-        Small groups share a block; a group of more than ``BLOCK`` nodes or ``BLOCK_SHINGLES`` shingles is dealt into several.
+        Small groups share a task; a group of more than ``BLOCK * BLOCKS`` nodes or ``BLOCK_SHINGLES`` shingles is dealt to several.
         """
         num, den = self.num, self.den
         group = components(self, pairs, LIGHT).join(self.nodes.select("node", "n"), "node")
-        size = group.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
+        size = group.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / (BLOCK * BLOCKS)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
         lots = max(parallelism(self.spark), 2 * (group.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
         small = F.col("many") <= 1
         own = F.pmod(F.xxhash64("node"), F.col("many")).cast("int")
@@ -537,16 +548,16 @@ class _Join(Tables):
     def degrees(self) -> DataFrame:
         """(node, n_links): how many other nodes each is linked with, of all that have links.
 
-        Links lie within components, so a component's sets meet in blocks, each pair of blocks in one task, which adds
-        up its links and puts out one row a node. Small components share a task. The pairs to count grow with the square
-        of a component; rows and memory do not.
+        Links lie within components, so a component's sets meet in blocks, ``BLOCKS`` of them a side in one task, which
+        adds up its links and puts out one row a node. Small components share a task. The pairs to count grow with the
+        square of a component, and so do its copies of sets beyond ``BLOCK * BLOCKS`` nodes; a task's memory does not.
         """
         num, den = self.num, self.den
         lone = self.comps.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1").select("comp")
         group = self.keep(self.comps.join(lone, "comp").join(self.nodes.select("node", "doc_id", "n"), "node"))
         sets, _ = self.sets(group.select("node", "doc_id"))
         sets = self.stored_from(sets)
-        size = group.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
+        size = group.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / (BLOCK * BLOCKS)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
         lots = max(parallelism(self.spark), 2 * (group.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
         small = F.col("many") <= 1
         place = group.join(size, "comp").select("node", "comp", small.alias("small"), F.when(small, F.pmod(F.xxhash64("comp"), F.lit(lots))).otherwise(F.col("comp")).alias("g"), F.pmod(F.xxhash64("node"), F.col("many")).cast("int").alias("own"), "many")
@@ -559,12 +570,13 @@ class _Join(Tables):
             ends, order = (t.column("i")[0].as_py(), t.column("j")[0].as_py()), np.argsort(comp, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
                 left, right = (at[own[at] == k] for k in ends)
-                link = _links([sets[r] for r in left], [sets[r] for r in right], num, den)
-                links[left] += link.sum(axis=1)
+                for a, b in ((left[x : x + BLOCK], right[y : y + BLOCK]) for x in range(0, len(left), BLOCK) for y in range(0, len(right), BLOCK)):
+                    link = _links([sets[r] for r in a], [sets[r] for r in b], num, den)
+                    links[a] += link.sum(axis=1)
+                    if ends[0] != ends[1]:
+                        links[b] += link.sum(axis=0)
                 if ends[0] == ends[1]:
                     links[left] -= 1  # itself
-                else:
-                    links[right] += link.sum(axis=0)
             return pa.table({"node": t.column("node"), "links": links})
 
         out = rows.groupBy("small", "g", "i", "j").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))

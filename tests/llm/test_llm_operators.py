@@ -107,6 +107,35 @@ def test_pivots_give_one_row_a_member(spark, monkeypatch):
     assert seen and all(a == b for a, b in seen)
 
 
+def test_regions_hold_rows_that_can_link(spark, monkeypatch):
+    """A row stays in a region only where its shingle can be the first that it shares; no link goes by that."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 12)
+    monkeypatch.setattr(jaccard_join, "BLOCKS", 2, raising=False)
+    r, w, most = random.Random(3), [f"v{i}" for i in range(90)], []
+    edits = [r.sample(range(90), r.randint(1, 3)) for _ in range(48)]
+    near = [" ".join(f"x{i}" if p in at else t for p, t in enumerate(w)) for i, at in enumerate(edits)]
+    of = jaccard_join._Join.regions
+
+    def watched(self, rows):
+        out = of(self, rows)
+        most.append(max(r["count"] for r in out.groupBy("node").count().collect()))
+        return out
+
+    monkeypatch.setattr(jaccard_join._Join, "regions", watched)
+    for more in ([], [" ".join(w[k : k + 72 + k]) for k in range(10)]):  # sets of one size, then of several
+        rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*near, *more])], SCHEMA)
+        sets = shingle_sets(rows.collect())
+        linked = {(a, b) for a in sets for b in sets if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+        least = {i: i for i in sets}
+        for _ in sets:
+            for a, b in linked:
+                least[a] = min(least[a], least[b])
+        got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_join(rows).collect()}
+        assert got == {i: (least[i], sum(a == i for a, _ in linked)) for i in sets}
+    assert most[0] <= 10  # of 18 in the prefix of 86 shingles: 9 * (86 - pos) >= 4 * (86 + 86)
+
+
 def test_jaccard_join_of_overlapping_chains(spark, monkeypatch):
     """Windows that slide over common texts: long chains of links, regions that are cut into cells, cells cut again."""
     for name, value in (("SMALL", 6), ("BLOCK", 8), ("PIVOTS", 4), ("BLOCK_SHINGLES", 400)):
